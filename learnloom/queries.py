@@ -1,0 +1,9 @@
+"""Operators bound to the driver's tables, with equivalent SQL."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
