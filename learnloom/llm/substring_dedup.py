@@ -3,11 +3,12 @@
 1. Each task hashes the windows of its documents, a bounded chunk of whole documents at a time, and sorts them. A window
    that repeats within the chunk is settled there: only its first place goes on. So a passage that a third of all
    documents share sends one entry for each chunk, and every window of the corpus is still seen.
-2. Entries travel as packed arrays (8 bytes of hash, about 3 of place), one array for each chunk and bucket. The bucket
+2. Entries travel as packed arrays (8 bytes of hash, about 1 of place), one array for each chunk and bucket. The bucket
    comes from a second, independent hash, so that a window is known by 64 bits and its bucket: the chance of a false
    match of a window is (windows in one bucket) / 2^64, the same at every scale. A bucket's task finds the first place
    of each window; every other place is covered by an earlier one.
-3. The places of a document merge into maximal intervals, which are cut from its words.
+3. Places that are covered travel, packed again, to the task of their document's part, which merges them. They form
+   maximal intervals, which are cut from the document's words.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,14 +71,32 @@ def _firsts(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-SENT = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("starts", pa.binary())])
+SENT = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary())])
 
 
-def _sent(bucket: int, hashes: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> tuple:
-    """Entries in order of (document, start): documents with their numbers of entries, and the starts."""
+def packed(doc: np.ndarray, starts: np.ndarray) -> bytes:
+    """Places in order of (document, start): documents, their numbers of places and the starts, as differences by byte plane."""
     change = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-    counts = np.diff(np.append(change, len(doc)))
-    return (bucket, hashes.tobytes(), doc[change].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), starts.astype("<u4").tobytes())
+    counts = np.diff(np.append(change, len(doc))).astype("<u4")
+    step = np.diff(starts.astype("<u4"), prepend=np.uint32(0)).astype("<u4")
+    ids = np.diff(doc[change].astype("<i8"), prepend=np.int64(0))
+    planes = [np.array([len(change)], "<u4").tobytes(), ids.tobytes(), counts.tobytes(), step.view(np.uint8).reshape(-1, 4).T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpacked(places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(places)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ids = np.cumsum(np.frombuffer(raw, "<i8", n, 4))
+    counts = np.frombuffer(raw, "<u4", n, 4 + 8 * n)
+    planes = np.frombuffer(raw, np.uint8, offset=4 + 12 * n).reshape(4, -1)
+    starts = np.cumsum(planes.T.copy().view("<u4").ravel(), dtype=np.uint32)
+    return np.repeat(ids, counts), starts
+
+
+def _part(doc: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each document, by a hash of its id."""
+    return ((_mixed(doc.astype(np.int64).view(np.uint64)) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
 def _chunk(rows: list[tuple[int, np.ndarray]], window: int, buckets: int) -> Iterator[tuple]:
@@ -96,13 +116,13 @@ def _chunk(rows: list[tuple[int, np.ndarray]], window: int, buckets: int) -> Ite
     if not first.all():
         again = np.flatnonzero(~first)
         to = xxhash.xxh64_intdigest(key[again[:1]].tobytes()) % buckets
-        yield _sent(-1 - to, np.zeros(0, "<u8"), doc[again], start[again])
+        yield -1 - to, b"", packed(doc[again], start[again])
     at = np.flatnonzero(first)
     at = at[np.argsort(bucket[at], kind="stable")]
     ends = np.searchsorted(bucket[at], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(ends)):
         own = at[ends[b] : ends[b + 1]]
-        yield _sent(int(b), key[own], doc[own], start[own])
+        yield int(b), key[own].tobytes(), packed(doc[own], start[own])
 
 
 def _hashed(window: int, buckets: int):
@@ -130,35 +150,51 @@ def _hashed(window: int, buckets: int):
     return run
 
 
-def _covered(entries: pa.Table) -> pa.Table:
-    """Of the entries of one bucket: the places that an earlier place has already, one row per document."""
-    hashes, docs, starts, settled = [], [], [], False
-    for bucket, h, d, c, s in zip(*(entries.column(n).to_pylist() for n in SENT.names)):
-        settled = bucket < 0
-        hashes.append(np.frombuffer(h, "<u8"))
-        docs.append(np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4")))
-        starts.append(np.frombuffer(s, "<u4"))
-    doc, start, key = (np.concatenate(x) for x in (docs, starts, hashes))
+def _ordered(places: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All places in order of (document, start), and the order that sorts them."""
+    doc, start = (np.concatenate(x) for x in zip(*map(unpacked, places)))
     order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    if not settled:
-        later = ~_firsts(key[order])
-        doc, start = doc[later], start[later]
-    change = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
+    return doc[order], start[order], order
+
+
+def _covered(parts: int):
+    """Of the entries of one bucket: the places that an earlier place has already, packed for each part of documents."""
+
+    def run(entries: pa.Table) -> pa.Table:
+        doc, start, order = _ordered(entries.column("places").to_pylist())
+        if entries.column("bucket")[0].as_py() >= 0:
+            key = np.concatenate([np.frombuffer(h, "<u8") for h in entries.column("hashes").to_pylist()])
+            later = ~_firsts(key[order])
+            doc, start = doc[later], start[later]
+        part = _part(doc, parts)
+        by_part = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[by_part], np.arange(parts + 1))
+        filled = np.flatnonzero(np.diff(ends))
+        places = [packed(doc[at], start[at]) for at in (by_part[ends[p] : ends[p + 1]] for p in filled)]
+        return pa.table({"part": pa.array(filled.astype(np.int64)), "places": pa.array(places, pa.binary())})
+
+    return run
+
+
+def _merged(entries: pa.Table) -> pa.Table:
+    """The covered places of the documents of one part, one row per document."""
+    doc, start, _ = _ordered(entries.column("places").to_pylist())
+    change = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     offsets = pa.array(np.append(change, len(doc)).astype(np.int32))
     places = pa.ListArray.from_arrays(offsets, pa.array(start.astype(np.int32)))
     return pa.table({"doc_id": pa.array(doc[change].astype(np.int64)), "starts": places})
 
 
 def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
-    """Places whose words stand earlier too: doc_id, starts (array of word positions); a document may have several rows.
+    """Places whose words stand earlier too: doc_id, starts (sorted array of word positions).
 
-    ``docs`` has doc_id and text. Rows of one doc_id are taken as one document each only if ids are unique.
+    ``docs`` has doc_id and text; ids are unique.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, round(size / 6 / BUCKET_WINDOWS))  # a word with its space has six bytes or more in most texts
-    sent = docs.select("doc_id", "text").mapInArrow(_hashed(window, buckets), "bucket int, hashes binary, docs binary, counts binary, starts binary")
-    return sent.groupBy("bucket").applyInArrow(_covered, "doc_id long, starts array<int>")
+    sent = docs.select("doc_id", "text").mapInArrow(_hashed(window, buckets), "bucket int, hashes binary, places binary")
+    covered = sent.groupBy("bucket").applyInArrow(_covered(buckets), "part long, places binary")
+    return covered.groupBy("part").applyInArrow(_merged, "doc_id long, starts array<int>")
 
 
 def intervals(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +213,7 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     as an id below all others. An empty table stays empty.
     """
     own = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("long").alias("doc_id"), "text")
-    places = repeated_windows(own, window).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    places = repeated_windows(own, window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
