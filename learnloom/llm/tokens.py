@@ -18,6 +18,8 @@ CACHED_WORDS = 1_200_000
 #: White space for Python but not for the libraries' patterns, or the other way round: such texts are encoded whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -42,6 +44,19 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
+    def _learn(self, words: list[str]) -> None:
+        """Adds words. Case is lost and letters and marks never share a token, so letters that end in marks are put
+        together from both; the characters are limited to those whose lower case no library disputes."""
+        known, parts = self.known, {}
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if core.isalpha() and max(core) < "\u0100":
+                parts[w] = (core.lower(), w[len(core) :])
+        wanted = dict.fromkeys(x for w in words for x in parts.get(w, (w,)) if x and x not in known)
+        known.update(zip(wanted, self._library(list(wanted))))
+        for w, (core, marks) in parts.items():
+            known[w] = known[core] + known[marks] if marks else known[core]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
         if len(self.known) > self.cached:
@@ -54,7 +69,7 @@ class WordEncoder:
                 continue
             words = text.split()
             if new := [w for w in dict.fromkeys(words) if w not in known]:
-                known.update(zip(new, self._library(new)))
+                self._learn(new)
             out.append(b"".join([known[w] for w in words]))
         return out
 
