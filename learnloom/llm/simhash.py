@@ -1,8 +1,9 @@
 """SimHash fingerprints, and near-duplicate groups by bit-sliced comparison.
 
 Fingerprints within ``radius`` bits agree on at least one choice of ``m - radius`` of ``m`` bit ranges, so comparing
-those that share such a choice loses no pair; ``m`` grows with the number of fingerprints, to keep buckets small. Equal
-fingerprints are one entry. A bucket larger than a block is dealt as pairs of blocks, so that a large group of near
+those that share such a choice loses no pair. With six ranges there are 15 choices of 21 bits or so, the same for any
+number of fingerprints, so rows grow with the input and buckets stay small up to billions. Equal fingerprints are one
+entry. A bucket larger than a block is dealt as pairs of blocks, so that a large group of near
 copies is compared by many tasks.
 
 Inside a task fingerprints lie in bit planes: a word of plane ``p`` holds bit ``p`` of 64 fingerprints of one bucket. A
@@ -27,8 +28,8 @@ from .common import connected_components, free_name, shuffle_partitions, stored
 SEED, SHINGLE, RADIUS = 42, 4, 4
 #: Fingerprints of one bucket that are compared with each other by one task.
 BLOCK = 512
-#: Fingerprints that a bucket should hold on average; sets how many bit ranges are used.
-BUCKET = 32
+#: Bit ranges (``m``).
+RANGES = 6
 #: (query, word) pairs that are compared at a time.
 SLAB = 16_384
 FULL = np.uint64(2**64 - 1)
@@ -69,11 +70,9 @@ def bit_ranges(m: int, bits: int = 64) -> list[int]:
     return [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])]
 
 
-def table_masks(n: int, radius: int = RADIUS) -> list[int]:
-    """Masks of the bit choices for ``n`` fingerprints: any two within the radius agree on all bits of at least one."""
-    m = radius + 1
-    while m < 12 and n / 2 ** (64 * (m - radius) / m) > BUCKET:
-        m += 1
+def table_masks(radius: int = RADIUS, ranges: int = RANGES) -> list[int]:
+    """Masks of the bit choices: any two fingerprints within the radius agree on all bits of at least one."""
+    m = max(ranges, radius + 1)
     return [sum(c) for c in combinations(bit_ranges(m), m - radius)]
 
 
@@ -210,8 +209,7 @@ def near_edges(entries: DataFrame, radius: int = RADIUS) -> DataFrame:
     close ones is returned as a tree and not as all its pairs.
     """
     spark = entries.sparkSession
-    n = entries.count()
-    masks = table_masks(n, radius)
+    masks = table_masks(radius)
     choices = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("v")) for t, m in enumerate(masks)])
     rows = entries.select("fp", F.inline(choices))
     full = rows.groupBy("t", "v").agg(F.count("*").alias("n")).where("n > 1")
