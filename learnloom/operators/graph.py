@@ -13,21 +13,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read again, so that a round of an iteration starts from a table.
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder, which the driver and all executors share.
 
     The session names the folder in spark.checkpoint.dir; only a local session without one gets a temporary folder.
     """
-    spark: SparkSession = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read again, so that a round of an iteration starts from a table."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def get_concept(nodes: DataFrame, names: DataFrame) -> DataFrame:

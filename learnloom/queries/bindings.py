@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.emotion import normalised
 from ..operators import mining
 
 DEFINITION = r"([A-Za-z]{2,20}) is ([^.\n]{5,}?)\."
@@ -136,7 +137,7 @@ REQUESTS = """requests AS (SELECT student_id, arg_min(concept, CAST(concept AS B
 def emotion_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven scores from an event's value: session_id, event_id, ts, modality, probs, confidence, error."""
     weights = F.array(*[((F.floor(F.col("value") * 100) + 17 * i) % 97 + 1).cast("double") for i in range(7)])
-    probs = F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))
+    probs = normalised(weights)
     face = F.col("event_type").isin("purchase", "signup") | ((F.col("event_type") == "error") & (F.col("event_id") % 2 == 1))
     failed = F.col("event_type") == "error"
     return table(spark, sf_dir, "events").select(

@@ -1 +1,141 @@
-"""To be filled."""
+"""Messages and sessions on the conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import messages as m
+from . import bindings as b
+from .registry import query
+
+_KIND = "CASE role WHEN 'user' THEN 'text' WHEN 'assistant' THEN 'text_result' ELSE 'command' END"
+_ROUTED = f"""r_ AS (SELECT conv_id AS session_id, turn AS seq, text, role, {_KIND} AS kind, conv_id || '-' || turn AS mid, (conv_id + turn) % 7 = 6 AS broken FROM conversations)"""
+
+
+@query(f"""WITH {_ROUTED} SELECT session_id, seq, CASE WHEN NOT broken THEN kind END AS type, CASE WHEN broken THEN '' ELSE mid END AS id,
+ CASE WHEN broken THEN 'invalid JSON' WHEN kind = 'text_result' THEN 'unsupported type: text_result' END AS error, CASE WHEN broken OR kind = 'text_result' THEN 'error' ELSE kind END AS route FROM r_""")
+def route_messages(spark, sf_dir):
+    return m.route_messages(b.messages(spark, sf_dir)).select("session_id", "seq", "type", "id", "error", "route")
+
+
+@query(f"""WITH {_ROUTED} SELECT mid AS id, CASE WHEN role = 'system' THEN 'init_session' ELSE '' END AS command, CASE WHEN role = 'system' THEN 'session_' || mid END AS session_id,
+ CAST(NULL AS VARCHAR) AS concept, CASE WHEN role <> 'system' THEN 'unknown command: ' END AS error FROM r_ WHERE NOT broken""")
+def process_commands(spark, sf_dir):
+    rows = m.route_messages(b.messages(spark, sf_dir)).where("data is not null")
+    return m.process_commands(rows)
+
+
+_LOG = f"""l_ AS (SELECT session_id, seq, kind AS type, text AS message FROM r_ WHERE NOT broken UNION ALL
+ SELECT session_id, seq, 'user_query', text FROM r_ WHERE NOT broken AND kind = 'text' AND coalesce(text, '') <> '')"""
+
+
+def _log(spark, sf_dir):
+    return m.with_user_queries(m.route_messages(b.messages(spark, sf_dir)).where("data is not null"))
+
+
+@query(f"WITH {_ROUTED}, {_LOG} SELECT * FROM l_")
+def user_query_log(spark, sf_dir):
+    return _log(spark, sf_dir)
+
+
+@query("SELECT conv_id AS session_id, turn AS seq, role, text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM conversations QUALIFY place <= 3")
+def message_log(spark, sf_dir):
+    return m.message_log(b.chats(spark, sf_dir), 3)
+
+
+@query("SELECT conv_id AS session_id, turn AS seq, role, text AS content FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
+def session_history(spark, sf_dir):
+    return m.session_history(b.chats(spark, sf_dir), 2)
+
+
+@query("SELECT conv_id AS session_id, min(turn) AS created_at, max(turn) AS last_active, count(*) AS messages FROM conversations GROUP BY conv_id")
+def session_activity(spark, sf_dir):
+    return m.session_activity(b.chats(spark, sf_dir))
+
+
+@query("""WITH h AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Q: ' ELSE 'A: ' END || coalesce(text, '') AS line FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10),
+ t AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS told FROM h GROUP BY conv_id), q AS (SELECT DISTINCT conv_id, 'What is next in ' || conv_id || '?' AS query FROM conversations)
+SELECT q.conv_id AS session_id, query, 'Answer from the history.' || chr(10) || told || chr(10) || 'Q: ' || query || chr(10) || 'A:' AS prompt FROM q JOIN t ON q.conv_id = t.conv_id""")
+def build_prompts(spark, sf_dir):
+    chats = b.chats(spark, sf_dir)
+    asked = chats.select("session_id").distinct().withColumn("query", F.concat(F.lit("What is next in "), "session_id", F.lit("?")))
+    return m.build_prompts(chats, asked, "Answer from the history.", "Answer.")
+
+
+STEPS = [("first", ["th"]), ("second", ["qu", "tion"]), ("third", ["ch"])]
+_LADDER = "CASE WHEN contains(lower(text), 'th') THEN '{}' WHEN contains(lower(text), 'qu') OR contains(lower(text), 'tion') THEN '{}' WHEN contains(lower(text), 'ch') THEN '{}' ELSE '{}' END"
+
+
+@query(f"""SELECT conv_id AS session_id, turn AS seq, {_LADDER.format('first', 'second', 'third', 'general')} AS intent, {_LADDER.format('first', 'second', 'third', 'general_query')} AS teaching,
+ {_LADDER.format('first', 'second', 'third', '')} AS action FROM conversations""")
+def detect_intents(spark, sf_dir):
+    """detect_intent, detect_teaching_intent and tag_actions with keyword ladders for the invented prose."""
+    c = F.col("content")
+    return b.chats(spark, sf_dir).select(
+        "session_id", "seq", tx.detect_intent(c, STEPS).alias("intent"), tx.detect_teaching_intent(c, STEPS).alias("teaching"), F.array_join(tx.tag_actions(c, STEPS), ",").alias("action")
+    )
+
+
+@query(r"""SELECT conv_id AS session_id, turn AS seq, CASE WHEN contains(text, ' the ') AND length(trim(split_part(text, ' the ', 1))) <= 20 THEN trim(split_part(text, ' the ', 1)) END AS concept FROM conversations""")
+def extract_defined_concept(spark, sf_dir):
+    return b.chats(spark, sf_dir).select("session_id", "seq", tx.extract_defined_concept(F.col("content"), [" the ", " is "]).alias("concept"))
+
+
+@query(r"""WITH a AS (SELECT conv_id, turn, CASE WHEN contains(text, ', ') THEN regexp_replace(substr(text, strpos(text, ', ') + 2), '^\s+|\s+$', '', 'g') ELSE text END AS t FROM conversations),
+ s AS (SELECT conv_id, turn, CASE WHEN contains(t, ' and ') THEN regexp_replace(split_part(t, ' and ', 1), '^\s+|\s+$', '', 'g') ELSE t END AS t FROM a)
+SELECT conv_id AS session_id, turn AS seq, array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT starts_with(x, ', ') AND NOT starts_with(x, ' and ')), chr(10)) AS content FROM s""")
+def strip_role_labels(spark, sf_dir):
+    return b.chats(spark, sf_dir).select("session_id", "seq", tx.strip_role_labels(F.col("content"), [", "], " and ").alias("content"))
+
+
+@query(f"""WITH {b.NODES}, q AS (SELECT conv_id AS session_id, CAST(conv_id AS VARCHAR) AS concept FROM conversations GROUP BY conv_id)
+SELECT q.concept, session_id, description AS definition, difficulty, importance, n.name IS NOT NULL AS found FROM q LEFT JOIN nodes n ON n.name = q.concept""")
+def query_knowledge(spark, sf_dir):
+    asked = b.chats(spark, sf_dir).select("session_id", F.col("session_id").cast("string").alias("concept")).distinct()
+    return m.query_knowledge(asked, b.nodes(spark, sf_dir))
+
+
+@query(f"""WITH {b.NODES}, q AS (SELECT conv_id AS session_id, turn AS seq, CAST(turn + 1 AS VARCHAR) AS concept, {_LADDER.format('concept_explanation', 'example_request', 'x', 'general_query')} AS intent FROM conversations WHERE role = 'user')
+SELECT session_id, seq, q.concept, CASE intent WHEN 'x' THEN 'related_concepts' ELSE intent END AS intent,
+ CASE intent WHEN 'concept_explanation' THEN 'explain' WHEN 'example_request' THEN 'examples' WHEN 'x' THEN 'related' ELSE 'general' END AS handler, n.name IS NOT NULL AS found
+ FROM q LEFT JOIN nodes n ON n.name = q.concept""")
+def teaching_turns(spark, sf_dir):
+    steps = [("concept_explanation", ["th"]), ("example_request", ["qu", "tion"]), ("related_concepts", ["ch"])]
+    asked = b.chats(spark, sf_dir).where("role = 'user'").withColumn("concept", (F.col("seq") + 1).cast("string"))
+    return m.teaching_turns(asked, b.nodes(spark, sf_dir), steps).select("session_id", "seq", "concept", "intent", "handler", "found")
+
+
+@query("""SELECT conv_id AS session_id, turn AS seq, strlen(text) AS size, CASE WHEN strlen(text) > 100 THEN 'too large' END AS error FROM conversations WHERE text IS NOT NULL""")
+def decode_payloads(spark, sf_dir):
+    sent = b.chats(spark, sf_dir).where("content is not null").withColumn("payload", F.base64(F.col("content").cast("binary")))
+    return m.decode_payloads(sent, most=100).select("session_id", "seq", F.col("size").cast("long").alias("size"), "error")
+
+
+@query("SELECT user_id AS server, event_type AS status, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_status(spark, sf_dir):
+    rows = b.table(spark, sf_dir, "events").select(F.col("user_id").alias("server"), F.col("event_type").alias("status"), "ts", "event_id")
+    return m.latest_status(rows, "server", ["ts", "event_id"])
+
+
+@query("""SELECT user_id AS session_id, arg_max(CASE WHEN event_type = 'view' THEN CAST(event_id AS VARCHAR) END, (ts, event_id)) FILTER (event_type = 'view') AS concept,
+ arg_max(event_type, (ts, event_id)) FILTER (event_type <> 'view') AS emotion FROM events GROUP BY user_id""")
+def current_session_state(spark, sf_dir):
+    view = F.col("event_type") == "view"
+    rows = b.table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "ts", "event_id", F.when(view, F.col("event_id").cast("string")).alias("concept"), F.when(~view, F.col("event_type")).alias("emotion"))
+    return m.current_session_state(rows, ["ts", "event_id"])
+
+
+@query("SELECT user_id, event_type, arg_min(value, event_id) AS value, min(event_id) AS event_id, count(*) AS answers FROM events GROUP BY user_id, event_type")
+def dedupe_requests(spark, sf_dir):
+    rows = b.table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
+    return m.dedupe_requests(rows, ["user_id", "event_type"], "event_id")
+
+
+@query(f"""WITH {b.NODES} SELECT name AS concept, CASE difficulty WHEN 1 THEN 'very_basic' WHEN 5 THEN 'expert' ELSE 'medium' END AS detail_level, CASE WHEN importance > 3 THEN 'positive' ELSE 'neutral' END AS tone,
+ 'Explain "' || name || '". ' || CASE difficulty WHEN 1 THEN '{m.DETAILS['very_basic']}' WHEN 5 THEN '{m.DETAILS['expert']}' ELSE '{m.DETAILS['medium']}' END || ' ' ||
+ CASE WHEN importance > 3 THEN '{m.TONES['positive']}' ELSE '{m.TONES['neutral']}' END || ' Give a definition, key properties and an example.' AS prompt FROM nodes""")
+def teaching_prompts(spark, sf_dir):
+    level = F.when(F.col("difficulty") == 1, "very_basic").when(F.col("difficulty") == 5, "expert").otherwise("medium")
+    asked = b.nodes(spark, sf_dir).select(F.col("name").alias("concept"), level.alias("detail_level"), F.when(F.col("importance") > 3, "positive").otherwise("neutral").alias("tone"))
+    return m.teaching_prompts(asked)

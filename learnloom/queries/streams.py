@@ -1 +1,73 @@
-"""To be filled."""
+"""Streams over the tables' files, drained until what is there now is done."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import streaming as st
+from ..operators import emotions as ops, messages as m
+from . import bindings as b
+from .emotions import _STATES
+from .messages import _LOG, _ROUTED
+from .registry import query
+
+
+def _stream(spark, sf_dir, name):
+    return b.table(_Streamed(spark), sf_dir, name)
+
+
+class _Streamed:
+    """Stands in for the session where a binding reads a table, and reads it as a stream."""
+
+    def __init__(self, spark):
+        self.read, self.spark = self, spark
+
+    def parquet(self, path):
+        # A file source takes a folder or a pattern, and a table may be one file.
+        return self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+@query(f"""WITH {_ROUTED} SELECT session_id, seq, CASE WHEN NOT broken THEN kind END AS type, CASE WHEN broken THEN '' ELSE mid END AS id,
+ CASE WHEN broken THEN 'invalid JSON' WHEN kind = 'text_result' THEN 'unsupported type: text_result' END AS error FROM r_""")
+def stream_route_messages(spark, sf_dir):
+    routed = m.route_messages(b.messages(_Streamed(spark), sf_dir)).select("session_id", "seq", "type", "id", "error")
+    return st.drained(routed, spark)
+
+
+@query(f"WITH {_ROUTED}, {_LOG} SELECT session_id, seq, message, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC, message DESC) AS place FROM l_ QUALIFY place <= 3")
+def stream_message_log(spark, sf_dir):
+    log = m.with_user_queries(m.route_messages(b.messages(_Streamed(spark), sf_dir)).where("data is not null"))
+    return st.drained(st.stream_message_log(log.select("session_id", "seq", "message"), 3), spark)
+
+
+@query(f"""WITH {b.EMOTIONS}, s AS (SELECT session_id, event_id, {_STATES} FROM emotions WHERE probs IS NOT NULL AND modality = 'face')
+SELECT session_id, event_id, attention FROM s WHERE attention > 0 AND attention < 0.3""")
+def stream_attention_alerts(spark, sf_dir):
+    rows = ops.with_learning_states(b.emotion_results(_Streamed(spark), sf_dir).where("probs is not null"))
+    rows = rows.withColumn("attention", F.round("attention", 6))
+    return st.drained(ops.attention_alerts(rows, face=F.col("modality") == "face").select("session_id", "event_id", "attention"), spark)
+
+
+@query()
+def stream_fuse_and_smooth(spark, sf_dir):
+    rows = b.emotion_results(_Streamed(spark), sf_dir).where("probs is not null")
+    rows = rows.select("session_id", "modality", "probs", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return st.drained(st.stream_fuse_and_smooth(rows), spark).withColumn("confidence", F.round("confidence", 6))
+
+
+@query()
+def stream_session_activity(spark, sf_dir):
+    rows = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return st.drained(st.stream_session_activity(rows), spark)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe_requests(spark, sf_dir):
+    rows = _stream(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return st.drained(st.stream_dedupe_requests(rows, ["user_id", "event_type"], late="3650 days"), spark).select("user_id", "event_type")
+
+
+@query("SELECT user_id % 4 AS device_id, event_type AS metric, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 4, event_type ORDER BY ts DESC, event_id DESC) <= 100")
+def stream_metric_series(spark, sf_dir):
+    landed = st.drained(b.metrics(_Streamed(spark), sf_dir), spark)
+    return ops.bounded_series(landed, ["device_id", "metric"], ["ts", "event_id"])
