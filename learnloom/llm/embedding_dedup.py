@@ -103,12 +103,12 @@ def _cells(entries: DataFrame, fitted: dict[int, np.ndarray], threshold: float)
                 row, guest_of = np.nonzero(near)
                 order = np.concatenate([np.arange(len(x)), row])
                 cell = np.concatenate([home, guest_of]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(near.sum(1))]).astype(np.int32)), pa.array(guest_of.astype(np.int32))
-                )
+                # Only the row at home needs the list of cells that it visits.
+                ends = np.concatenate([[0], np.cumsum(near.sum(1)), np.full(len(row), len(row))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(guest_of.astype(np.int32)))
                 taken = some.take(pa.array(order))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(home[order].astype(np.int32)), lists.take(pa.array(order)), *taken.columns],
+                    [pa.array(cell), pa.array(home[order].astype(np.int32)), lists, *taken.columns],
                     ["cell", "own", "guests", *taken.schema.names],
                 )
 
@@ -123,23 +123,30 @@ def _compare(threshold: float):
         own, ids, weight = (group.column(c).to_numpy() for c in ("own", "vec_id", "weight"))
         dim = int(group.column("dim")[0].as_py())
         x = np.frombuffer(b"".join(group.column("unit").to_pylist()), np.float64).reshape(-1, dim)
-        guests = group.column("guests").to_pylist()
+        lists = group.column("guests").combine_chunks()
+        guests, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        # Single precision screens: its error for unit vectors is far below the margin. Double precision decides.
+        rough = x.astype(np.float32)
+        margin = np.float32(threshold - 1e-3)
         # Left rows are at home here; right rows are members or visitors. A row may stand on both sides.
         at, to = np.flatnonzero(left), np.flatnonzero(~left)
+        right = rough[to]
         links = np.zeros(len(ids), np.int64)
         edges = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         for k in range(0, len(at), BLOCK):
             rows = at[k : k + BLOCK]
-            hit = x[rows] @ x[to].T >= threshold
-            hit &= ids[rows][:, None] != ids[to][None, :]
-            i, j = np.nonzero(hit)
+            i, j = np.nonzero(rough[rows] @ right.T >= margin)
             i, j = rows[i], to[j]
+            linked = ids[i] != ids[j]
+            for n in range(0, len(i), 65_536):
+                linked[n : n + 65_536] &= np.einsum("ij,ij->i", x[i[n : n + 65_536]], x[j[n : n + 65_536]]) >= threshold
+            i, j = i[linked], j[linked]
             edges = [np.append(edges[0], i), np.append(edges[1], j)]
             # A pair of two cells that visit each other is met in both; the smaller cell counts it.
             guest = own[j] != cell[j]
             twice = np.zeros(len(i), bool)
             for n in np.flatnonzero(guest & (own[j] < cell[j])):
-                twice[n] = own[j[n]] in guests[i[n]]
+                twice[n] = own[j[n]] in guests[ends[i[n]] : ends[i[n] + 1]]
             i, j, guest = i[~twice], j[~twice], guest[~twice]
             np.add.at(links, i, weight[j])
             np.add.at(links, j[guest], weight[i[guest]])
