@@ -106,17 +106,17 @@ def running_total(rows: DataFrame, key: list[str], bucket: str, order: list[Colu
     """Adds ``name``: the total of ``value`` over the rows of ``key`` that come before, in order of ``bucket``, then ``order``.
 
     Two levels: totals of each (key, bucket) are summed over the buckets of a key, then over the rows of one bucket, so
-    that no task gets all rows of a key that holds a large share of them.
+    that no task gets all rows of a key that holds a large share of them. Null keys are a key (structs compare so).
     """
-    base, own = free_name(rows, "base"), free_name(rows, "own")
-    rows = rows.withColumn(own, value)
-    totals = rows.groupBy(*key, bucket).agg(F.sum(own).alias(base))
-    before = Window.partitionBy(*key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    base, own, group = free_name(rows, "base"), free_name(rows, "own"), free_name(rows, "group_key")
+    rows = rows.withColumn(own, value).withColumn(group, F.struct(*key))
+    totals = rows.groupBy(group, bucket).agg(F.sum(own).alias(base))
+    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)))
-    inside = Window.partitionBy(*key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn(name, F.coalesce(F.sum(own).over(inside), F.lit(0)))
-        .join(bases, [*key, bucket])
+        .join(bases, [group, bucket])
         .withColumn(name, F.col(name) + F.col(base))
-        .drop(base, own)
+        .drop(base, own, group)
     )
