@@ -9,7 +9,6 @@ def test_base_spans():
     text = "é mail a.b@x.example.com, 10.0.0.255 and 10.0.0.256, 4012 8888 8888 1881, +1 (743) 555-3824; +12 1-"
     got = [(k, text[b:e]) for k, b, e in pii.base_spans(text)]
     assert got == [("email", "a.b@x.example.com"), ("ip", "10.0.0.255"), ("card", "4012 8888 8888 1881"), ("phone", "+1 (743) 555-3824")]
-    assert [text[b:e] for _, b, e in pii.base_spans("a@b.c_d@e.f@g")] == [] or True
     spans = pii.base_spans("a@b.c_d@e.f")
     assert [("a@b.c_d@e.f")[b:e] for _, b, e in spans] == ["a@b.c", "_d@e.f"]
 
@@ -143,7 +142,8 @@ def test_mix_comes_near_targets(docs):
         own = [r for r in got if (r["source_size"], r["target"]) == (source_size, target)]
         assert abs(sum(r["taken"] for r in own) - target) <= 2
         assert all(r["taken"] <= 3 * r["size"] for r in own)
-    assert abs(sum({(r["source_size"], r["target"]) for r in got} and [t for _, t in {(r["source_size"], r["target"]) for r in got}]) - sum(r["size"] for r in got)) < 1e-3
+    targets = {(r["source_size"], r["target"]) for r in got}
+    assert abs(sum(t for _, t in targets) - sum(r["size"] for r in got)) < 1e-3
     df = docs(rows)
     mixed = mixing.mixed_documents(df)
     taken = {}
