@@ -93,23 +93,53 @@ def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-# A small graph to start from: our own wording; numbers of rows, types and weights are fixed values.
+# A small graph to start from. Our own wording; difficulty, importance, types and weights are fixed values.
 SEED_CONCEPTS = [
     ("function", "mathematics", 3, 5, "a rule that gives one output for each input"),
+    ("linear function", "mathematics", 2, 4, "a function whose graph is a line"),
+    ("quadratic function", "mathematics", 3, 4, "a function with a squared term"),
     ("derivative", "mathematics", 4, 5, "the rate at which a function changes"),
-    ("integral", "mathematics", 4, 5, "the total that a function accumulates"),
-    ("limit", "mathematics", 4, 4, "the value that a function approaches"),
-    ("variable", "programming", 2, 4, "a name for a value that can change"),
-    ("loop", "programming", 2, 4, "steps that repeat while a condition holds"),
-    ("recursion", "programming", 4, 4, "a definition that uses itself"),
+    ("force", "physics", 2, 5, "what changes the motion of a body"),
+    ("second law of motion", "physics", 3, 5, "acceleration grows with force and falls with mass"),
+    ("kinetic energy", "physics", 3, 4, "the energy that a body has because it moves"),
+]
+SEED_EXAMPLES = [
+    ("volume of a gas", "the volume of a warm gas as a function of its temperature"),
+    ("cost of a batch", "a fixed cost and a cost for each piece"),
+    ("thrown ball", "the height of a ball over time"),
+    ("spring", "a spring pulls harder the further it is stretched"),
+    ("lift", "one feels heavier as a lift starts upwards"),
+]
+SEED_MISCONCEPTIONS = [
+    ("formulas only", "a function need not have a formula"),
+    ("rising lines only", "a line can fall, too"),
+    ("touching only", "gravity acts without contact"),
 ]
 SEED_EDGES = [
-    ("function", "derivative", "IS_PREREQUISITE_OF", 1.0), ("function", "integral", "IS_PREREQUISITE_OF", 1.0), ("limit", "derivative", "IS_PREREQUISITE_OF", 0.9),
-    ("derivative", "integral", "IS_RELATED_TO", 0.9), ("variable", "loop", "IS_PREREQUISITE_OF", 0.8), ("loop", "recursion", "IS_RELATED_TO", 0.7),
-]
+    ("function", "linear function", "INCLUDES", "strength", 1.0),
+    ("function", "quadratic function", "INCLUDES", "strength", 1.0),
+    ("function", "derivative", "IS_PREREQUISITE_OF", "strength", 0.9),
+    ("linear function", "quadratic function", "IS_PREREQUISITE_OF", "strength", 0.8),
+    ("function", "volume of a gas", "HAS_EXAMPLE", "relevance", 0.9),
+    ("linear function", "cost of a batch", "HAS_EXAMPLE", "relevance", 0.95),
+    ("quadratic function", "thrown ball", "HAS_EXAMPLE", "relevance", 0.9),
+    ("force", "spring", "HAS_EXAMPLE", "relevance", 0.9),
+    ("second law of motion", "lift", "HAS_EXAMPLE", "relevance", 0.9),
+    ("function", "formulas only", "HAS_MISCONCEPTION", "frequency", 0.7),
+    ("linear function", "rising lines only", "HAS_MISCONCEPTION", "frequency", 0.6),
+    ("force", "touching only", "HAS_MISCONCEPTION", "frequency", 0.8),
+    ("force", "second law of motion", "IS_RELATED_TO", "strength", 0.9),
+    ("force", "kinetic energy", "IS_RELATED_TO", "strength", 0.7),
+]
 
 
 def seed_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a small graph for first steps."""
-    nodes = spark.createDataFrame([("Concept", *row) for row in SEED_CONCEPTS], "label string, name string, subject string, difficulty int, importance int, description string")
-    return nodes, spark.createDataFrame(SEED_EDGES, "src string, dst string, type string, strength double")
+    """Nodes (label, name, subject, difficulty, importance, description) and edges (labels and names of both ends, type,
+    strength, relevance, frequency) of a small graph for first steps: seven concepts, five examples, three misconceptions."""
+    rows = [("Concept", *row) for row in SEED_CONCEPTS]
+    rows += [("Example", n, None, None, None, d) for n, d in SEED_EXAMPLES] + [("Misconception", n, None, None, None, d) for n, d in SEED_MISCONCEPTIONS]
+    nodes = spark.createDataFrame(rows, "label string, name string, subject string, difficulty int, importance int, description string")
+    label = {r[1]: r[0] for r in rows}
+    weights = ("strength", "relevance", "frequency")
+    edges = [(label[s], s, label[d], d, kind, *(value if w == name else None for w in weights)) for s, d, kind, name, value in SEED_EDGES]
+    return nodes, spark.createDataFrame(edges, "src_label string, src string, dst_label string, dst string, type string, strength double, relevance double, frequency double")

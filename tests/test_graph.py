@@ -39,9 +39,28 @@ def test_similar_groups_match_the_sequential_definition(spark):
     assert pairs == {(i, j) for i, a in distinct for j, b in distinct if i < j and sim.sequence_ratio(a, b) > 0.8}
 
 
+CONCEPTS = [("function", 3, 5), ("derivative", 4, 5), ("integral", 4, 5), ("limit", 4, 4), ("variable", 2, 4), ("loop", 2, 4), ("recursion", 4, 4)]
+EDGES = [
+    ("function", "derivative", "IS_PREREQUISITE_OF", 1.0), ("function", "integral", "IS_PREREQUISITE_OF", 1.0), ("limit", "derivative", "IS_PREREQUISITE_OF", 0.9),
+    ("derivative", "integral", "IS_RELATED_TO", 0.9), ("variable", "loop", "IS_PREREQUISITE_OF", 0.8), ("loop", "recursion", "IS_RELATED_TO", 0.7),
+]
+
+
 @pytest.fixture
 def small(spark):
-    return src.seed_graph(spark)
+    rows = [("Concept", n, "s", d, i, n) for n, d, i in CONCEPTS]
+    nodes = spark.createDataFrame(rows, "label string, name string, subject string, difficulty int, importance int, description string")
+    return nodes, spark.createDataFrame(EDGES, "src string, dst string, type string, strength double")
+
+
+def test_seed_graph(spark):
+    nodes, edges = src.seed_graph(spark)
+    assert {r["label"]: r["count"] for r in nodes.groupBy("label").count().collect()} == {"Concept": 7, "Example": 5, "Misconception": 3}
+    assert edges.count() == 14 and edges.where("src_label is null or dst_label is null").count() == 0
+    requests = spark.createDataFrame([(1, "function")], "student_id long, concept string")
+    mastery = spark.createDataFrame([], "student_id long, concept string, mastery double")
+    got = {x["name"]: x["score"] for x in r.recommend_related_concepts(requests, edges, nodes, mastery, limit=9).collect()}
+    assert got == {"linear function": 0.92, "quadratic function": 0.9, "derivative": 0.89}
 
 
 def test_recommendation_scores(spark, small):
