@@ -33,6 +33,8 @@ TEXTBOOK_PATTERNS = [
     r"(return(?U:\s)+(?U:\w)+;).*?([^。.]*[。.])",
     r"(int(?U:\s)+(?U:\w)+(?U:\s)*\([^\)]*\)).*?([^。.]*[。.])",
 ]
+# What a text must hold for each of them to match, so that most texts skip most patterns.
+TEXTBOOK_GUARDS = ["[是指表示代]", "[:：]", "的定义是", "所谓", "[—-]", "#include", r"main\(\)", "return", r"int\s"]
 COMMENT_PATTERNS = [r"/\*(?U:\s)*(.*?)(?U:\s)*\*/", r"//(?U:\s)*(.*?)\z"]
 CONTROL_PATTERN = r"(if|while|for|switch|do)(?U:\s)*\([^\)]+\)(?U:\s)*\{"
 HEADING_PATTERN = r"(?U)(\d+\.\d+(?:\.\d+)?)\s+([^\n]+)"
@@ -213,8 +215,13 @@ def mine_textbook(pages: DataFrame, key_terms: list[str] = KEY_TERMS) -> DataFra
             ),
         ),
     )
+    def guarded(guard: str, points: Column) -> Column:
+        return F.when(F.col("text").rlike(guard), points).otherwise(F.array().cast(kind))
+
+    kind = "array<struct<rank:int,concept:string,definition:string,importance:int>>"
     pairs = [
-        F.transform(zipped("text", p, (1, 2)), lambda m: point(1, strip(m["g1"]), strip(m["g2"]))) for p in TEXTBOOK_PATTERNS
+        guarded(g, F.transform(zipped("text", p, (1, 2)), lambda m: point(1, strip(m["g1"]), strip(m["g2"]))))
+        for g, p in zip(TEXTBOOK_GUARDS, TEXTBOOK_PATTERNS)
     ]
     comments = [
         F.transform(zipped("text", p, (1,)), lambda m: point(1, F.format_string("code on page %d", page_no.cast("int")), strip(m["g1"]))) for p in COMMENT_PATTERNS
