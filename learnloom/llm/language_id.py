@@ -116,8 +116,14 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, r
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     found, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + found)) + 1
-    # Each task passes on at most ``fit_rows`` rows of a language, so the sample is bounded by tasks and then by languages.
+    # Hashes are even, so a share of them that holds about three times the sample is enough to look through, and what
+    # is sent does not grow with the corpus. One row for each language comes to the driver for this.
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    share = F.create_map(*[F.lit(x) for lang, c in counts.items() for x in (lang, min(1.0, (3 * fit_rows + 100) / c))]) if counts else None
     picked = rows.withColumn("order", F.struct(F.xxhash64("doc_id"), F.xxhash64("text")))
+    if counts:
+        picked = picked.where(F.pmod(F.col("order.col1"), F.lit(2**40)) < share[F.col("lang")] * 2**40)
+    picked = picked.withColumn("order", F.struct(F.pmod(F.col("order.col1"), F.lit(2**40)), "order"))
     picked = _smallest_per_group(picked, "lang", "order", fit_rows).select("lang", "text").collect()
     by_lang: dict[str, list[str]] = {}
     for r in picked:
