@@ -152,7 +152,9 @@ def _goals(spark, sf_dir):
 
 
 def _values(spark, sf_dir):
-    return planning.learn_q_values(_goals(spark, sf_dir), b.edges(spark, sf_dir), b.nodes(spark, sf_dir), b.mastery(spark, sf_dir), max_steps=2)
+    """Moves up to two steps from the start; ten rounds, the longest path that a rollout takes."""
+    edges, nodes, mastery = b.edges(spark, sf_dir), b.nodes(spark, sf_dir), b.mastery(spark, sf_dir)
+    return planning.learn_q_values(_goals(spark, sf_dir), edges, nodes, mastery, max_steps=2, rounds=10)
 
 
 @query()
