@@ -1,0 +1,109 @@
+"""Near-duplicate texts by exact Jaccard similarity of word shingles: the pipeline's stage.
+
+Candidates come from MinHash: ``BANDS`` bands of ``ROWS`` minima each, so that a pair of similarity 0.8 shares no band
+with a chance of (1 - 0.8^4)^20, about 3e-5. The members of a bucket are compared with its leaders, the smallest member
+of each of several slots: nearly all pairs of a small bucket, and a few leaders for each member of a large one, so that
+rows grow with the input. Each candidate pair is then decided by the shingle sets themselves, so that no document goes
+that has no similar one. Equal sets are one entry.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+from .simhash import SEED, without_copies
+
+SHINGLE = 5
+#: Documents link at a Jaccard similarity of ``NUMERATOR / DENOMINATOR`` or more.
+NUMERATOR, DENOMINATOR = 4, 5
+BANDS, ROWS = 20, 4
+#: Buckets of more than ``SMALL`` members have ``FEW`` slots for leaders, the others ``MANY``.
+SMALL, MANY, FEW = 64, 32, 4
+
+_rng = np.random.default_rng(SEED)
+_XOR = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64)
+_ODD = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_MIX = _rng.integers(0, 2**64, ROWS, np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The different XXH64 of all word shingles, in order; a text of fewer words is one shingle."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8", max(1, len(words) - shingle + 1)))
+
+
+def digest(shingles: np.ndarray) -> int:
+    """One number for a set; 0 for the empty one."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) if len(shingles) else 0
+
+
+def band_values(shingles: np.ndarray) -> np.ndarray:
+    """One number for each band, from the minima of ``ROWS`` permutations."""
+    if not len(shingles):
+        return np.zeros(BANDS, np.uint64)
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        low = np.minimum(low, ((shingles[at : at + 4096, None] ^ _XOR) * _ODD).min(0))
+    return (low.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64)
+
+
+def _sets(docs: DataFrame, of, name: str, shingle: int) -> DataFrame:
+    """Columns doc_id, fp (the digest of the set), text_hash, and ``of(set)`` as an array of longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
+            fps = pa.array(np.array([digest(s) for s in found], np.uint64).view(np.int64))
+            values = pa.array([of(s).view(np.int64) for s in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, batch.column(2), values], ["doc_id", "fp", "text_hash", name])
+
+    return docs.mapInArrow(run, f"doc_id long, fp long, text_hash long, {name} array<long>")
+
+
+def candidates(prints: DataFrame) -> DataFrame:
+    """Different pairs (a, b), a < b, of entries that share a bucket of which one of them is a leader."""
+    rows = stored(prints.groupBy("fp").agg(F.first("bands").alias("bands")).select("fp", F.posexplode("bands").alias("t", "v")))
+    sizes = stored(rows.groupBy("t", "v").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = stored(rows.join(sizes, ["t", "v"]))
+    large = F.col("n") > SMALL
+    # In a large bucket the slots do not depend on the band, so that bands name the same pairs.
+    slot = F.when(large, F.pmod(F.xxhash64("fp"), F.lit(FEW))).otherwise(F.pmod(F.xxhash64("fp", "t"), F.lit(MANY)))
+    leaders = stored(shared.groupBy("t", "v", slot.alias("slot")).agg(F.min("fp").alias("leader")).drop("slot"))
+    pairs = shared.join(leaders, ["t", "v"]).where("fp <> leader")
+    return pairs.select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
+
+
+def similar_edges(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The candidate pairs (a, b) whose shingle sets are similar. ``docs`` has doc_id, text and text_hash."""
+    pairs = stored(candidates(prints))
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    texts = prints.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
+    sets = _sets(docs.join(texts, "text_hash", "left_semi").select("doc_id", "text", "text_hash"), lambda s: s, "shingles", shingle)
+    sets = stored(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")))
+    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("of_a"))
+    right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("of_b"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b")).alias("all"))
+    return rows.where(F.col("both") * DENOMINATOR >= NUMERATOR * (F.col("all") - F.col("both"))).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that stay, one document of each component (that with the smallest id), columns unchanged.
+
+    Documents link at a Jaccard similarity of 0.8 or more of their shingle sets. Documents without words are one
+    component. Of repeated rows of the smallest id each stays.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    prints = stored(_sets(own, band_values, "bands", shingle))
+    return without_copies(docs, prints.drop("bands"), similar_edges(own, prints, shingle))

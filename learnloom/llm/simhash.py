@@ -14,7 +14,7 @@ are abandoned along the way.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     link like any other. A null id is larger than any other. Repeated rows are kept each. An empty table stays empty.
     """
     prints = stored(fingerprints(docs, shingle))
-    groups = _groups(prints, radius)
+    groups = _groups(prints, lambda entries: near_edges(entries, radius))
     return prints.join(groups, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -244,10 +244,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     )
 
 
-def _groups(prints: DataFrame, radius: int) -> DataFrame:
-    """For each different fingerprint: the smallest doc_id of its component."""
+def _groups(prints: DataFrame, edges_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """For each different fingerprint: the smallest doc_id of its component by the edges (a, b) of the entries."""
     entries = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = connected_components(near_edges(entries, radius))
+    roots = connected_components(edges_of(entries))
     linked = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     linked = stored(linked.select("fp", "low", F.coalesce("root", "fp").alias("root")))
     lowest = stored(linked.groupBy("root").agg(F.min("low").alias("component_id")))
@@ -260,7 +260,16 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
     Of repeated rows of that id each stays.
     """
     prints = stored(fingerprints(docs, shingle))
-    gone = prints.join(_groups(prints, radius), "fp").where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _without(docs, prints, _groups(prints, lambda entries: near_edges(entries, radius)))
+
+
+def without_copies(docs: DataFrame, prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """As ``drop_near_duplicates``, for rows (doc_id, fp, text_hash) of the documents and edges (a, b) between their fp."""
+    return _without(docs, prints, _groups(prints, lambda _: edges))
+
+
+def _without(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame:
+    gone = prints.join(groups, "fp").where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     row = F.struct(F.col("doc_id").cast("long").alias("id"), F.col("text_hash").alias("text"))
     key = free_name(docs, "row_key")
     gone = stored(gone.select(row.alias(key)).distinct())
