@@ -152,9 +152,8 @@ def _goals(spark, sf_dir):
 
 
 def _values(spark, sf_dir):
-    """Moves up to two steps from the start; ten rounds, the longest path that a rollout takes."""
     edges, nodes, mastery = b.edges(spark, sf_dir), b.nodes(spark, sf_dir), b.mastery(spark, sf_dir)
-    return planning.learn_q_values(_goals(spark, sf_dir), edges, nodes, mastery, max_steps=2, rounds=10)
+    return planning.learn_q_values(_goals(spark, sf_dir), edges, nodes, mastery)
 
 
 @query()
@@ -164,4 +163,4 @@ def learn_q_values(spark, sf_dir):
 
 @query()
 def greedy_rollout(spark, sf_dir):
-    return planning.greedy_rollout(_goals(spark, sf_dir), _values(spark, sf_dir), 5)
+    return planning.greedy_rollout(_goals(spark, sf_dir), _values(spark, sf_dir))
