@@ -200,6 +200,12 @@ def clean_book_text(spark, sf_dir):
     return docs.select("doc_id", tx.clean_book_text(F.col("text"), r"\|\|\|").alias("text"))
 
 
+@query()
+def clean_book_text_whole(spark, sf_dir):
+    """All documents with the default patterns; the SQL of ``clean_book_text`` leaves out those with split numbers."""
+    return b.table(spark, sf_dir, "documents").select("doc_id", tx.clean_book_text(F.col("text")).alias("text"))
+
+
 @query(r"""SELECT doc_id, replace(replace(replace(replace(regexp_replace(replace(replace(replace(text, '\n', chr(10)), '\t', '    '), '\r', ''), 'l\\\.', 'i.', 'g'), 'O', '0'), '，', ','), '。', '.'), '：', ':') AS text FROM documents""")
 def clean_scanned_text(spark, sf_dir):
     return b.table(spark, sf_dir, "documents").select("doc_id", tx.clean_scanned_text(F.col("text")).alias("text"))
