@@ -34,7 +34,7 @@ TEXTBOOK_PATTERNS = [
     r"(int(?U:\s)+(?U:\w)+(?U:\s)*\([^\)]*\)).*?([^。.]*[。.])",
 ]
 # What a text must hold for each of them to match, so that most texts skip most patterns.
-TEXTBOOK_GUARDS = ["[是指表示代]", "[:：]", "的定义是", "所谓", "[—-]", "#include", r"main\(\)", "return", r"int\s"]
+TEXTBOOK_GUARDS = ["[是指表示代]", "[:：]", "的定义是", "所谓", "[—-]", "#include", r"main\(\)", "return", r"int(?U:\s)"]
 COMMENT_PATTERNS = [r"/\*(?U:\s)*(.*?)(?U:\s)*\*/", r"//(?U:\s)*(.*?)\z"]
 CONTROL_PATTERN = r"(if|while|for|switch|do)(?U:\s)*\([^\)]+\)(?U:\s)*\{"
 HEADING_PATTERN = r"(?U)(\d+\.\d+(?:\.\d+)?)\s+([^\n]+)"
