@@ -74,15 +74,27 @@ def parse_relation_responses(responses: DataFrame, concepts: DataFrame) -> DataF
 def extraction_requests(pages: DataFrame, points: DataFrame, vocabulary: DataFrame, batch: int = 5) -> DataFrame:
     """What to ask a model: book_id, page, strategy, part, prompt.
 
-    One request per page (first 1500 characters), one per ``batch`` vocabulary terms of a page (3000 characters), one per
-    leading paragraph, and one on relations between the 25 most important concepts of a book (page is null).
+    One request per 1500 characters of a page (part is the chunk's number), one per ``batch`` vocabulary terms that begin
+    in each 3000 characters of a page (whose text runs on as far as the longest term), one per leading paragraph, and one
+    on relations between the 25 most important concepts of a book (page is null).
     """
     ask = lambda head, body: F.concat_ws("\n", F.lit(head), body)
-    direct = pages.select("book_id", "page", F.lit("direct").alias("strategy"), F.lit(0).alias("part"), ask("List concepts and definitions as JSON.", F.substring("text", 1, 1500)).alias("prompt"))
-    rank = F.row_number().over(Window.partitionBy("book_id", "page").orderBy("term"))
-    hits = mining.vocabulary_hits(pages, vocabulary).select("book_id", "page", "term").distinct().withColumn("part", F.floor((rank - 1) / batch).cast("int"))
-    terms = hits.groupBy("book_id", "page", "part").agg(F.array_join(F.array_sort(F.collect_list("term")), ", ").alias("terms")).join(pages, ["book_id", "page"])
-    asked = terms.select("book_id", "page", F.lit("vocabulary").alias("strategy"), "part", F.concat_ws("\n", F.concat(F.lit("Define as JSON: "), "terms"), F.substring("text", 1, 3000)).alias("prompt"))
+
+    def chunks(size: int, more: int = 0) -> DataFrame:
+        last = F.greatest(F.ceil(F.coalesce(F.length("text"), F.lit(0)) / size).cast("int"), F.lit(1)) - 1
+        rows = pages.select("book_id", "page", "text", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+        return rows.withColumn("text", F.col("text").substr(F.col("chunk") * size + 1, F.lit(size + more)))
+
+    direct = chunks(1500).select("book_id", "page", F.lit("direct").alias("strategy"), F.col("chunk").alias("part"), ask("List concepts and definitions as JSON.", F.col("text")).alias("prompt"))
+    longest = vocabulary.agg(F.max(F.length("term"))).first()[0] or 1
+    parts = chunks(3000, longest - 1).withColumn("at", F.struct("page", "chunk")).drop("page", "chunk")
+    found = mining.vocabulary_hits(parts.withColumnRenamed("at", "page"), vocabulary).select("book_id", F.col("page").alias("at"), "term").distinct()
+    begins = F.expr("instr(lower(text), lower(term))") <= 3000
+    rank = F.row_number().over(Window.partitionBy("book_id", "at").orderBy("term"))
+    hits = found.join(parts, ["book_id", "at"]).where(begins).select("book_id", "at", "term", F.floor((rank - 1) / batch).cast("int").alias("n"))
+    terms = hits.groupBy("book_id", "at", "n").agg(F.array_join(F.array_sort(F.collect_list("term")), ", ").alias("terms"))
+    part = (F.row_number().over(Window.partitionBy("book_id", "at.page").orderBy("at.chunk", "n")) - 1).alias("part")
+    asked = terms.withColumn("part", part).join(parts, ["book_id", "at"]).select("book_id", F.col("at.page").alias("page"), F.lit("vocabulary").alias("strategy"), "part", F.concat_ws("\n", F.concat(F.lit("Define as JSON: "), "terms"), "text").alias("prompt"))
     paragraphs = pg.leading_paragraphs(pages, separator="\n").select("book_id", "page", F.lit("paragraph").alias("strategy"), F.col("pos").alias("part"), ask("List concepts and definitions as JSON.", F.col("paragraph")).alias("prompt"))
     top = top_concepts_by_importance(points).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("place", "concept"))).alias("c"))
     related = top.select("book_id", F.lit(None).cast("long").alias("page"), F.lit("relations").alias("strategy"), F.lit(0).alias("part"), ask("Relate these concepts as JSON.", F.array_join(F.transform("c", lambda x: x["concept"]), ", ")).alias("prompt"))
