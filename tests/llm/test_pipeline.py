@@ -9,7 +9,7 @@ import corpus_pipeline
 from learnloom.llm import mixing
 from learnloom.llm.tokens import default_path
 
-from test_dedup import slow_fingerprint
+from test_similar import brute_force
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -50,16 +50,9 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
         first.setdefault(re.sub(r"[ \t-\r]+", " ", r[1]), r)
     assert sorted(kept["exact_dedup"], key=lambda r: r[0]) == sorted(first.values(), key=lambda r: r[0])
 
-    fps = {r[0]: slow_fingerprint(r[1]) for r in first.values()}
-    lowest = {}
-    for i in fps:
-        seen, todo = {i}, [i]
-        while todo:
-            x = todo.pop()
-            new = [y for y in fps if y not in seen and bin(fps[x] ^ fps[y]).count("1") <= 4]
-            seen, todo = seen | set(new), todo + new
-        lowest[i] = min(seen)
-    assert sorted(r[0] for r in kept["near_dedup"]) == sorted(i for i in fps if lowest[i] == i)
+    root = brute_force({r[0]: r[1] for r in first.values()})
+    assert sorted(r[0] for r in kept["near_dedup"]) == sorted(i for i, low in root.items() if low == i)
+    assert len(kept["near_dedup"]) < len(root)
 
     sizes = Counter()
     for _, text, _, source, _ in kept["near_dedup"]:

@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from learnloom.llm import near_texts
+from learnloom.llm import simhash
 
 
 def shingles(text):
@@ -36,7 +36,7 @@ def corpus():
                 copy[rng.randrange(len(copy))] = "changed"
             rows[len(rows)] = " ".join(copy)
     base = [f"h{i}" for i in range(80)]
-    for i in range(150):  # a bucket of more than SMALL
+    for i in range(150):  # one large group
         rows[len(rows)] = " ".join(base[:-1] + [f"end{i}"])
     return rows | {9000: "", 9001: None, 9002: "one two", 9003: "One  two", 9004: "one three"}
 
@@ -54,6 +54,6 @@ def test_stage_takes_repeated_rows_null_ids_and_no_rows(spark, docs):
     words = [f"w{i}" for i in range(100)]
     one, near, other = " ".join(words), " ".join(words[:-1] + ["x"]), " ".join(reversed(words))
     rows = [(None, one), (3, near), (3, near), (4, one), (5, other)]
-    kept = near_texts.drop_near_duplicates(docs(rows))
+    kept = simhash.drop_similar(docs(rows))
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, near), (3, near), (5, other)]
-    assert near_texts.drop_near_duplicates(docs(rows).where("false")).count() == 0
+    assert simhash.drop_similar(docs(rows).where("false")).count() == 0

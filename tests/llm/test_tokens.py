@@ -81,4 +81,26 @@ def test_best_two_fit_uses_each_length_once(seed):
         for x in b:
             used[x] = used.get(x, 0) + n
     assert used == counts
-    assert sum(n for _, n in bins) <= 1.01 * lengths.sum() / 64 + 1
+    n = sum(n for _, n in bins)
+    assert n <= 1.01 * fewest(lengths, 64) and n <= 1.002 * first_fit_decreasing(lengths, 64)
+
+
+def fewest(lengths, capacity):
+    """The L2 lower bound of Martello and Toth: long pieces have bins of their own, middle ones fill what they leave."""
+    best = 0
+    for k in range(capacity // 2 + 1):
+        alone, half = lengths[lengths > capacity - k], lengths[(lengths > capacity // 2) & (lengths <= capacity - k)]
+        rest = lengths[(lengths <= capacity // 2) & (lengths >= k)]
+        best = max(best, len(alone) + len(half) + max(0, -(-(rest.sum() - (capacity * len(half) - half.sum())) // capacity)))
+    return best
+
+
+def first_fit_decreasing(lengths, capacity):
+    room = []
+    for x in sorted(lengths.tolist(), reverse=True):
+        at = next((i for i, r in enumerate(room) if r >= x), None)
+        if at is None:
+            room.append(capacity - x)
+        else:
+            room[at] -= x
+    return len(room)
