@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from learnloom.llm import exact_dedup, language_id, mixing, near_texts, packing
+from learnloom.llm import exact_dedup, language_id, mixing, packing, simhash
 from learnloom.llm.common import stored, table
 
 
@@ -25,8 +25,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return near_texts.drop_near_duplicates(docs)
+    """Keeps one document of each group of near duplicates: SimHash finds them, a Jaccard similarity of 0.8 of five-word shingles links them."""
+    return simhash.drop_similar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
