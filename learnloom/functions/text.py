@@ -53,7 +53,9 @@ SCAN_SWAPS = [
 SCAN_PATTERNS = [
     (r"(?U)\bif\s*\(", "if ("), (r"(?U)\bfor\s*\(", "for ("), (r"(?U)\bwhile\s*\(", "while ("), (r"(?U)\breturn\s*;", "return;"),
     (r"(?U)\bprintf\s*\(", "printf("), (r"(?U)\bscanf\s*\(", "scanf("),
-    (r"(?U)\b(int|float|char|double|void)\s+([a-zA-Z_][a-zA-Z0-9_]*)", "$1 $2"),
+    (r"(?U)\bint\s+([a-zA-Z_][a-zA-Z0-9_]*)", "int $1"), (r"(?U)\bfloat\s+([a-zA-Z_][a-zA-Z0-9_]*)", "float $1"),
+    (r"(?U)\bchar\s+([a-zA-Z_][a-zA-Z0-9_]*)", "char $1"), (r"(?U)\bdouble\s+([a-zA-Z_][a-zA-Z0-9_]*)", "double $1"),
+    (r"(?U)\bvoid\s+([a-zA-Z_][a-zA-Z0-9_]*)", "void $1"),
 ]
 # Swaps of the basic cleaner.
 BASIC_SWAPS = [("．", "."), ("，", ","), ("：", ":"), ("；", ";"), ("0", "O"), ("l", "i"), ("|", "I")]

@@ -2,30 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
+#: Terms whose grams are broadcast at most (some 100 bytes each); more are joined by exchange.
+BROADCAST_TERMS = 500_000
+
 
 def character_grams(text: Column, n: int) -> Column:
-    """The different runs of ``n`` characters of a text (at most ``n`` if it is shorter)."""
+    """The different runs of ``n`` characters of a text; none if it is shorter."""
     chars = F.split(text, "")
-    shifted = [F.slice(chars, i + 1, F.greatest(F.size(chars) - i, F.lit(0))).alias(f"c{i}") for i in range(n)]
+    size = F.size(chars) - (n - 1)
+    shifted = [F.slice(chars, i + 1, F.greatest(size, F.lit(0))).alias(f"c{i}") for i in range(n)]
     return F.array_distinct(F.transform(F.arrays_zip(*shifted), lambda z: F.concat_ws("", *[z[f"c{i}"] for i in range(n)])))
 
 
-def contained_terms(texts: DataFrame, keys: list[str], terms: DataFrame, gram: int = 3) -> DataFrame:
+def contained_terms(texts: DataFrame, keys: list[str], terms: DataFrame, gram: int = 3, within: Sequence[str] = ()) -> DataFrame:
     """Pairs of a text (``keys``) and a term that occurs in it: keys and ``term``.
 
-    ``texts`` has keys, which name a row, and ``text``; ``terms`` has ``term``. A term is known by its rarest run of
-    ``gram`` characters (by the terms it occurs in), a text by all its runs, and only pairs that share one are tested.
-    Terms shorter than ``gram`` are known by one character. Grams travel without the text, which meets its candidate
-    terms only. The test is exact: a term that occurs in a text shares all its runs with it.
+    ``texts`` has keys, which name a row, and ``text``; ``terms`` has ``term`` and the columns ``within`` (some of the
+    keys), in which text and term must agree. A term is known by its rarest run of ``gram`` characters among the terms
+    (a shorter term by itself), and only texts with that run are tested. The test is exact: a text that holds a term
+    holds all its runs.
+
+    The runs of a text meet the terms' runs without the text. Up to ``BROADCAST_TERMS`` terms are sent to the texts, so
+    runs that no term is known by are dropped where they arise; more terms meet them by exchange, before which Spark's
+    runtime filters drop most of them. Then only texts with a candidate are read.
     """
-    terms = terms.where("term <> ''").select("term").distinct()
-    own = F.filter(character_grams(F.col("term"), gram), lambda g: F.length(g) == gram)
-    keyed = terms.select("term", F.explode(F.when(F.length("term") >= gram, own).otherwise(character_grams(F.col("term"), 1))).alias("gram"))
-    counted = keyed.join(keyed.groupBy("gram").agg(F.count("*").alias("n")), "gram")
-    rarest = counted.groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    runs = F.array_union(character_grams(F.col("text"), gram), character_grams(F.col("text"), 1))
-    found = texts.select(*keys, F.explode(runs).alias("gram")).join(rarest, "gram").drop("gram")
-    return found.join(texts.select(*keys, "text"), keys).where(F.contains("text", "term")).select(*keys, "term")
+    within = list(within)
+    terms = stored(terms.where("term <> ''").select(*within, "term").distinct())
+    sizes = [r["n"] for r in terms.select(F.least(F.length("term"), F.lit(gram)).alias("n")).distinct().collect()]  # at most ``gram`` rows
+    keyed = terms.select(*within, "term", F.explode(F.when(F.length("term") < gram, F.array("term")).otherwise(character_grams(F.col("term"), gram))).alias("gram"))
+    counted = keyed.join(keyed.groupBy(*within, "gram").agg(F.count("*").alias("n")), [*within, "gram"])
+    known = stored(counted.groupBy(*within, "term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")))
+    runs = F.concat(*[character_grams(F.col("text"), n) for n in sorted(sizes)]) if sizes else F.array().cast("array<string>")
+    small = terms.count() <= BROADCAST_TERMS
+    found = texts.select(*keys, F.explode(runs).alias("gram")).join(F.broadcast(known) if small else known, [*within, "gram"]).select(*keys, "term")
+    return texts.select(*keys, "text").join(stored(found), keys).where(F.contains("text", "term")).select(*keys, "term")

@@ -37,6 +37,8 @@ def fuse_emotions(pairs: DataFrame) -> DataFrame:
 def smooth_emotions(fused: DataFrame, order: list[str], history: int = 5) -> DataFrame:
     """Smooths each session's fused results over the last ``history`` unsmoothed ones: adds smoothed, emotion, confidence.
 
+    With ``order`` the number of the pair, results follow each other as they are complete, which is what the stream does.
+
     Results with an error are left out; learning states stay those of the current row.
     """
     last = Window.partitionBy("session_id").orderBy(*order).rowsBetween(1 - history, 0)
@@ -62,11 +64,11 @@ def bounded_series(rows: DataFrame, key: list[str], order: list[str], n: int = 1
 
 
 def series(rows: DataFrame, key: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
-    """One aligned array for each name of ``values`` and one of labels, in order, per key; missing values are 0."""
+    """One aligned array for each name of ``values`` and one of labels (times as text), in order, per key; missing values are 0."""
     filled = [F.coalesce(v, F.lit(0.0)).alias(n) for n, v in values.items()]
     at = F.struct(*order, *[f.alias(n) for f, n in zip(filled, values)])
     listed = rows.groupBy(*key).agg(F.array_sort(F.collect_list(at)).alias("all"))
-    return listed.select(*key, F.transform("all", lambda x: x[order[0]]).alias("labels"), *[_field("all", n) for n in values])
+    return listed.select(*key, F.transform("all", lambda x: F.date_format(x[order[0]], "yyyy-MM-dd HH:mm:ss")).alias("labels"), *[_field("all", n) for n in values])
 
 
 def _field(array: str, name: str) -> Column:

@@ -6,32 +6,10 @@ of their ends where they are not all concepts).
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def shared_path(spark: SparkSession) -> str:
-    """A new path in the checkpoint folder, which the driver and all executors share.
-
-    The session names the folder in spark.checkpoint.dir; only a local session without one gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read again, so that a round of an iteration starts from a table."""
-    path = shared_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..storage import stored
 
 
 def get_concept(nodes: DataFrame, names: DataFrame) -> DataFrame:
@@ -166,13 +144,13 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     before; a level is stored, so the plan does not grow.
     """
     step = edges.select(F.col("src").alias("name"), F.col("dst").alias("next")).distinct()
-    seen = settled(
+    seen = stored(
         starts.select("start").distinct().select("start", F.col("start").alias("name"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
     )
     frontier = seen
     for depth in range(1, max_depth + 1):
         met = frontier.select("start", "name").join(step, "name").groupBy("start", F.col("next").alias("name")).agg(F.min(F.col("name")).alias("parent"))
-        frontier = settled(met.join(seen, ["start", "name"], "left_anti").select("start", "name", F.lit(depth).alias("depth"), "parent"))
+        frontier = stored(met.join(seen, ["start", "name"], "left_anti").select("start", "name", F.lit(depth).alias("depth"), "parent"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -191,7 +169,7 @@ def shortest_learning_path(edges: DataFrame, pairs: DataFrame, max_depth: int =
     at = pairs.join(levels.withColumnRenamed("name", "target"), ["start", "target"]).select("start", "target", F.col("target").alias("name"), "depth", "parent")
     steps = []
     for _ in range(max_depth):
-        at = settled(at)
+        at = stored(at)
         steps.append(at.select("start", "target", F.col("depth").alias("step"), F.col("parent").alias("src"), F.col("name").alias("dst")))
         at = at.where("depth > 1").select("start", "target", F.col("parent").alias("name")).join(levels, ["start", "name"]).select("start", "target", "name", "depth", "parent")
     every = steps[0]

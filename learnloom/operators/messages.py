@@ -66,19 +66,19 @@ def build_prompts(messages: DataFrame, queries: DataFrame, instruction: str, pla
     return rows.select("session_id", "query", F.when(F.col("told").isNotNull(), with_history).otherwise(F.concat_ws("\n", F.lit(plain), F.concat(F.lit("Q: "), "query"), F.lit("A:"))).alias("prompt"))
 
 
-# Names of the levels of detail and tones; the wording of the instructions is our own.
+# Names of the levels of detail and tones. What they add to a prompt is our own.
 DETAILS = {
-    "very_basic": "Use the simplest words and an everyday comparison.",
-    "basic": "Use simple words and no jargon.",
-    "medium": "Balance basics and depth, and explain each technical term.",
-    "advanced": "Explain theory and use in technical terms.",
-    "expert": "Discuss edge cases and recent research.",
+    "very_basic": "No term without an image from daily life.",
+    "basic": "Short sentences; a newcomer reads this.",
+    "medium": "First the idea, then how it works.",
+    "advanced": "Include the derivation.",
+    "expert": "Name open questions and limits.",
 }
 TONES = {
-    "encouraging": "Encourage, and stress progress.",
-    "neutral": "Be objective and plain.",
-    "positive": "Show what is interesting and useful.",
-    "empathetic": "Acknowledge that this can be hard.",
+    "encouraging": "Point out what the reader can do by now.",
+    "neutral": "Keep to the facts.",
+    "positive": "Show why it is worth knowing.",
+    "empathetic": "Say which part takes most people long.",
 }
 
 
@@ -94,14 +94,50 @@ def query_knowledge(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     return requests.join(known, "concept", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def process_commands(commands: DataFrame) -> DataFrame:
-    """Answers to commands (id, data): command, session_id, concept, error. Session ids come from the message id."""
+COMMANDS = ("init_session", "end_session", "query_knowledge", "recommend_knowledge")
+
+
+def parse_commands(commands: DataFrame) -> DataFrame:
+    """Commands (id, data) as command, session_id, student_id, concept and error; works on streams too.
+
+    A new session is named after the message.
+    """
     command = F.coalesce(F.get_json_object("data", "$.command"), F.lit(""))
     param = lambda p: F.get_json_object("data", f"$.params.{p}")
-    known = command.isin("init_session", "end_session", "query_knowledge", "recommend_knowledge")
     session = F.when(command == "init_session", F.concat(F.lit("session_"), "id")).when(command == "end_session", F.coalesce(param("session_id"), F.lit("")))
-    concept = F.when(command.isin("query_knowledge", "recommend_knowledge"), F.coalesce(param("concept"), F.lit("")))
-    return commands.select("id", command.alias("command"), session.alias("session_id"), concept.alias("concept"), F.when(~known, F.concat(F.lit("unknown command: "), command)).alias("error"))
+    concept = F.when(command.isin(*COMMANDS[2:]), F.coalesce(param("concept"), F.lit("")))
+    return commands.select(
+        "id", command.alias("command"), session.alias("session_id"), param("student_id").cast("long").alias("student_id"), concept.alias("concept"),
+        F.when(~command.isin(*COMMANDS), F.concat(F.lit("unknown command: "), command)).alias("error"),
+    )
+
+
+def process_commands(commands: DataFrame, nodes: DataFrame, edges: DataFrame, mastery: DataFrame, emotions: DataFrame | None = None, limit: int = 5) -> DataFrame:
+    """Answers to commands (id, data): those of :func:`parse_commands` with definition, difficulty and importance of a
+    queried concept, and the names of recommended concepts, best first.
+
+    An unknown concept is an error of a query; without a recommendation the array is empty. Commands that ask the same
+    are answered together.
+    """
+    from .recommend import recommend_related_concepts
+
+    rows = parse_commands(commands)
+    asked = F.col("command") == "query_knowledge"
+    wanted = rows.where(asked).select("concept").distinct()
+    known = query_knowledge(wanted, nodes).where("found").select("concept", "definition", "difficulty", "importance", F.lit(True).alias("found"))
+    told = rows.where("command = 'recommend_knowledge'").select("student_id", "concept").distinct()
+    ordered = F.array_sort(F.collect_list(F.struct("place", "name")))
+    best = recommend_related_concepts(told, edges, nodes, mastery, emotions, limit).groupBy("student_id", "concept")
+    best = best.agg(F.transform(ordered, lambda x: x["name"]).alias("recommendations"))
+    one = rows.where(asked).join(known, "concept", "left").withColumn("recommendations", F.lit(None).cast("array<string>"))
+    two = rows.where("command = 'recommend_knowledge'").join(best, ["student_id", "concept"], "left")
+    two = two.withColumn("recommendations", F.coalesce("recommendations", F.array().cast("array<string>")))
+    none = {c: F.lit(None).cast(k) for c, k in (("definition", "string"), ("difficulty", "int"), ("importance", "int"), ("found", "boolean"))}
+    rest = rows.where(~F.col("command").isin(*COMMANDS[2:])).withColumns(none | {"recommendations": F.lit(None).cast("array<string>")})
+    every = one.unionByName(two.withColumns(none)).unionByName(rest)
+    lost = (F.col("command") == "query_knowledge") & F.col("found").isNull()
+    error = F.when(lost, F.concat(F.lit("unknown concept: "), "concept")).otherwise(F.col("error"))
+    return every.select("id", "command", "session_id", "concept", "definition", "difficulty", "importance", "recommendations", error.alias("error"))
 
 
 def decode_payloads(messages: DataFrame, payload: str = "payload", most: int = 10 * 2**20) -> DataFrame:
@@ -129,10 +165,43 @@ def dedupe_requests(requests: DataFrame, key: list[str], order: str = "seq") ->
     return requests.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("first"), F.count("*").alias("answers")).select(*key, "first.*", "answers")
 
 
-def teaching_turns(queries: DataFrame, nodes: DataFrame, intents=tx.TEACHING_INTENTS) -> DataFrame:
-    """Each query (session_id, seq, content, concept) with its intent and what answers it: the handler's name."""
-    intent = tx.detect_teaching_intent(F.col("content"), intents)
-    handlers = {"concept_explanation": "explain", "example_request": "examples", "misconception_query": "misconceptions", "related_concepts": "related"}
-    handler = F.create_map(*[F.lit(x) for p in handlers.items() for x in p])
-    rows = queries.withColumn("intent", intent).withColumn("handler", F.coalesce(handler[F.col("intent")], F.lit("general")))
-    return query_knowledge(rows, nodes)
+def teaching_turns(
+    queries: DataFrame, nodes: DataFrame, edges: DataFrame, examples: DataFrame, misconceptions: DataFrame, emotions: DataFrame,
+    intents=tx.TEACHING_INTENTS, related: int = 3,
+) -> DataFrame:
+    """Each query (session_id, seq, content, concept) with its intent, the teaching strategy of its session and its answer.
+
+    ``emotions`` (session_id, at, emotion, attention, understanding) gives the session's latest state; without one the
+    strategy is neutral. The answer is an array: the definition of an explained concept, the names of as many examples as
+    the strategy says, the commonest misconception, or up to ``related`` neighbours by strength and name; else empty.
+    """
+    from ..functions.emotion import teaching_strategy
+    from .graph import concept_examples, concept_misconceptions, related_concepts
+
+    asked = queries.withColumn("intent", tx.detect_teaching_intent(F.col("content"), intents))
+    state = F.max_by(F.struct("emotion", "attention", "understanding"), "at").alias("state")
+    rows = asked.join(emotions.groupBy("session_id").agg(state), "session_id", "left")
+    strategy = teaching_strategy(F.coalesce("state.emotion", F.lit("neutral")), F.col("state.attention"), F.col("state.understanding"))
+    rows = rows.withColumns({"emotion": F.col("state.emotion"), "strategy": strategy}).drop("state")
+    names = asked.select(F.col("concept").alias("name")).distinct()
+
+    def listed(found: DataFrame, concept: str, order: list[Column]) -> DataFrame:
+        at = F.array_sort(F.collect_list(F.struct(*order, "name")))
+        return found.groupBy(F.col(concept).alias("concept")).agg(F.transform(at, lambda x: x["name"]).alias("answer"))
+
+    place = [F.col("place")]
+    near = related_concepts(edges, nodes, names, limit=None)
+    first = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("strength"), "name", "type")).alias("place")
+    near = near.select("src", "name", first).where(F.col("place") <= related)
+    answers = {
+        "concept_explanation": query_knowledge(names.withColumnRenamed("name", "concept"), nodes).where("found").select("concept", F.array("definition").alias("answer")),
+        "example_request": listed(concept_examples(examples, names, 2), "concept", place),
+        "misconception_query": listed(concept_misconceptions(misconceptions, names, 1), "concept", place),
+        "related_concepts": listed(near, "src", place),
+    }
+    every = None
+    for intent, found in answers.items():
+        part = found.select("concept", F.lit(intent).alias("intent"), "answer")
+        every = part if every is None else every.unionByName(part)
+    rows = rows.join(every, ["concept", "intent"], "left").withColumn("answer", F.coalesce("answer", F.array().cast("array<string>")))
+    return rows.withColumn("answer", F.when(F.col("intent") == "example_request", F.slice("answer", 1, F.col("strategy.example_count"))).otherwise(F.col("answer")))

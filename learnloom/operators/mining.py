@@ -155,17 +155,12 @@ def vocabulary_hits(pages: DataFrame, vocabulary: DataFrame, gram: int = 3) -> D
     return hits.select("book_id", "page", "domain", F.col("named").alias("term")).distinct()
 
 
-def detect_domain(pages: DataFrame, vocabulary: DataFrame, first_pages: int = 5, chars: int = 2000) -> DataFrame:
-    """Per book the domain with the most different terms in its first pages (cut to ``chars``); no row without a hit.
+def detect_domain(pages: DataFrame, vocabulary: DataFrame, gram: int = 3) -> DataFrame:
+    """Per book the domain with the most different terms in its pages: book_id, domain, terms; no row without a hit.
 
     Ties go to the first domain by name.
     """
-    rank = F.row_number().over(Window.partitionBy("book_id").orderBy("page"))
-    sample = pages.withColumn("page_rank", rank).where(F.col("page_rank") <= first_pages)
-    ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
-    text = F.substring(F.array_join(ordered["text"], "\n"), 1, chars)
-    sample = sample.groupBy("book_id").agg(text.alias("text")).withColumn("page", F.lit(0))
-    hits = vocabulary_hits(sample, vocabulary).groupBy("book_id", "domain").agg(F.count_distinct("term").alias("terms"))
+    hits = vocabulary_hits(pages, vocabulary, gram).groupBy("book_id", "domain").agg(F.count_distinct("term").alias("terms"))
     best = F.min_by(F.struct("domain", "terms"), F.struct(-F.col("terms"), "domain"))
     return hits.groupBy("book_id").agg(best.alias("best")).select("book_id", "best.domain", "best.terms")
 

@@ -21,6 +21,10 @@ SPAN_PATTERNS = [
 ]
 
 
+#: Pages of a book that are numbered together.
+RANGE = 1000
+
+
 def select_pages(pages: DataFrame, start_page: int = 0, max_pages: int | None = None) -> DataFrame:
     """Pages from ``start_page`` on, then the first ``max_pages`` of each book in page order (all if None)."""
     pages = pages.where(F.col("page") >= start_page)
@@ -124,10 +128,17 @@ def chapter_spans(pages: DataFrame, patterns: list[str] = SPAN_PATTERNS) -> Data
         range(len(patterns)),
         F.when(F.col("pattern") < 0, F.col("text")),
     )
-    parts = marked.select("book_id", "page", "pattern", F.posexplode(F.split(cut, "\u0000", -1)).alias("pos", "text"))
-    starts = (F.col("pos") > 0).cast("int")
-    order = Window.partitionBy("book_id").orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = parts.withColumn("span", F.sum(starts).over(order)).where((F.col("text") != "") & ((F.col("span") > 0) | (F.col("pattern") < 0)))
+    # Headings before a page: those of earlier ranges of pages, and those of earlier pages of its range, so that no task
+    # holds a whole book.
+    marked = marked.select("book_id", "page", "pattern", F.split(cut, "\u0000", -1).alias("parts"), F.floor(F.col("page") / RANGE).alias("range"))
+    starts = F.size("parts") - 1
+    own = Window.partitionBy("book_id", "range").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("book_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = marked.groupBy("book_id", "range").agg(F.sum(starts).alias("before"))
+    ranges = ranges.select("book_id", "range", F.coalesce(F.sum("before").over(ahead), F.lit(0)).alias("before"))
+    counted = marked.withColumn("inside", F.coalesce(F.sum(starts).over(own), F.lit(0))).join(ranges, ["book_id", "range"])
+    parts = counted.select("book_id", "page", "pattern", (F.col("before") + F.col("inside")).alias("before"), F.posexplode("parts").alias("pos", "text"))
+    numbered = parts.withColumn("span", F.col("before") + F.col("pos")).where((F.col("text") != "") & ((F.col("span") > 0) | (F.col("pattern") < 0)))
     title = reduce(
         lambda w, i: w.when(
             F.col("pattern") == i,

@@ -1,8 +1,7 @@
-"""Similar concept names: exact joins by a prefix filter, and greedy grouping as a maximal independent set.
+"""Similar concept names within a book: exact joins by a prefix filter, and greedy grouping as a maximal independent set.
 
 The similarity is the Ratcliff/Obershelp ratio ``2 M / (len a + len b)`` of Python's difflib. Equal characters that match
-are part of the common multiset of characters, so a ratio above ``t`` needs an overlap above ``t (la + lb) / 2``, and the
-shorter name has more than ``t / (2 - t)`` of the length of the longer.
+are part of the common multiset of characters, so a ratio above ``t`` needs an overlap above ``t (la + lb) / 2``.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .graph import settled
+from ..storage import replaced, stored
 
 
 def sequence_ratio(a: str, b: str) -> float:
@@ -33,26 +32,40 @@ def _tokens(name: Column) -> Column:
     return F.transform(F.arrays_zip(chars.alias("c"), F.transform(chars, lambda c, i: i).alias("i")), lambda z: F.concat_ws("#", z["c"], (z["i"] - F.array_position(chars, z["c"]).cast("int") + 1).cast("string")))
 
 
-def similar_pairs(names: DataFrame, threshold: float, keep_equal: bool = False) -> DataFrame:
-    """Pairs of different names (columns a, b; both orders of a pair) with ratio(a, b) above the threshold, and the ratio.
+def similar_pairs(names: DataFrame, threshold: float, late_first: bool = False) -> DataFrame:
+    """Pairs of similar names of a book, the earlier by ``seq`` as a: book_id, a, i, b, j, ratio.
 
-    ``names`` has name. No pair is lost: of a name's tokens, rare ones first, only those up to the smallest overlap need
-    to be joined on; lengths and the overlap are checked before the ratio is computed.
+    ``names`` has book_id, name and seq, each name of a book once. The ratio of difflib depends on the order of its
+    arguments; it is that of (a, b), or of (b, a) with ``late_first``. A pair of lengths n and m is similar only if
+    at least o = floor(t (n + m) / 2) + 1 characters are common, so the rarest n - o + 2 of the one and m - o + 2
+    of the other have two in common (one, if o is 1). Each name therefore has a row for each length that a partner may
+    have and each two of its rarest characters; book, both lengths and the two characters are the key. No pair is
+    lost; overlaps are checked before ratios are computed.
     """
-    least = threshold / (2 - threshold)
-    rows = names.select("name").distinct().where("name <> ''").withColumn("tokens", _tokens(F.col("name")))
-    each = rows.select("name", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    counts = each.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = each.join(counts, "token").groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    tokens = settled(ordered.select("name", "n", F.transform("t", lambda x: x["token"]).alias("tokens")))
-    prefix = F.slice("tokens", 1, F.greatest(F.lit(1), F.col("n") - F.floor(F.col("n") * threshold / (2 - threshold)).cast("int")))
-    keyed = tokens.select("name", "n", F.explode(prefix).alias("token"))
-    left, right = (keyed.select(F.col("name").alias(x), F.col("n").alias(f"n{x}"), "token") for x in "ab")
-    near = (F.col("a") != F.col("b")) & (F.least("na", "nb") > F.greatest("na", "nb") * least - 1e-9)
-    pairs = left.join(right, "token").where(near).select("a", "b", "na", "nb").distinct()
-    full = pairs.join(tokens.select(F.col("name").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("name").alias("b"), F.col("tokens").alias("tb")), "b")
-    enough = F.size(F.array_intersect("ta", "tb")) > (F.col("na") + F.col("nb")) * threshold / 2 - 1e-9
-    return full.where(enough).select("a", "b", ratio("a", "b").alias("ratio")).where(F.col("ratio") > threshold)
+    rows = names.where("name <> ''").select("book_id", "name", "seq", _tokens(F.col("name")).alias("tokens")).withColumn("n", F.size("tokens"))
+    each = rows.select("book_id", "name", "seq", "n", F.explode("tokens").alias("token"))
+    counts = each.groupBy("book_id", "token").agg(F.count("*").alias("df"))
+    ordered = each.join(counts, ["book_id", "token"]).groupBy("book_id", "name", "seq", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    tokens = stored(ordered.select("book_id", "name", "seq", "n", F.transform("t", lambda x: x["token"]).alias("tokens")))
+    least, slack = threshold / (2 - threshold), 1e-9
+    partner = F.explode(F.sequence(F.ceil(F.col("n") * least - slack).cast("int"), F.floor(F.col("n") / least + slack).cast("int")))
+    common = (F.floor((F.col("n") + F.col("m")) * (threshold / 2) - slack) + 1).cast("int")
+    keyed = tokens.withColumn("m", partner).withColumn("o", common).where(F.col("o") <= F.least("n", "m"))
+    prefix = F.array_sort(F.slice("tokens", 1, F.col("n") - F.col("o") + F.least(F.lit(2), F.col("o"))))
+    two = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.concat_ws("\u0001", x, y))))
+    keyed = keyed.withColumn("p", prefix).select(
+        "book_id", "name", "seq", "n", F.least("n", "m").alias("short"), F.greatest("n", "m").alias("long"), (F.col("n") + F.col("m")).alias("both"),
+        F.explode(F.when(F.col("o") == 1, F.col("p")).otherwise(two)).alias("key"),
+    )
+    on = ["book_id", "short", "long", "both", "key"]
+    side = lambda name, seq: keyed.select(*on, F.col("name").alias(name), F.col("seq").alias(seq), F.col("n").alias(f"n{name}"))
+    met = side("a", "i").join(side("b", "j"), on).where((F.col("i") < F.col("j")) & (F.col("na") + F.col("nb") == F.col("both")))
+    met = stored(met.select("book_id", "a", "i", "b", "j", "both").distinct())
+    of = lambda name: tokens.select("book_id", F.col("name").alias(name), F.col("tokens").alias(f"t{name}"))
+    full = met.join(of("a"), ["book_id", "a"]).join(of("b"), ["book_id", "b"])
+    enough = full.where(F.size(F.array_intersect("ta", "tb")) > F.col("both") * (threshold / 2) - slack)
+    value = ratio("b", "a") if late_first else ratio("a", "b")
+    return enough.select("book_id", "a", "i", "b", "j", value.alias("ratio")).where(F.col("ratio") > threshold)
 
 
 def near_duplicate_concepts(points: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -60,11 +73,8 @@ def near_duplicate_concepts(points: DataFrame, threshold: float = 0.8) -> DataFr
 
     Pairs of equal names are not expanded; their number follows from the counts of the names.
     """
-    firsts = points.groupBy("book_id", "concept").agg(F.min("seq").alias("seq"))
-    pairs = similar_pairs(firsts.select(F.col("concept").alias("name")), threshold)
-    i = firsts.select("book_id", F.col("concept").alias("a"), F.col("seq").alias("i"))
-    j = firsts.select("book_id", F.col("concept").alias("b"), F.col("seq").alias("j"))
-    return pairs.join(i, "a").join(j, ["book_id", "b"]).where("i < j").select("book_id", "i", "j", F.col("a").alias("concept_i"), F.col("b").alias("concept_j"), "ratio")
+    firsts = points.groupBy("book_id", F.col("concept").alias("name")).agg(F.min("seq").alias("seq"))
+    return similar_pairs(firsts, threshold).select("book_id", "i", "j", F.col("a").alias("concept_i"), F.col("b").alias("concept_j"), "ratio")
 
 
 def group_similar_concepts(points: DataFrame, threshold: float = 0.85, max_rounds: int = 200) -> DataFrame:
@@ -74,18 +84,15 @@ def group_similar_concepts(points: DataFrame, threshold: float = 0.85, max_round
     set of the similarity graph in order of ``seq`` and are found in rounds: who has an earlier leader as neighbour is a
     member; who has neither an earlier leader nor an undecided earlier neighbour leads.
     """
-    firsts = settled(points.groupBy("book_id", "concept").agg(F.min("seq").alias("seq")))
-    pairs = similar_pairs(firsts.select(F.col("concept").alias("name")), threshold)
-    # The later name is the first argument of the ratio.
-    late = firsts.select("book_id", F.col("concept").alias("a"), F.col("seq").alias("late"))
-    early = firsts.select("book_id", F.col("concept").alias("b"), F.col("seq").alias("early"))
-    edges = settled(pairs.join(late, "a").join(early, ["book_id", "b"]).where("early < late").select("late", "early"))
-    state = settled(firsts.select("seq", F.lit(0).alias("state")))  # 0 undecided, 1 leader, 2 member
+    firsts = stored(points.groupBy("book_id", "concept").agg(F.min("seq").alias("seq")))
+    pairs = similar_pairs(firsts.withColumnRenamed("concept", "name"), threshold, late_first=True)
+    edges = stored(pairs.select(F.col("j").alias("late"), F.col("i").alias("early")))
+    state = stored(firsts.select("seq", F.lit(0).alias("state")))  # 0 undecided, 1 leader, 2 member
     for _ in range(max_rounds):
         met = edges.join(state.select(F.col("seq").alias("early"), F.col("state").alias("s")), "early").groupBy(F.col("late").alias("seq"))
         met = met.agg(F.max((F.col("s") == 1).cast("int")).alias("led"), F.max((F.col("s") == 0).cast("int")).alias("open"))
         now = F.when(F.col("state") != 0, F.col("state")).when(F.coalesce("led", F.lit(0)) == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
-        state = settled(state.join(met, "seq", "left").select("seq", now.alias("state")))
+        state = replaced(state, stored(state.join(met, "seq", "left").select("seq", now.alias("state"))))
         if state.where("state = 0").isEmpty():
             break
     else:

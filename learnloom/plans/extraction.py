@@ -17,23 +17,34 @@ def _unfenced(response: Column) -> Column:
     return F.trim(F.regexp_replace(response, r"```(json)?", ""))
 
 
+# Repairs of broken JSON, in order.
+REPAIRS = [(r"'", '"'), (r",\s*\}", "}"), (r",\s*\]", "]"), (r"(\w+):", '"$1":')]
+SECOND_REPAIRS = [
+    (r'("[^"]+")(\s*)([^:"\s{}\[\]]+)(\s*)([:,])', "$1$2:$3$4$5"),
+    (r':(\s*)([^"{}\[\],\d][^,}\]]*?)([,}\]])', ':$1"$2"$3'),
+]
+# Where a response holds its array, or its objects.
+ARRAY, OBJECT = r"(?s)\[\s*\{.*?\}\s*\]", r'(?s)\{\s*"concept".*?\}'
+
+
 def _repaired(text: Column) -> Column:
     """Double quotes, no trailing commas, quoted keys."""
-    for pattern, to in ((r"'", '"'), (r",\s*\}", "}"), (r",\s*\]", "]"), (r"(\w+):", '"$1":')):
+    for pattern, to in REPAIRS:
         text = F.regexp_replace(text, pattern, to)
     return text
 
 
 def _repaired_again(text: Column) -> Column:
     """Colons after keys and quotes around bare values."""
-    text = F.regexp_replace(text, r'("[^"]+")(\s*)([^:"\s{}\[\]]+)(\s*)([:,])', "$1$2:$3$4$5")
-    return F.regexp_replace(text, r':(\s*)([^"{}\[\],\d][^,}\]]*?)([,}\]])', ':$1"$2"$3')
+    for pattern, to in SECOND_REPAIRS:
+        text = F.regexp_replace(text, pattern, to)
+    return text
 
 
 def _first_array(response: Column) -> Column:
     """The first JSON array of objects in a text, else all its objects as one array, else empty."""
-    array = F.regexp_extract(response, r"(?s)\[\s*\{.*?\}\s*\]", 0)
-    objects = F.regexp_extract_all(response, F.lit(r'(?s)\{\s*"concept".*?\}'), F.lit(0))
+    array = F.regexp_extract(response, ARRAY, 0)
+    objects = F.regexp_extract_all(response, F.lit(OBJECT), F.lit(0))
     return F.when(array != "", array).when(F.size(objects) > 0, F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]"))).otherwise("")
 
 
@@ -104,14 +115,30 @@ def extraction_requests(pages: DataFrame, points: DataFrame, vocabulary: DataFra
     return every
 
 
-def strategy_cascade(pages: DataFrame, direct: DataFrame, vocabulary: DataFrame, paragraph: DataFrame, patterns: list[str] = mining.DEFINITION_PATTERNS) -> DataFrame:
-    """The points that count for each page.
+def strategy_cascade(
+    pages: DataFrame, direct: DataFrame, vocabulary: DataFrame, paragraph: DataFrame, retry: DataFrame, pieces: DataFrame,
+    patterns: list[str] = mining.DEFINITION_PATTERNS,
+) -> DataFrame:
+    """The points that count for each page, with ``strategy_rank`` from 0: direct, vocabulary, paragraph, retry, patterns, pieces.
 
-    Two or more direct points stand alone; fewer are joined by those of vocabulary and paragraphs; a page without any of
-    the three gets what the definition patterns find.
+    Two or more direct points stand alone; fewer are joined by those of vocabulary and leading paragraphs. A page without
+    any of the three gets the points of the second request (``retry``); without these, what the definition patterns
+    find; and without these, the points of its paragraphs of over 100 characters, one request each (``pieces``).
     """
     key = ["book_id", "page"]
+    without = lambda points, *found: _left(points, key, *found)
     enough = direct.groupBy(*key).agg(F.count("*").alias("n")).where("n >= 2").select(*key)
-    more = mining.union_points(direct, vocabulary.join(enough, key, "left_anti"), paragraph.join(enough, key, "left_anti"))
-    mined = mining.mine_definitions(pages.join(more.select(*key).distinct(), key, "left_anti"), patterns)
-    return more.unionByName(mined.select(*direct.columns).withColumn("strategy_rank", F.lit(3)))
+    more = mining.union_points(direct, without(vocabulary, enough), without(paragraph, enough))
+    again = without(retry, more)
+    mined = mining.mine_definitions(without(pages, more, retry), patterns).select(*direct.columns)
+    last = without(pieces, more, retry, mined)
+    for rank, part in ((3, again), (4, mined), (5, last)):
+        more = more.unionByName(part.withColumn("strategy_rank", F.lit(rank)))
+    return more
+
+
+def _left(rows: DataFrame, key: list[str], *found: DataFrame) -> DataFrame:
+    """The rows of pages that have none of the points found."""
+    for f in found:
+        rows = rows.join(f.select(*key).distinct(), key, "left_anti")
+    return rows

@@ -37,9 +37,12 @@ def leading_paragraphs(spark, sf_dir):
     return pg.leading_paragraphs(b.pages(spark, sf_dir), 3, 150, "\n")
 
 
-@query("SELECT source AS book_id, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents WHERE text IS NOT NULL GROUP BY source")
+@query("""SELECT coalesce(source, '') || '/' || (doc_id // 100) AS book_id, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents
+ WHERE text IS NOT NULL GROUP BY ALL""")
 def book_text(spark, sf_dir):
-    return pg.book_text(b.pages(spark, sf_dir))
+    """A book for each hundred documents of a source, so that a book stays of a book's size."""
+    book = F.concat_ws("/", F.coalesce("book_id", F.lit("")), F.floor(F.col("page") / 100))
+    return pg.book_text(b.pages(spark, sf_dir).withColumn("book_id", book))
 
 
 CHAPTER, SECTION = r"(\d\d)\d* ([^\n ]+)", r"(\d)(\d)\d* ([^\n ]+)"
@@ -167,12 +170,10 @@ def vocabulary_hits(spark, sf_dir):
     return mining.vocabulary_hits(b.pages(spark, sf_dir), b.vocabulary(spark, sf_dir), 6)
 
 
-@query(f"""WITH {b.VOCABULARY}, p AS (SELECT source AS book_id, text, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5),
- s AS (SELECT book_id, substr(string_agg(text, chr(10) ORDER BY doc_id), 1, 2000) AS text FROM p GROUP BY book_id),
- h AS (SELECT book_id, domain, count(DISTINCT term) AS terms FROM s JOIN vocabulary ON contains(lower(text), lower(term)) GROUP BY ALL)
+@query(f"""WITH {b.VOCABULARY}, h AS (SELECT source AS book_id, domain, count(DISTINCT term) AS terms FROM documents JOIN vocabulary ON contains(lower(text), lower(term)) GROUP BY ALL)
 SELECT book_id, domain, terms FROM h QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY terms DESC, domain) = 1""")
 def detect_domain(spark, sf_dir):
-    return mining.detect_domain(b.pages(spark, sf_dir), b.vocabulary(spark, sf_dir))
+    return mining.detect_domain(b.pages(spark, sf_dir), b.vocabulary(spark, sf_dir), 6)
 
 
 TERMS = ["token", "Licensed", "example"]
@@ -191,18 +192,9 @@ def mine_textbook(spark, sf_dir):
     return mining.mine_textbook(b.pages(spark, sf_dir), TERMS)
 
 
-_SWAPPED = "replace(replace(replace(text, 'O', '0'), '.', '.'), 'l', 'I')"
-
-
-@query(rf"""SELECT doc_id, regexp_replace({_SWAPPED}, '\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM documents WHERE NOT regexp_matches(text, '\d[.\s]+\d|\d\.\d')""")
-def clean_book_text(spark, sf_dir):
-    docs = b.table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"\d[.\s]+\d|\d\.\d"))
-    return docs.select("doc_id", tx.clean_book_text(F.col("text"), r"\|\|\|").alias("text"))
-
-
 @query()
-def clean_book_text_whole(spark, sf_dir):
-    """All documents with the default patterns; the SQL of ``clean_book_text`` leaves out those with split numbers."""
+def clean_book_text(spark, sf_dir):
+    """All documents with the default patterns. RE2, which DuckDB uses, has no Unicode classes, so there is no SQL."""
     return b.table(spark, sf_dir, "documents").select("doc_id", tx.clean_book_text(F.col("text")).alias("text"))
 
 
@@ -247,3 +239,23 @@ def name_cleaners(spark, sf_dir):
         "seq", tx.fix_concept(d).alias("fixed"), tx.clean_definition(d).alias("cleaned"), tx.normalize_concept(d).alias("normal"),
         tx.normalize_definition(d).alias("low"), tx.truncate_text(d, 15).alias("short"),
     )
+
+
+_FAR = "abs((x.y + x.y_bottom) / 2 - {}) > 20"
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT l_orderkey AS page, l_linenumber AS box_id, CAST(l_partkey % 600 AS DOUBLE) AS x, l_quantity * 10 AS y, l_quantity * 10 + 20 AS y_bottom, 'w' || l_partkey AS text,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_partkey % 600, l_partkey) AS n FROM lineitem),
+ w AS (SELECT page, n, CASE WHEN {_FAR.format('x.y')} THEN (y + y_bottom) / 2 ELSE y END AS anchor, CASE WHEN {_FAR.format('x.y')} THEN 1 ELSE 0 END AS line FROM x WHERE n = 1
+  UNION ALL SELECT x.page, x.n, CASE WHEN {_FAR.format('w.anchor')} THEN (x.y + x.y_bottom) / 2 ELSE w.anchor END, w.line + CASE WHEN {_FAR.format('w.anchor')} THEN 1 ELSE 0 END
+  FROM w JOIN x ON x.page = w.page AND x.n = w.n + 1),
+ l AS (SELECT page, line, string_agg(text, ' ' ORDER BY x, box_id, text) AS text FROM w JOIN x USING (page, n) GROUP BY ALL)
+SELECT 'orders' AS book_id, page, CAST(row_number() OVER (PARTITION BY page ORDER BY line) - 1 AS INT) AS line, text FROM l""")
+def assemble_ocr_lines(spark, sf_dir):
+    """A box for each line of an order, whose quantity is its height on the page."""
+    top = F.col("l_quantity") * 10
+    boxes = b.table(spark, sf_dir, "lineitem").select(
+        F.lit("orders").alias("book_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("box_id"), (F.col("l_partkey") % 600).cast("double").alias("x"),
+        top.alias("y"), (top + 20).alias("y_bottom"), F.concat(F.lit("w"), "l_partkey").alias("text"), F.lit(1000.0).alias("page_height"),
+    )
+    return pg.assemble_ocr_lines(boxes)

@@ -22,16 +22,16 @@ def _fused(spark, sf_dir):
 
 
 _REL = "CASE WHEN {0}_confidence IS NOT NULL THEN {0}_confidence WHEN {0}_probs IS NULL THEN 0.5::DOUBLE ELSE 1 + list_sum(list_transform({0}_probs, lambda p: p * ln(p))) / ln(7) END"
+_MIXED = f"""w_ AS (SELECT *, {_REL.format('audio')} AS audio_rel, {_REL.format('face')} AS face_rel FROM p_),
+ x_ AS (SELECT *, greatest(0.1, least(0.9, 0.4::DOUBLE - 0.2::DOUBLE * (face_rel - audio_rel))) AS wa, greatest(0.1, least(0.9, 0.6::DOUBLE + 0.2::DOUBLE * (face_rel - audio_rel))) AS wf FROM w_),
+ y_ AS (SELECT *, CASE WHEN audio_probs IS NULL THEN face_probs WHEN face_probs IS NULL THEN audio_probs
+  ELSE list_transform(audio_probs, lambda x, i: wa / (wa + wf) * x + wf / (wa + wf) * face_probs[i]) END AS mixed FROM x_)"""
 _FUSED = f"""{b.EMOTIONS}, r_ AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN list_max(probs) END AS confidence, row_number() OVER (PARTITION BY session_id, modality ORDER BY ts, event_id) AS n FROM emotions),
  p_ AS (SELECT coalesce(a.session_id, f.session_id) AS session_id, coalesce(a.n, f.n) AS n, CASE WHEN f.ts IS NULL OR a.ts > f.ts THEN a.ts ELSE f.ts END AS ts,
   CASE WHEN f.ts IS NULL OR a.ts > f.ts THEN a.event_id ELSE f.event_id END AS event_id,
   a.probs AS audio_probs, f.probs AS face_probs, a.confidence AS audio_confidence, f.confidence AS face_confidence, a.error AS audio_error, f.error AS face_error
   FROM (SELECT * FROM r_ WHERE modality = 'audio') a FULL JOIN (SELECT * FROM r_ WHERE modality = 'face') f ON a.session_id = f.session_id AND a.n = f.n),
- w_ AS (SELECT *, {_REL.format('audio')} AS audio_rel, {_REL.format('face')} AS face_rel FROM p_),
- x_ AS (SELECT *, greatest(0.1, least(0.9, 0.4::DOUBLE - 0.2::DOUBLE * (face_rel - audio_rel))) AS wa, greatest(0.1, least(0.9, 0.6::DOUBLE + 0.2::DOUBLE * (face_rel - audio_rel))) AS wf FROM w_),
- y_ AS (SELECT *, CASE WHEN audio_probs IS NULL THEN face_probs WHEN face_probs IS NULL THEN audio_probs
-  ELSE list_transform(audio_probs, lambda x, i: wa / (wa + wf) * x + wf / (wa + wf) * face_probs[i]) END AS mixed FROM x_),
- fused AS (SELECT session_id, n, ts, event_id, CASE WHEN audio_probs IS NULL OR face_probs IS NULL THEN mixed ELSE list_transform(mixed, lambda x: x / list_sum(mixed)) END AS probs,
+ {_MIXED}, fused AS (SELECT session_id, n, ts, event_id, CASE WHEN audio_probs IS NULL OR face_probs IS NULL THEN mixed ELSE list_transform(mixed, lambda x: x / list_sum(mixed)) END AS probs,
   CASE WHEN mixed IS NULL THEN coalesce(audio_error, face_error, 'no result') END AS error FROM y_)"""
 _LABEL = "['anger', 'disgust', 'fear', 'joy', 'neutral', 'sadness', 'surprise'][list_position({0}, list_max({0}))]"
 
@@ -65,15 +65,16 @@ def learning_states(spark, sf_dir):
 
 
 _W = "CASE len(past) " + " ".join(f"WHEN {n} THEN [{', '.join(f'{w!r}::DOUBLE' for w in em.smoothing_weights(n))}]" for n in range(1, 6)) + " END"
-_SMOOTH = f"""{_FUSED}, h_ AS (SELECT *, list(probs) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS past FROM fused WHERE probs IS NOT NULL),
- k_ AS (SELECT *, {_W} AS w FROM h_),
+_MEAN = f"""k_ AS (SELECT *, {_W} AS w FROM h_),
  m_ AS (SELECT *, list_transform(range(1, 8), lambda e: list_sum(list_transform(past, lambda p, i: p[e] * w[i]))) AS mean FROM k_),
  smooth AS (SELECT * EXCLUDE (mean), list_transform(mean, lambda x: x / list_sum(mean)) AS smoothed FROM m_)"""
+# Results are smoothed in the order in which their pairs are complete, which is that of n; those of one side come last.
+_SMOOTH = f"""{_FUSED}, h_ AS (SELECT *, list(probs) OVER (PARTITION BY session_id ORDER BY n ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS past FROM fused WHERE probs IS NOT NULL), {_MEAN}"""
 
 
 @query(f"WITH {_SMOOTH} SELECT session_id, n, list_transform(smoothed, lambda x: round(x, 6)) AS smoothed, round(list_max(smoothed), 6) AS confidence FROM smooth")
 def smooth_emotions(spark, sf_dir):
-    rows = ops.smooth_emotions(_fused(spark, sf_dir), ORDER)
+    rows = ops.smooth_emotions(_fused(spark, sf_dir), ["n"])
     return rows.select("session_id", "n", _rounded("smoothed"), F.round("confidence", 6).alias("confidence"))
 
 
@@ -100,7 +101,7 @@ _LIST = "list(round({0}, 6) ORDER BY ts, event_id) AS {1}"
 
 
 @query(f"""WITH {_FUSED}, l AS (SELECT * FROM fused WHERE probs IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) <= 100)
-SELECT session_id, list(ts ORDER BY ts, event_id) AS labels, {", ".join(_LIST.format(f"probs[{i + 1}]", e) for i, e in enumerate(em.EMOTIONS))} FROM l GROUP BY session_id""")
+SELECT session_id, list(strftime(ts, '%Y-%m-%d %H:%M:%S') ORDER BY ts, event_id) AS labels, {", ".join(_LIST.format(f"probs[{i + 1}]", e) for i, e in enumerate(em.EMOTIONS))} FROM l GROUP BY session_id""")
 def emotion_series(spark, sf_dir):
     rows = ops.emotion_series(_fused(spark, sf_dir), ["session_id"], ORDER)
     return rows.select("session_id", "labels", *[_rounded(e) for e in em.EMOTIONS])
@@ -108,7 +109,7 @@ def emotion_series(spark, sf_dir):
 
 @query(f"""WITH {_FUSED}, s AS (SELECT session_id, ts, event_id, {_STATES} FROM fused WHERE probs IS NOT NULL),
  l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) <= 100)
-SELECT session_id, list(ts ORDER BY ts, event_id) AS labels, {", ".join(_LIST.format(s, s) for s in em.STATES)} FROM l GROUP BY session_id""")
+SELECT session_id, list(strftime(ts, '%Y-%m-%d %H:%M:%S') ORDER BY ts, event_id) AS labels, {", ".join(_LIST.format(s, s) for s in em.STATES)} FROM l GROUP BY session_id""")
 def learning_state_series(spark, sf_dir):
     rows = ops.with_learning_states(_fused(spark, sf_dir).where("probs is not null"))
     rows = ops.learning_state_series(rows, ["session_id"], ORDER)
@@ -129,7 +130,7 @@ def bounded_series(spark, sf_dir):
 
 @query("""WITH g AS (SELECT user_id % 4 AS device_id, ts, event_id, value % 100 AS utilisation, value * 1048576 AS used_bytes, 80000.0::DOUBLE * 1048576 AS total_bytes FROM events),
  l AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, event_id DESC) <= 100)
-SELECT device_id, list(ts ORDER BY ts, event_id) AS labels, list(round(utilisation, 6) ORDER BY ts, event_id) AS utilisation, list(round(used_bytes / 1048576, 6) ORDER BY ts, event_id) AS used_mb,
+SELECT device_id, list(strftime(ts, '%Y-%m-%d %H:%M:%S') ORDER BY ts, event_id) AS labels, list(round(utilisation, 6) ORDER BY ts, event_id) AS utilisation, list(round(used_bytes / 1048576, 6) ORDER BY ts, event_id) AS used_mb,
  list(round(80000.0::DOUBLE, 6) ORDER BY ts, event_id) AS total_mb FROM l GROUP BY device_id""")
 def gpu_series(spark, sf_dir):
     rows = b.metrics(spark, sf_dir).select(

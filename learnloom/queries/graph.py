@@ -151,16 +151,20 @@ def _goals(spark, sf_dir):
     return b.requests(spark, sf_dir).select(F.col("student_id").alias("goal_id"), "student_id", F.col("concept").alias("start"), "target")
 
 
-def _values(spark, sf_dir):
-    edges, nodes, mastery = b.edges(spark, sf_dir), b.nodes(spark, sf_dir), b.mastery(spark, sf_dir)
-    return planning.learn_q_values(_goals(spark, sf_dir), edges, nodes, mastery)
+def _graph(spark, sf_dir):
+    return b.edges(spark, sf_dir), b.nodes(spark, sf_dir), b.mastery(spark, sf_dir)
 
 
 @query()
 def learn_q_values(spark, sf_dir):
-    return _values(spark, sf_dir).withColumn("q", F.round("q", 4))
+    """The values of the moves from each goal's start; they rest on those of all states within ten moves of it."""
+    goals = _goals(spark, sf_dir)
+    values = planning.learn_q_values(goals, *_graph(spark, sf_dir))
+    starts = goals.select("goal_id", F.col("start").alias("src"))
+    return values.join(starts, ["goal_id", "src"]).select("goal_id", "student_id", "target", "src", "dst", F.round("q", 4).alias("q"))
 
 
 @query()
 def greedy_rollout(spark, sf_dir):
-    return planning.greedy_rollout(_goals(spark, sf_dir), _values(spark, sf_dir))
+    goals = _goals(spark, sf_dir)
+    return planning.greedy_rollout(goals, planning.state_values(goals, *_graph(spark, sf_dir)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import messages as m
 from . import bindings as b
+from .recommend import _SCORED
 from .registry import query
 
 _KIND = "CASE role WHEN 'user' THEN 'text' WHEN 'assistant' THEN 'text_result' ELSE 'command' END"
@@ -19,11 +20,34 @@ def route_messages(spark, sf_dir):
     return m.route_messages(b.messages(spark, sf_dir)).select("session_id", "seq", "type", "id", "error", "route")
 
 
+def _commands(spark, sf_dir):
+    """A command of each kind, and one that is unknown, by the student's number; some concepts are unknown too."""
+    s, kinds = F.col("student_id"), F.array(*map(F.lit, [*m.COMMANDS, "dance"]))
+    concept = F.when(s % 10 == 7, F.concat(F.lit("no "), "concept")).otherwise(F.col("concept"))
+    params = F.struct(F.concat(F.lit("s"), s).alias("session_id"), s.alias("student_id"), concept.alias("concept"))
+    data = F.to_json(F.struct(F.get(kinds, (s % 5).cast("int")).alias("command"), params.alias("params")))
+    return b.requests(spark, sf_dir).select(F.concat(F.lit("m"), s).alias("id"), data.alias("data"))
+
+
+@query(f"""WITH {_SCORED.format('0')}, q AS (SELECT student_id, CASE WHEN student_id % 10 = 7 THEN 'no ' || concept ELSE concept END AS concept, student_id % 5 AS kind FROM requests),
+ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY student_id, concept ORDER BY score DESC, name, type) <= 5),
+ r AS (SELECT student_id, concept, list(name ORDER BY score DESC, name, type) AS names FROM best GROUP BY ALL)
+SELECT 'm' || q.student_id AS id, ['init_session', 'end_session', 'query_knowledge', 'recommend_knowledge', 'dance'][kind + 1] AS command,
+ CASE kind WHEN 0 THEN 'session_m' || q.student_id WHEN 1 THEN 's' || q.student_id END AS session_id, CASE WHEN kind IN (2, 3) THEN q.concept END AS concept,
+ CASE WHEN kind = 2 THEN n.description END AS definition, CASE WHEN kind = 2 THEN n.difficulty END AS difficulty, CASE WHEN kind = 2 THEN n.importance END AS importance,
+ CASE WHEN kind = 3 THEN coalesce(names, []) END AS recommendations,
+ CASE WHEN kind = 4 THEN 'unknown command: dance' WHEN kind = 2 AND n.name IS NULL THEN 'unknown concept: ' || q.concept END AS error
+ FROM q LEFT JOIN nodes n ON n.name = q.concept LEFT JOIN r ON r.student_id = q.student_id AND r.concept = q.concept""")
+def process_commands(spark, sf_dir):
+    edges = b.edges(spark, sf_dir).drop("src_label", "dst_label")
+    return m.process_commands(_commands(spark, sf_dir), b.nodes(spark, sf_dir), edges, b.mastery(spark, sf_dir))
+
+
 @query(f"""WITH {_ROUTED} SELECT mid AS id, CASE WHEN role = 'system' THEN 'init_session' ELSE '' END AS command, CASE WHEN role = 'system' THEN 'session_' || mid END AS session_id,
  CAST(NULL AS VARCHAR) AS concept, CASE WHEN role <> 'system' THEN 'unknown command: ' END AS error FROM r_ WHERE NOT broken""")
-def process_commands(spark, sf_dir):
+def parse_commands(spark, sf_dir):
     rows = m.route_messages(b.messages(spark, sf_dir)).where("data is not null")
-    return m.process_commands(rows)
+    return m.parse_commands(rows).drop("student_id")
 
 
 _LOG = f"""l_ AS (SELECT session_id, seq, kind AS type, text AS message FROM r_ WHERE NOT broken UNION ALL
@@ -96,14 +120,32 @@ def query_knowledge(spark, sf_dir):
     return m.query_knowledge(asked, b.nodes(spark, sf_dir))
 
 
-@query(f"""WITH {b.NODES}, q AS (SELECT conv_id AS session_id, turn AS seq, CAST(turn + 1 AS VARCHAR) AS concept, {_LADDER.format('concept_explanation', 'example_request', 'x', 'general_query')} AS intent FROM conversations WHERE role = 'user')
-SELECT session_id, seq, q.concept, CASE intent WHEN 'x' THEN 'related_concepts' ELSE intent END AS intent,
- CASE intent WHEN 'concept_explanation' THEN 'explain' WHEN 'example_request' THEN 'examples' WHEN 'x' THEN 'related' ELSE 'general' END AS handler, n.name IS NOT NULL AS found
- FROM q LEFT JOIN nodes n ON n.name = q.concept""")
+_TURN = "CASE WHEN contains(lower(text), 'qu') THEN 'example_request' WHEN contains(lower(text), 'ch') THEN 'misconception_query' WHEN contains(lower(text), 'sh') THEN 'related_concepts' WHEN contains(lower(text), 'th') THEN 'concept_explanation' ELSE 'general_query' END"
+_MOOD = """CASE event_type WHEN 'view' THEN 'joy' WHEN 'click' THEN 'sadness' ELSE 'neutral' END AS emotion, round(value / 100 % 1, 6) AS attention, round(value / 10 % 1, 6) AS understanding"""
+
+
+@query(f"""WITH {b.NODES}, {b.EDGES}, {b.EXAMPLES}, c AS (SELECT concept, name, row_number() OVER (PARTITION BY concept ORDER BY relevance DESC, name) AS good, row_number() OVER (PARTITION BY concept ORDER BY frequency DESC, name) AS bad FROM examples),
+ x AS (SELECT concept, list(name ORDER BY good) FILTER (good <= 2) AS shown, list(name ORDER BY bad) FILTER (bad <= 1) AS wrong FROM c GROUP BY concept),
+ k AS (SELECT e.src AS concept, n.name, row_number() OVER (PARTITION BY e.src ORDER BY e.strength DESC, n.name, e.type) AS place FROM edges e JOIN nodes n ON n.name = e.dst),
+ l AS (SELECT concept, list(name ORDER BY place) AS near FROM k WHERE place <= 3 GROUP BY concept),
+ o AS (SELECT user_id, {_MOOD} FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+ q AS (SELECT conv_id AS session_id, turn AS seq, CAST(1 + (conv_id + turn) % 250 AS VARCHAR) AS concept, {_TURN} AS intent FROM conversations WHERE role = 'user')
+SELECT session_id, seq, q.concept, intent, o.emotion, CASE WHEN emotion = 'joy' THEN 'positive' WHEN emotion = 'sadness' THEN 'encouraging' ELSE 'neutral' END AS tone,
+ CASE WHEN coalesce(understanding, 0.5) < 0.4 THEN 'very_basic' WHEN coalesce(understanding, 0.5) > 0.7 THEN 'advanced' WHEN coalesce(attention, 0.5) < 0.3 THEN 'low' ELSE 'medium' END AS detail_level,
+ array_to_string(coalesce(CASE intent WHEN 'concept_explanation' THEN CASE WHEN n.name IS NOT NULL THEN [n.description] END
+  WHEN 'example_request' THEN shown[1:CASE WHEN coalesce(attention, 0.5) < 0.3 THEN 2 ELSE 1 END] WHEN 'misconception_query' THEN wrong WHEN 'related_concepts' THEN near END, []), '; ') AS answer
+ FROM q LEFT JOIN nodes n ON n.name = q.concept LEFT JOIN x ON x.concept = q.concept LEFT JOIN l ON l.concept = q.concept LEFT JOIN o ON o.user_id = q.session_id""")
 def teaching_turns(spark, sf_dir):
-    steps = [("concept_explanation", ["th"]), ("example_request", ["qu", "tion"]), ("related_concepts", ["ch"])]
-    asked = b.chats(spark, sf_dir).where("role = 'user'").withColumn("concept", (F.col("seq") + 1).cast("string"))
-    return m.teaching_turns(asked, b.nodes(spark, sf_dir), steps).select("session_id", "seq", "concept", "intent", "handler", "found")
+    steps = [("example_request", ["qu"]), ("misconception_query", ["ch"]), ("related_concepts", ["sh"]), ("concept_explanation", ["th"])]
+    asked = b.chats(spark, sf_dir).where("role = 'user'").withColumn("concept", (1 + (F.col("session_id") + F.col("seq")) % 250).cast("string"))
+    mood = F.when(F.col("event_type") == "view", "joy").when(F.col("event_type") == "click", "sadness").otherwise("neutral")
+    moods = b.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("session_id"), F.struct("ts", "event_id").alias("at"), mood.alias("emotion"),
+        F.round(F.col("value") / 100 % 1, 6).alias("attention"), F.round(F.col("value") / 10 % 1, 6).alias("understanding"),
+    )
+    edges, examples = b.edges(spark, sf_dir).drop("src_label", "dst_label"), b.examples(spark, sf_dir)
+    rows = m.teaching_turns(asked, b.nodes(spark, sf_dir), edges, examples, examples, moods, steps)
+    return rows.select("session_id", "seq", "concept", "intent", "emotion", "strategy.tone", "strategy.detail_level", F.array_join("answer", "; ").alias("answer"))
 
 
 @query("""SELECT conv_id AS session_id, turn AS seq, strlen(text) AS size, CASE WHEN strlen(text) > 100 THEN 'too large' END AS error FROM conversations WHERE text IS NOT NULL""")

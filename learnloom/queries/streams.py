@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import streaming as st
 from ..operators import emotions as ops, messages as m
 from . import bindings as b
-from .emotions import _STATES
+from .emotions import _LABEL, _MEAN, _MIXED, _STATES
 from .messages import _LOG, _ROUTED
 from .registry import query
 
@@ -48,23 +48,51 @@ def stream_attention_alerts(spark, sf_dir):
     return st.drained(ops.attention_alerts(rows, face=F.col("modality") == "face").select("session_id", "event_id", "attention"), spark)
 
 
-@query()
+WAIT, LATE = 6 * 3600, 600  # seconds
+
+# Sessions end after WAIT. The n-th results of both sides of a session pair; of a session that has ended, those left over go out alone.
+_STREAMED = f"""{b.EMOTIONS}, o_ AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN list_max(probs) END AS confidence, epoch(ts) AS at FROM emotions),
+ g_ AS (SELECT *, CASE WHEN at - lag(at) OVER (PARTITION BY session_id ORDER BY ts, event_id) > {WAIT} THEN 1 ELSE 0 END AS new FROM o_),
+ i_ AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS part FROM g_),
+ e_ AS (SELECT *, max(at) OVER (PARTITION BY session_id, part) AS ends, max(part) OVER (PARTITION BY session_id) AS parts, (SELECT max(at) FROM i_) AS now FROM i_),
+ r_ AS (SELECT *, part < parts OR ends + {WAIT} < now - {LATE} AS over, row_number() OVER (PARTITION BY session_id, part, modality ORDER BY ts, event_id) AS n FROM e_),
+ p_ AS (SELECT coalesce(a.session_id, f.session_id) AS session_id, coalesce(a.part, f.part) AS part, coalesce(a.n, f.n) AS n,
+  CASE WHEN f.ts IS NULL OR (a.ts, a.event_id) > (f.ts, f.event_id) THEN a.event_id ELSE f.event_id END AS event_id,
+  a.probs AS audio_probs, f.probs AS face_probs, a.confidence AS audio_confidence, f.confidence AS face_confidence, a.error AS audio_error, f.error AS face_error
+  FROM (SELECT * FROM r_ WHERE modality = 'audio') a FULL JOIN (SELECT * FROM r_ WHERE modality = 'face') f ON a.session_id = f.session_id AND a.part = f.part AND a.n = f.n
+  WHERE (a.ts IS NOT NULL AND f.ts IS NOT NULL) OR coalesce(a.over, f.over)),
+ {_MIXED}, fused AS (SELECT session_id, part, n, event_id, CASE WHEN audio_probs IS NULL OR face_probs IS NULL THEN mixed ELSE list_transform(mixed, lambda x: x / list_sum(mixed)) END AS probs,
+  CASE WHEN mixed IS NULL THEN coalesce(audio_error, face_error, 'no result') END AS error FROM y_),
+ h_ AS (SELECT *, list(probs) OVER (PARTITION BY session_id, part ORDER BY n ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS past FROM fused WHERE probs IS NOT NULL), {_MEAN}"""
+
+
+@query(f"""WITH {_STREAMED} SELECT session_id, event_id, {_LABEL.format('smoothed')} AS emotion, round(list_max(smoothed), 6) AS confidence, NULL AS error FROM smooth
+ UNION ALL SELECT session_id, event_id, NULL, NULL, error FROM fused WHERE probs IS NULL""")
 def stream_fuse_and_smooth(spark, sf_dir):
-    rows = b.emotion_results(_Streamed(spark), sf_dir).where("probs is not null")
-    rows = rows.select("session_id", "modality", "probs", F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    return st.drained(st.stream_fuse_and_smooth(rows), spark).withColumn("confidence", F.round("confidence", 6))
+    rows = b.emotion_results(_Streamed(spark), sf_dir).withColumn("confidence", F.when(F.col("event_id") % 3 == 0, F.array_max("probs")))
+    rows = rows.select("session_id", "modality", "probs", "confidence", "error", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return st.drained(st.stream_fuse_and_smooth(rows, wait=float(WAIT), late=f"{LATE} seconds"), spark).withColumn("confidence", F.round("confidence", 6))
+
+
+def _activity(spark, sf_dir):
+    return b.table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events),
+ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS part FROM g)
+SELECT user_id AS session_id, min(ts) AS created_at, max(ts) AS last_active, count(*) AS messages FROM s GROUP BY user_id, part""")
 def stream_session_activity(spark, sf_dir):
-    rows = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return st.drained(st.stream_session_activity(rows), spark)
+    """The sessions that end within the stream, and those still open at its watermark."""
+    closed = st.drained(st.stream_session_activity(_activity(_Streamed(spark), sf_dir)), spark)
+    every = st.with_open_sessions(closed, _activity(spark, sf_dir))
+    return every.select("session_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "last_active")], "messages")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe_requests(spark, sf_dir):
+    """The tables' files are one batch, within which no state expires."""
     rows = _stream(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return st.drained(st.stream_dedupe_requests(rows, ["user_id", "event_type"], late="3650 days"), spark).select("user_id", "event_type")
+    return st.drained(st.stream_dedupe_requests(rows, ["user_id", "event_type"]), spark).select("user_id", "event_type")
 
 
 @query("SELECT user_id % 4 AS device_id, event_type AS metric, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 4, event_type ORDER BY ts DESC, event_id DESC) <= 100")

@@ -93,53 +93,44 @@ def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-# A small graph to start from. Our own wording; difficulty, importance, types and weights are fixed values.
+# A small graph to start from, our own: (name, difficulty, importance, description).
+SEED_SUBJECT = "data structures"
 SEED_CONCEPTS = [
-    ("function", "mathematics", 3, 5, "a rule that gives one output for each input"),
-    ("linear function", "mathematics", 2, 4, "a function whose graph is a line"),
-    ("quadratic function", "mathematics", 3, 4, "a function with a squared term"),
-    ("derivative", "mathematics", 4, 5, "the rate at which a function changes"),
-    ("force", "physics", 2, 5, "what changes the motion of a body"),
-    ("second law of motion", "physics", 3, 5, "acceleration grows with force and falls with mass"),
-    ("kinetic energy", "physics", 3, 4, "the energy that a body has because it moves"),
+    ("array", 1, 5, "values side by side, found by their number"),
+    ("linked list", 2, 4, "values that each know where the next one is"),
+    ("stack", 2, 4, "what was put on last comes off first"),
+    ("queue", 2, 4, "what was put in first comes out first"),
+    ("binary tree", 3, 5, "each node has a left and a right part at most"),
+    ("heap", 4, 3, "a tree whose parents are never larger than their children"),
+    ("hash table", 3, 5, "a value's place follows from its key"),
+    ("graph", 4, 4, "points and the lines between them"),
 ]
-SEED_EXAMPLES = [
-    ("volume of a gas", "the volume of a warm gas as a function of its temperature"),
-    ("cost of a batch", "a fixed cost and a cost for each piece"),
-    ("thrown ball", "the height of a ball over time"),
-    ("spring", "a spring pulls harder the further it is stretched"),
-    ("lift", "one feels heavier as a lift starts upwards"),
-]
-SEED_MISCONCEPTIONS = [
-    ("formulas only", "a function need not have a formula"),
-    ("rising lines only", "a line can fall, too"),
-    ("touching only", "gravity acts without contact"),
-]
-SEED_EDGES = [
-    ("function", "linear function", "INCLUDES", "strength", 1.0),
-    ("function", "quadratic function", "INCLUDES", "strength", 1.0),
-    ("function", "derivative", "IS_PREREQUISITE_OF", "strength", 0.9),
-    ("linear function", "quadratic function", "IS_PREREQUISITE_OF", "strength", 0.8),
-    ("function", "volume of a gas", "HAS_EXAMPLE", "relevance", 0.9),
-    ("linear function", "cost of a batch", "HAS_EXAMPLE", "relevance", 0.95),
-    ("quadratic function", "thrown ball", "HAS_EXAMPLE", "relevance", 0.9),
-    ("force", "spring", "HAS_EXAMPLE", "relevance", 0.9),
-    ("second law of motion", "lift", "HAS_EXAMPLE", "relevance", 0.9),
-    ("function", "formulas only", "HAS_MISCONCEPTION", "frequency", 0.7),
-    ("linear function", "rising lines only", "HAS_MISCONCEPTION", "frequency", 0.6),
-    ("force", "touching only", "HAS_MISCONCEPTION", "frequency", 0.8),
-    ("force", "second law of motion", "IS_RELATED_TO", "strength", 0.9),
-    ("force", "kinetic energy", "IS_RELATED_TO", "strength", 0.7),
+# (concept, kind, name, description, weight)
+SEED_DETAILS = [
+    ("array", "Example", "seat numbers", "row and seat lead straight to a place in a theatre", 0.8),
+    ("stack", "Example", "undo", "an editor takes back the newest change first", 0.9),
+    ("queue", "Example", "print jobs", "a printer works them off as they came", 0.85),
+    ("hash table", "Example", "cloakroom", "the ticket's number tells the hook", 0.7),
+    ("linked list", "Misconception", "always slower", "adding in the middle moves nothing else", 0.5),
+    ("hash table", "Misconception", "keys in order", "places say nothing about the order of keys", 0.6),
 ]
+# (concept, type, concept, strength)
+SEED_LINKS = [
+    ("array", "IS_PREREQUISITE_OF", "heap", 0.7), ("array", "IS_PREREQUISITE_OF", "hash table", 0.8), ("linked list", "IS_PREREQUISITE_OF", "binary tree", 0.75),
+    ("linked list", "IS_RELATED_TO", "queue", 0.6), ("array", "IS_RELATED_TO", "stack", 0.6), ("binary tree", "INCLUDES", "heap", 0.9), ("graph", "INCLUDES", "binary tree", 0.85),
+]
 
 
 def seed_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Nodes (label, name, subject, difficulty, importance, description) and edges (labels and names of both ends, type,
-    strength, relevance, frequency) of a small graph for first steps: seven concepts, five examples, three misconceptions."""
-    rows = [("Concept", *row) for row in SEED_CONCEPTS]
-    rows += [("Example", n, None, None, None, d) for n, d in SEED_EXAMPLES] + [("Misconception", n, None, None, None, d) for n, d in SEED_MISCONCEPTIONS]
-    nodes = spark.createDataFrame(rows, "label string, name string, subject string, difficulty int, importance int, description string")
-    label = {r[1]: r[0] for r in rows}
-    weights = ("strength", "relevance", "frequency")
-    edges = [(label[s], s, label[d], d, kind, *(value if w == name else None for w in weights)) for s, d, kind, name, value in SEED_EDGES]
-    return nodes, spark.createDataFrame(edges, "src_label string, src string, dst_label string, dst string, type string, strength double, relevance double, frequency double")
+    strength, relevance, frequency) of a small graph for first steps."""
+    nodes = [("Concept", n, SEED_SUBJECT, d, i, text) for n, d, i, text in SEED_CONCEPTS]
+    nodes += [(kind, n, None, None, None, text) for _, kind, n, text, _ in SEED_DETAILS]
+    edges = [("Concept", a, "Concept", z, kind, strength, None, None) for a, kind, z, strength in SEED_LINKS]
+    for concept, kind, n, _, weight in SEED_DETAILS:
+        example = kind == "Example"
+        edges.append(("Concept", concept, kind, n, f"HAS_{kind.upper()}", None, weight if example else None, None if example else weight))
+    return (
+        spark.createDataFrame(nodes, "label string, name string, subject string, difficulty int, importance int, description string"),
+        spark.createDataFrame(edges, "src_label string, src string, dst_label string, dst string, type string, strength double, relevance double, frequency double"),
+    )

@@ -1,11 +1,13 @@
 """Structured Streaming forms of the message and emotion operators.
 
 Stateless operators (routing, alerts, log rows, commands) are the batch functions: they take a stream as they take a table.
+The stateful ones need the RocksDB state store, which :func:`drained` sets for its query; set it for a query of your own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,70 +15,127 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.emotion import EMOTIONS, smoothing_weights
+from ..storage import shared_path
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def stream_session_activity(messages: DataFrame, ts: str = "ts", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Sessions that end after a gap: session_id, created_at, last_active, messages. State ends with the watermark."""
-    rows = messages.withWatermark(ts, late).groupBy("session_id", F.session_window(ts, gap).alias("w"))
+    """Sessions that end after a gap: session_id, created_at, last_active, messages; takes a table too.
+
+    A stream gives a session when the watermark has passed its end, and then drops its state.
+    """
+    rows = (messages.withWatermark(ts, late) if messages.isStreaming else messages).groupBy("session_id", F.session_window(ts, gap).alias("w"))
     return rows.agg(F.min(ts).alias("created_at"), F.max(ts).alias("last_active"), F.count("*").alias("messages")).drop("w")
 
 
+def with_open_sessions(closed: DataFrame, messages: DataFrame, ts: str = "ts", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """The sessions that a stream gave, and those that are still open at its watermark, counted from the table.
+
+    Only sessions of ids with a message after the watermark less the gap are counted.
+    """
+    end = messages.agg(F.max(ts).alias("end"))
+    after = F.col(ts) + F.expr(f"INTERVAL {gap}") + F.expr(f"INTERVAL {late}") >= F.col("end")
+    some = messages.crossJoin(F.broadcast(end)).where(after).select("session_id").distinct()  # one row is joined
+    still = stream_session_activity(messages.join(some, "session_id", "left_semi"), ts, gap)
+    return closed.unionByName(still.join(closed.select("session_id", "created_at"), ["session_id", "created_at"], "left_anti"))
+
+
 def stream_dedupe_requests(requests: DataFrame, key: list[str], ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """The first request of each key within the watermark."""
     return requests.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
 class FuseAndSmooth(StatefulProcessor):
-    """Per session: the side that waits for its partner, and the last five fused results."""
+    """Per session: the results of one side that wait for the other, and the last fused ones.
+
+    The n-th result of one side pairs with the n-th of the other, errors included, as in the batch form. A session
+    ends when ``wait`` seconds pass without a result: what waits goes out alone, in order, and the state is dropped.
+    """
 
-    def __init__(self, history: int = 5):
-        self.history = history
+    def __init__(self, history: int, wait: float):
+        self.history, self.wait = history, wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getListState("waiting", "modality string, probs array<double>, event_id long")
+        self.handle = handle
+        result = "modality string, probs array<double>, confidence double, error string, ts double, event_id long"
+        self.waiting = handle.getListState("waiting", result)
         self.past = handle.getListState("past", "probs array<double>")
+        self.last = handle.getValueState("last", "ts double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        waiting, past = self._state()
+        last = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+            now = r.ts.timestamp()
+            if last is not None and now - last > self.wait:
+                out += [self._fused(past, w) for w in waiting]
+                waiting, past = [], []
+            probs = None if r.probs is None else [float(x) for x in r.probs]
+            confidence = None if pd.isna(r.confidence) else float(r.confidence)
+            own = (r.modality, probs, confidence, r.error, now, int(r.event_id))
+            if waiting and waiting[0][0] != own[0]:
+                out.append(self._fused(past, waiting.pop(0), own))
+            else:
+                waiting.append(own)
+            last = now
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
+        self.handle.registerTimer(int((last + self.wait) * 1000) + 1)
+        self.waiting.put(waiting) if waiting else self.waiting.clear()
+        self.past.put([(p,) for p in past[-self.history :]]) if past else self.past.clear()
+        self.last.update((last,))
+        yield self._table(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waiting, past = self._state()
+        yield self._table(key, [self._fused(past, w) for w in waiting])
+        for state in (self.waiting, self.past, self.last):
+            state.clear()
+
+    def _state(self) -> tuple[list, list]:
+        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        return waiting, [list(r[0]) for r in self.past.get()] if self.past.exists() else []
+
+    def _fused(self, past: list, *sides) -> tuple:
+        """(event_id, emotion, confidence, error) of one pair, or of one side alone; ``past`` takes its unsmoothed result."""
         import numpy as np
 
-        new = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        waiting = [(r[0], list(r[1]), r[2]) for r in self.waiting.get()] if self.waiting.exists() else []
-        past = [list(r[0]) for r in self.past.get()] if self.past.exists() else []
-        out = []
-        for r in new.itertuples():
-            probs = list(r.probs)
-            partner = next((w for w in waiting if w[0] != r.modality), None)
-            if partner is None:
-                waiting.append((r.modality, probs, int(r.event_id)))
-                continue
-            waiting.remove(partner)
-            audio, face = (partner[1], probs) if partner[0] == "audio" else (probs, partner[1])
-            rel = [1 + float(np.sum(np.array(p) * np.log(np.clip(p, 1e-10, 1)))) / np.log(len(p)) for p in (audio, face)]
+        event = max(sides, key=lambda s: s[4:])[5]
+        good = {s[0]: s for s in sides if s[3] is None and s[1] is not None}
+        if not good:
+            errors = {s[0]: s[3] for s in sides}
+            return event, None, None, errors.get("audio") or errors.get("face") or "no result"
+        if len(good) == 2:
+            rel = [s[2] if s[2] is not None else 1 + float(np.sum(np.array(s[1]) * np.log(np.clip(s[1], 1e-10, 1)))) / np.log(len(s[1])) for s in (good["audio"], good["face"])]
             move = 0.2 * (rel[1] - rel[0])
             wa, wf = (min(0.9, max(0.1, w)) for w in (0.4 - move, 0.6 + move))
-            both = (wa * np.array(audio) + wf * np.array(face)) / (wa + wf)
-            past = (past + [list(both / both.sum())])[-self.history :]
-            mean = sum(w * np.array(p) for w, p in zip(smoothing_weights(len(past)), past))
-            mean = mean / mean.sum()
-            top = int(mean.argmax())
-            out.append((key[0], int(r.event_id), EMOTIONS[top], float(mean[top])))
-        self.waiting.put(waiting) if waiting else self.waiting.clear()
-        self.past.put([(p,) for p in past]) if past else self.past.clear()
-        yield pd.DataFrame(out, columns=["session_id", "event_id", "emotion", "confidence"])
+            both = (wa * np.array(good["audio"][1]) + wf * np.array(good["face"][1])) / (wa + wf)
+            past.append((both / both.sum()).tolist())
+        else:
+            past.append(list(next(iter(good.values()))[1]))
+        del past[: -self.history]
+        mean = sum(w * np.array(p) for w, p in zip(smoothing_weights(len(past)), past))
+        mean = mean if len(past) == 1 else mean / mean.sum()
+        return event, EMOTIONS[int(mean.argmax())], float(mean.max()), None
+
+    def _table(self, key, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["session_id", "event_id", "emotion", "confidence", "error"])
 
     def close(self) -> None:
         pass
 
 
-def stream_fuse_and_smooth(results: DataFrame, history: int = 5) -> DataFrame:
-    """Fused and smoothed results of a stream of (session_id, modality, probs, ts, event_id), by session.
+def stream_fuse_and_smooth(results: DataFrame, history: int = 5, wait: float = 3600.0, late: str = "10 minutes") -> DataFrame:
+    """Fused and smoothed results of a stream of (session_id, modality, probs, confidence, error, ts, event_id).
 
-    A result pairs with the first waiting one of the other modality. Rows of a batch are taken in event order.
+    Rows of a batch are taken in event order. See :class:`FuseAndSmooth` for pairs and for the end of a session.
     """
-    schema = "session_id long, event_id long, emotion string, confidence double"
-    return results.groupBy("session_id").transformWithStateInPandas(FuseAndSmooth(history), schema, "Append", "none")
+    schema = "session_id long, event_id long, emotion string, confidence double, error string"
+    rows = results.withWatermark("ts", late).groupBy("session_id")
+    return rows.transformWithStateInPandas(FuseAndSmooth(history, wait), schema, "Append", "EventTime")
 
 
 class Ring(StatefulProcessor):
@@ -104,11 +163,24 @@ def stream_message_log(log: DataFrame, n: int = 100) -> DataFrame:
     return log.groupBy("session_id").transformWithStateInPandas(Ring(n), "session_id long, seq long, message string, place long", "Append", "none")
 
 
-def drained(stream: DataFrame, spark: SparkSession, read: Callable[[], DataFrame] | None = None, folder: str | None = None) -> DataFrame:
-    """Everything that a stream gives for the data there now, written as Parquet to ``folder`` and read back."""
-    from ..operators.graph import shared_path
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that stateful processors need, for queries started within."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
 
-    folder = folder or shared_path(spark)
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}-state").outputMode("append").trigger(availableNow=True).start(folder)
-    query.awaitTermination()
+
+def drained(stream: DataFrame, spark: SparkSession, folder: str | None = None, state: str | None = None) -> DataFrame:
+    """Everything that a stream gives for the data there now, written as Parquet to ``folder`` and read back.
+
+    With ``folder`` and ``state`` of an earlier run the stream goes on from there.
+    """
+    folder = folder or shared_path(spark, "stream")
+    with rocksdb(spark):
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", state or f"{folder}-state").outputMode("append")
+        writer.trigger(availableNow=True).start(folder).awaitTermination()
     return spark.read.schema(stream.schema).parquet(folder)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from learnloom.plans import planning
 from learnloom.queries import bindings, graph
@@ -6,39 +7,66 @@ from learnloom.queries import bindings, graph
 
 @pytest.fixture
 def cyclic(spark):
-    """A ring with chords; the target is four moves from the start."""
+    """A ring with chords; the targets are more than two moves from the start, one is not in the graph."""
     names = "abcdefg"
     pairs = [(names[i], names[(i + 1) % 7]) for i in range(7)] + [("b", "a"), ("d", "b"), ("f", "c")]
     edges = spark.createDataFrame(pairs, "src string, dst string")
-    nodes = spark.createDataFrame([("Concept", n, 1 + i % 5, 1 + (2 * i) % 5) for i, n in enumerate(names)], "label string, name string, difficulty int, importance int")
-    goals = spark.createDataFrame([(1, 1, "a", "e")], "goal_id long, student_id long, start string, target string")
+    nodes = spark.createDataFrame([("Concept", n, 1 + i % 5, 1 + (2 * i) % 5) for i, n in enumerate(names[:-1])], "label string, name string, difficulty int, importance int")
+    goals = spark.createDataFrame([(1, 1, "a", "e"), (2, 2, "a", "zz"), (3, 1, "nowhere", "a")], "goal_id long, student_id long, start string, target string")
     mastery = spark.createDataFrame([(1, "a", 0.9), (1, "c", 0.4)], "student_id long, concept string, mastery double")
     return pairs, goals, edges, nodes, mastery
 
 
-def test_values_on_a_cycle_match_plain_value_iteration(spark, cyclic):
-    pairs, goals, edges, nodes, mastery = cyclic
-    got = {(r["src"], r["dst"]): r["q"] for r in planning.learn_q_values(goals, edges, nodes, mastery, gamma=0.7).collect()}
-    of, known = {r["name"]: r for r in nodes.collect()}, {"a": 0.9, "c": 0.4}
-    reward = lambda s, d: 0.4 * (1 - abs(of[d]["difficulty"] / 5 - min(known.get(s, 0) + 0.2, 0.9))) + 0.3 * of[d]["importance"] / 5 + 0.3 * (1 - known.get(d, 0))
-    moves, want = [p for p in pairs if p[0] in "abcd"], {}
+def plain_values(pairs, known, of, moves_from, gamma=0.9):
+    """Plain value iteration."""
+    def reward(s, d):
+        if d not in of:
+            return -1
+        match = 1 - abs(of[d]["difficulty"] / 5 - min(known.get(s, 0) + 0.2, 0.9))
+        return 0.4 * match + 0.3 * of[d]["importance"] / 5 + 0.3 * (1 - known.get(d, 0))
+
+    moves, want = [p for p in pairs if p[0] in moves_from], {}
     for _ in range(500):
-        want = {(s, d): reward(s, d) + 0.7 * max((q for (x, _), q in want.items() if x == d), default=0) for s, d in moves}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+        want = {(s, d): reward(s, d) + gamma * max((q for (x, _), q in want.items() if x == d), default=0) for s, d in moves}
+    return want
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_values_match_plain_value_iteration(cyclic, most):
+    pairs, goals, *tables = cyclic
+    got = {}
+    for r in planning.learn_q_values(goals, *tables, 0.4, graph_edges=most).collect():
+        got.setdefault(r["goal_id"], {})[r["src"], r["dst"]] = r["q"]
+    of = {r["name"]: r for r in tables[1].collect()}
+    assert set(got) == {1, 2}
+    for goal, known, states in ((1, {"a": 0.9, "c": 0.4}, "abcd"), (2, {}, "abcdefg")):
+        want = plain_values(pairs, known, of, states, 0.4)
+        assert got[goal].keys() == want.keys() and all(abs(got[goal][k] - want[k]) < 1e-4 for k in want)
+
+
+def test_both_ways_choose_the_same_moves(cyclic):
+    one, two = (
+        sorted((r["goal_id"], r["src"], r["next"], round(r["value"], 4)) for r in planning.state_values(*cyclic[1:], 0.4, graph_edges=most).collect()) for most in (100, 0)
+    )
+    assert one == two and len(one) == 11
+    path = planning.greedy_rollout(cyclic[1], planning.state_values(*cyclic[1:], 0.4)).where("goal_id = 1").orderBy("step").collect()
+    best = {s: n for g, s, n, _ in one if g == 1}
+    assert path[0]["name"] == "a" and all(best[x["name"]] == y["name"] for x, y in zip(path, path[1:]))
 
 
-def test_unsettled_values_are_an_error(cyclic):
-    with pytest.raises(RuntimeError):
-        planning.learn_q_values(*cyclic[1:], rounds=3)
+@pytest.mark.parametrize("most", [100, 0])
+def test_unsettled_values_are_an_error(cyclic, most):
+    with pytest.raises(Exception, match="did not settle"):
+        planning.state_values(*cyclic[1:], rounds=1, graph_edges=most).collect()
 
 
 def test_registered_queries_use_the_whole_depth(monkeypatch, spark, cyclic):
-    _, goals, edges, nodes, mastery = cyclic
-    for name, df in (("edges", edges), ("nodes", nodes), ("mastery", mastery)):
+    pairs, goals, *tables = cyclic
+    for name, df in zip(("edges", "nodes", "mastery"), tables):
         monkeypatch.setattr(bindings, name, lambda *_, df=df: df)
     monkeypatch.setattr(graph, "_goals", lambda *_: goals)
-    seen = []
-    monkeypatch.setattr(planning, "goal_moves", lambda g, e, max_steps, f=planning.goal_moves: seen.append(max_steps) or f(g, e, max_steps))
-    monkeypatch.setattr(planning, "greedy_rollout", lambda g, v, max_steps=10: seen.append(max_steps) or v)
-    got = {r["src"] for r in graph.greedy_rollout(spark, "").collect()}
-    assert seen == [10, 10] and got == set("abcd")
+    got = {(r["goal_id"], r["dst"]): r["q"] for r in graph.learn_q_values(spark, "").collect()}
+    want = plain_values(pairs, {"a": 0.9, "c": 0.4}, {r["name"]: r for r in tables[1].collect()}, "abcd")
+    assert set(got) == {(1, "b"), (2, "b")} and abs(got[1, "b"] - want["a", "b"]) < 1e-3
+    steps = graph.greedy_rollout(spark, "").groupBy("goal_id").agg(F.max("step").alias("most")).collect()
+    assert {r["goal_id"]: r["most"] for r in steps} == {1: 9, 2: 9, 3: 0} or {r["goal_id"]: r["most"] for r in steps}[1] <= 4

@@ -33,5 +33,5 @@ TEXTS = [
 
 def test_all_documents_are_cleaned_with_the_default_patterns(spark, tmp_path):
     spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["text"] for r in corpus.clean_book_text_whole(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["text"] for r in corpus.clean_book_text(spark, str(tmp_path)).collect()}
     assert got == {i: plain(t) for i, t in enumerate(TEXTS)}

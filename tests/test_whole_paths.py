@@ -37,9 +37,9 @@ def test_starts_and_paths_match_brute_force_up_to_five_moves(spark, monkeypatch)
         d = far[start[s]].get(target, 9)
         long[s] = d if 0 < d <= 5 else None
     assert any(d and d > 2 for d in long.values())
-    assert {r["student_id"]: r["start"] for r in recommend.choose_start_concept_whole(spark, "").collect()} == start
+    assert {r["student_id"]: r["start"] for r in recommend.choose_start_concept(spark, "").collect()} == start
     paths = {}
-    for r in recommend.recommend_learning_path_whole(spark, "").where("kind = 'path'").collect():
+    for r in recommend.recommend_learning_path(spark, "").where("kind = 'path'").collect():
         paths.setdefault(r["student_id"], {})[r["step"]] = r["name"]
     assert {s: len(p) for s, p in paths.items()} == {s: d for s, d in long.items() if d}
     for s, _, target in asked:
