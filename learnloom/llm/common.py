@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import remove, replaced, scope, shared_path, shuffle_partitions, stored
+
+__all__ = [
+    "SPACES", "WORDS", "bucket_of", "connected_components", "free_name", "remove", "replaced", "running_total", "scope", "shared_path", "shuffle_partitions", "stored", "table",
+]
+
 #: White space of the text contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -17,32 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path below the checkpoint folder, which the driver and all executors share.
-
-    Without a configured folder a local session gets a temporary one; any other session must name it, because a
-    machine-local folder would hide files from other executors.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/learnloom-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage is cut and a lost executor loses nothing."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until ``df`` has no such column."""
     while name.lower() in {c.lower() for c in df.columns}:
@@ -58,15 +35,16 @@ def bucket_of(n: Column, *keys: Column | str) -> Column:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: columns ``node`` and ``root``, the smallest node of its component.
 
-    ``edges`` has columns ``a`` and ``b``; nodes without an edge do not appear. Rounds of large-star and small-star
+    ``edges`` has columns ``a`` and ``b``; nodes without an edge, and edges with a null end, do not appear. Rounds of large-star and small-star
     (Kiveris et al. 2014) shorten paths until every node hangs from its root. The minimum of each node is a partial
     aggregation, and it is stored before it is joined back, so that the join is between two plain exchanges, whose
-    large partitions Spark splits when one node has a large share of the edges.
+    large partitions Spark splits when one node has a large share of the edges. The tables of a round are removed when
+    the next one stands.
     """
 
-    def joined_to_minimum(pairs: DataFrame) -> DataFrame:
+    def joined_to_minimum(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         low = stored(pairs.groupBy("u").agg(F.min("v").alias("m")))
-        return pairs.join(low, "u")
+        return pairs.join(low, "u"), low
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -79,19 +57,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            joined_to_minimum(both)
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-            .distinct()
-        )
-        large = stored(large)
-        small = joined_to_minimum(large)
-        now = stored(
-            small.select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
-            .where("u <> v")
-            .distinct()
-        )
+        met, low = joined_to_minimum(both)
+        large = stored(met.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
+        replaced(low, large)
+        met, low = joined_to_minimum(large)
+        star = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        now = replaced(now, stored(met.select(F.inline(star)).where("u <> v").distinct()))
+        replaced(low, replaced(large, now))
         after = state(now)
         if after == before:
             break

@@ -3,7 +3,8 @@
 Equal unit vectors are one entry with a weight. Centroids are fitted on a bounded sample; every entry is assigned to its
 cell. Two vectors closer than the threshold can lie on both sides of a cell border. Their chord is at most
 ``sqrt(2 - 2 threshold)``, so one of the two is within half of it of the plane between the two centroids; that one visits
-the other's cell. So comparing each cell's own members with its members and visitors finds every pair, and few visit.
+the other's cell. So comparing each cell's own members with its members and visitors finds every pair, and few visit if
+the vectors cluster. (A second test by the cells' angular radius excludes no further visit on the given tables.)
 
 A cell larger than a block is dealt as pairs of blocks. Tasks count links and send a tree of each block's links; pairs
 are not sent.
@@ -23,11 +24,15 @@ from .common import connected_components, stored
 from .simhash import forest
 
 THRESHOLD = 0.95
-#: Vectors that the centroids are fitted on at most: the first by the hash of their id.
-FIT_VECTORS = 10_000
-#: Entries for each cell on average, and the largest number of cells.
-CELL, MOST_CELLS = 200, 4096
+#: Vectors that the centroids are fitted on at most (the first by the hash of their id): so many, or so many for each
+#: cell if that is more. The sample then grows with the square root of the number of vectors.
+FIT_VECTORS, FIT_PER_CELL = 10_000, 8
+#: Cells: this times the square root of the number of entries, so that finding the cell of a vector and comparing it
+#: within cells cost alike at every size.
+CELLS = 1.0
 BLOCK = 512
+#: Cosines with centroids that a task holds at a time.
+COSINES = 4_000_000
 
 
 def units(vectors: list, ids: list) -> tuple[np.ndarray, np.ndarray]:
@@ -91,26 +96,31 @@ def _entries(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def _cells(entries: DataFrame, fitted: dict[int, np.ndarray], threshold: float) -> DataFrame:
     """One row for each cell that an entry belongs to or visits: cell, dim, own (its home cell), guests, entry columns."""
-    centroids = entries.sparkSession.sparkContext.broadcast(fitted)  # at most MOST_CELLS vectors for each dimension
+    centroids = entries.sparkSession.sparkContext.broadcast(fitted)  # one vector for each cell
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(3).to_numpy()
             for dim in np.unique(dims):
                 some = batch.filter(pa.array(dims == dim))
-                x = np.frombuffer(b"".join(some.column(1).to_pylist()), np.float64).reshape(-1, dim)
-                home, near = visits(x, centroids.value[int(dim)], threshold)
-                row, guest_of = np.nonzero(near)
-                order = np.concatenate([np.arange(len(x)), row])
-                cell = np.concatenate([home, guest_of]).astype(np.int32)
-                # Only the row at home needs the list of cells that it visits.
-                ends = np.concatenate([[0], np.cumsum(near.sum(1)), np.full(len(row), len(row))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(guest_of.astype(np.int32)))
-                taken = some.take(pa.array(order))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(home[order].astype(np.int32)), lists, *taken.columns],
-                    ["cell", "own", "guests", *taken.schema.names],
-                )
+                fit = centroids.value[int(dim)]
+                for at in range(0, some.num_rows, max(1, COSINES // len(fit))):
+                    yield from cells_of(some.slice(at, max(1, COSINES // len(fit))), fit, int(dim))
+
+    def cells_of(some: pa.RecordBatch, fit: np.ndarray, dim: int) -> Iterator[pa.RecordBatch]:
+        x = np.frombuffer(b"".join(some.column(1).to_pylist()), np.float64).reshape(-1, dim)
+        home, near = visits(x, fit, threshold)
+        row, guest_of = np.nonzero(near)
+        order = np.concatenate([np.arange(len(x)), row])
+        cell = np.concatenate([home, guest_of]).astype(np.int32)
+        # Only the row at home needs the list of cells that it visits.
+        ends = np.concatenate([[0], np.cumsum(near.sum(1)), np.full(len(row), len(row))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(guest_of.astype(np.int32)))
+        taken = some.take(pa.array(order))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cell), pa.array(home[order].astype(np.int32)), lists, *taken.columns],
+            ["cell", "own", "guests", *taken.schema.names],
+        )
 
     return entries.select("vec_id", "unit", "weight", "dim").mapInArrow(
         run, "cell int, own int, guests array<int>, vec_id long, unit binary, weight long, dim int"
@@ -125,6 +135,9 @@ def _compare(threshold: float):
         x = np.frombuffer(b"".join(group.column("unit").to_pylist()), np.float64).reshape(-1, dim)
         lists = group.column("guests").combine_chunks()
         guests, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        # (row, visited cell) as one number.
+        width = int(max(own.max(), guests.max(initial=0))) + 1
+        visited = np.repeat(np.arange(len(ids)), np.diff(ends)) * width + guests[ends[0] : ends[-1]]
         # Single precision screens: its error for unit vectors is far below the margin. Double precision decides.
         rough = x.astype(np.float32)
         margin = np.float32(threshold - 1e-3)
@@ -132,7 +145,7 @@ def _compare(threshold: float):
         at, to = np.flatnonzero(left), np.flatnonzero(~left)
         right = rough[to]
         links = np.zeros(len(ids), np.int64)
-        edges = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        edges = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for k in range(0, len(at), BLOCK):
             rows = at[k : k + BLOCK]
             i, j = np.nonzero(rough[rows] @ right.T >= margin)
@@ -141,17 +154,15 @@ def _compare(threshold: float):
             for n in range(0, len(i), 65_536):
                 linked[n : n + 65_536] &= np.einsum("ij,ij->i", x[i[n : n + 65_536]], x[j[n : n + 65_536]]) >= threshold
             i, j = i[linked], j[linked]
-            edges = [np.append(edges[0], i), np.append(edges[1], j)]
+            edges.append((i, j))
             # A pair of two cells that visit each other is met in both; the smaller cell counts it.
             guest = own[j] != cell[j]
-            twice = np.zeros(len(i), bool)
-            for n in np.flatnonzero(guest & (own[j] < cell[j])):
-                twice[n] = own[j[n]] in guests[ends[i[n]] : ends[i[n] + 1]]
+            twice = guest & (own[j] < cell[j]) & np.isin(i * width + own[j], visited)
             i, j, guest = i[~twice], j[~twice], guest[~twice]
             np.add.at(links, i, weight[j])
             np.add.at(links, j[guest], weight[i[guest]])
         names, place = np.unique(ids, return_inverse=True)
-        root = forest(len(names), place[edges[0]], place[edges[1]])
+        root = forest(len(names), *(place[np.concatenate(x)] for x in zip(*edges)))
         total = np.zeros(len(names), np.int64)
         np.add.at(total, place, links)
         some = np.flatnonzero((total > 0) | (root != np.arange(len(names))))
@@ -175,9 +186,10 @@ def near_duplicate_vectors(
     )
     fitted = {}
     for dim, n in entries.groupBy("dim").count().collect():  # one row for each length of vector
-        sample = entries.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").select("unit").limit(fit_vectors).collect()
+        k = math.ceil(CELLS * math.sqrt(n))
+        sample = entries.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").select("unit").limit(max(fit_vectors, FIT_PER_CELL * k)).collect()
         x = np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.float64).reshape(-1, dim)
-        fitted[dim] = fit_centroids(x, min(MOST_CELLS, max(1, n // CELL)))
+        fitted[dim] = fit_centroids(x, k)
     cells = stored(_cells(entries, fitted, threshold))
     home = F.col("own") == F.col("cell")
     sizes = cells.groupBy("dim", "cell").agg(F.ceil(F.count_if(home) / BLOCK).alias("lefts"), F.ceil(F.count("*") / (4 * BLOCK)).alias("rights"))

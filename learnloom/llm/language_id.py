@@ -11,7 +11,7 @@
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,17 +21,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS, CENTROIDS = 2**14, 4
-#: Training rows for each language that centroids are fitted on at most: the first by the hash of their id.
+#: Training rows for each language that centroids are fitted on at most: the first by the hash of their id and text.
 FIT_ROWS = 400
 #: A text is rejected below (this share of the smallest 0.5 % cosine of the fitted rows).
 REJECT_SHARE = 0.3
-_LETTER, _OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
+#: What a letter is, for fitting and predicting alike.
+LETTER = r"\p{L}"
+_OTHER = re.compile(r"[\W\d_]+")
 #: Fixed odd multipliers of the n-gram hash.
 MULTIPLIERS = (2654435761, 2246822519, 3266489917)
 
 
-def has_letter(text: str | None) -> bool:
-    return bool(text and _LETTER.search(text))
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(LETTER), F.lit(False))
 
 
 def grams(text: str) -> np.ndarray:
@@ -112,19 +114,14 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, reject_share: float = REJECT_SHARE) -> LanguageModel:
-    """Learns from columns doc_id, text, lang. Rows without a language or without a letter are not learned from."""
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
+    """Learns from columns doc_id, text, lang. Rows without a language or without a letter are not learned from.
+
+    A null id is an id. Repeated rows count as often as they stand. Without rows the model knows no language.
+    """
+    rows = rows.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("doc_id", "text", "lang")
     found, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + found)) + 1
-    # Hashes are even, so a share of them that holds about three times the sample is enough to look through, and what
-    # is sent does not grow with the corpus. One row for each language comes to the driver for this.
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.create_map(*[F.lit(x) for lang, c in counts.items() for x in (lang, min(1.0, (3 * fit_rows + 100) / c))]) if counts else None
-    picked = rows.withColumn("order", F.struct(F.xxhash64("doc_id"), F.xxhash64("text")))
-    if counts:
-        picked = picked.where(F.pmod(F.col("order.col1"), F.lit(2**40)) < share[F.col("lang")] * 2**40)
-    picked = picked.withColumn("order", F.struct(F.pmod(F.col("order.col1"), F.lit(2**40)), "order"))
-    picked = _smallest_per_group(picked, "lang", "order", fit_rows).select("lang", "text").collect()
+    picked = _picked(rows, fit_rows)
     by_lang: dict[str, list[str]] = {}
     for r in picked:
         by_lang.setdefault(r["lang"], []).append(r["text"])
@@ -143,10 +140,30 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, r
     return LanguageModel(languages, np.array(owner, np.int64), matrix, idf, reject_share * low)
 
 
-def _smallest_per_group(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
-    """The ``n`` rows of each group that come first; Spark limits each task's rows before it deals them out."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return rows.withColumn("rank_", rank).where(F.col("rank_") <= n).drop("rank_")
+def _picked(rows: DataFrame, n: int) -> list:
+    """The first ``n`` rows (lang, text) of each language in order of a hash of id and text, all if there are fewer.
+
+    Hashes are even, so a share of them that holds about three times as many rows is looked through first, and what is
+    sent does not grow with the corpus. A language that comes out short, since its rows repeat, is looked through whole.
+    One row for each language comes to the driver for this.
+    """
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for lang, c in counts.items() for x in (lang, min(1.0, (3 * n + 100) / c))])
+    hashed = rows.withColumn("order", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**40)))
+    found = _smallest_per_group(hashed.where(F.col("order") < share[F.col("lang")] * 2**40), n).collect()
+    met = Counter(r["lang"] for r in found)
+    short = [lang for lang, c in counts.items() if met[lang] < min(n, c)]
+    if short:
+        found = [r for r in found if r["lang"] not in set(short)] + _smallest_per_group(hashed.where(F.col("lang").isin(short)), n).collect()
+    return found
+
+
+def _smallest_per_group(rows: DataFrame, n: int) -> DataFrame:
+    """Columns lang, text of the ``n`` rows of each language that come first; Spark limits each task's rows before it deals them out."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= n).select("lang", "text")
 
 
 def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,7 +181,7 @@ def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 texts = some.column(1).to_pylist()
-                known = [bool(m.languages) and has_letter(t) for t in texts]
+                known = [bool(m.languages) and letter for letter in some.column(2).to_pylist()]
                 cos = iter(m.cosines([t for t, k in zip(texts, known) if k]))
                 rows = [next(cos) if k else None for k in known]
                 pred = ["und" if r is None else m.languages[int(r.argmax())] for r in rows]
@@ -173,7 +190,7 @@ def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
                 columns = [some.column(0), pa.array(pred), pa.array(score), pa.array(far)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "rejected"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), has_letter(F.col(text_col)))
     return own.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
@@ -183,17 +200,18 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 
 def drop_unknown_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with their columns unchanged; no shuffle."""
+    """The rows of ``docs`` that the model does not reject, with their columns unchanged; no shuffle.
+
+    A null text, one without a letter and, with a model without languages, every text is rejected. Repeated rows are
+    decided alike. An empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            keep = []
-            for t in batch.column(at):
-                t = t.as_py()
-                keep.append(bool(m.languages) and has_letter(t) and float(m.cosines([t]).max()) >= m.reject_below)
+            keep = [bool(m.languages) and float(m.cosines([t.as_py()]).max()) >= m.reject_below for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(has_letter(F.col("text"))).mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, running_total, stored
+from .common import bucket_of, free_name, running_total, stored
 from .tokens import default_path, encoder
 
 #: (first rank, number of places, first sequence, places in one sequence, offset of the first place)
@@ -134,20 +134,22 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``.
 
     Rows of equal length take their places in order of (hash of doc_id and piece, doc_id, piece, start, ids_crc32); rows
-    that agree in all of these are interchangeable. An empty table stays empty.
+    that agree in all of these are interchangeable. Other columns stay, whatever their names; one called sequence_id or
+    offset is replaced. An empty table stays empty.
     """
-    pieces = stored(pieces)
+    pieces = stored(pieces.drop("sequence_id", "offset"))
+    bucket, position = free_name(pieces, "bucket"), free_name(pieces, "rank")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     where = {k: np.array(v, np.int64).T for k, v in places(best_two_fit(counts, capacity)).items()}
     most = max(counts.values(), default=1)
     ranked = running_total(
-        pieces.withColumn("bucket", bucket_of(F.lit(most), "doc_id", "piece")),
-        ["length"], "bucket", ["doc_id", "piece", "start", "ids_crc32"], F.lit(1).cast("long"), "rank",
-    ).drop("bucket")
+        pieces.withColumn(bucket, bucket_of(F.lit(most), "doc_id", "piece")),
+        ["length"], bucket, ["doc_id", "piece", "start", "ids_crc32"], F.lit(1).cast("long"), position,
+    ).drop(bucket)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
+            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", position))
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for x in np.unique(length):
                 at = np.flatnonzero(length == x)
@@ -160,7 +162,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             yield batch
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema).drop("rank")
+    return ranked.mapInArrow(place, schema).drop(position)
 
 
 def pack_documents(

@@ -1,22 +1,26 @@
 """Personal data by weak supervision.
 
 1. One pass over each whole text finds the base spans (email, ip, card, phone) by their patterns and wider candidates
-   of other kinds. Each candidate gets votes (1 yes, 2 no, 0 abstains) of a pattern, a gazetteer, a context and a shape
-   labeler, and a code of discrete features.
-2. Spark counts the combinations of votes and features over the corpus; their number is bounded by their definition.
-   Expectation-maximisation over these counts estimates each labeler's reliability and each combination's probability.
-3. A logistic span classifier is trained on the features with these probabilities as soft labels, weighted by the
-   counts. Candidates whose features it accepts join the base spans, which always stay.
+   of other kinds. Four labelers vote on each candidate (1 yes, 2 no, 0 abstains), each by a resource of its own: a
+   stricter pattern, a gazetteer of known values, words of the context, and the statistics of the characters.
+2. Spark counts the vote patterns of each kind over the corpus (at most 81 for a kind). Expectation-maximisation over
+   these counts estimates the labelers' reliabilities and each pattern's probability of being personal data.
+3. A logistic span classifier is trained with these probabilities as soft labels on features that no labeler sees:
+   the words next to the span, its character shape, its first characters, its length and the share of digits. It is
+   fitted on a bounded sample of candidates; the candidates that it accepts join the base spans, which always stay.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -24,7 +28,9 @@ from .common import stored
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the method finds, in the order they take in ``spans`` after the base kinds.
 ADDED_KINDS = ("email_text", "phone_local", "secret", "national_id")
-LABELERS = ("pattern", "gazetteer", "context", "shape")
+LABELERS = ("pattern", "gazetteer", "context", "characters")
+#: Candidates of each kind that the classifier is fitted on at most: the first by a hash of their place.
+FIT_SPANS = 4000
 
 #: Base patterns.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -42,14 +48,32 @@ _CANDIDATES = (
     ("secret", re.compile(r"\b[A-Za-z_]{2,30}\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/-]{16,512})"), 1),
     ("national_id", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), 0),
 )
-#: Words that name a kind of data (gazetteer: next to it; context: within forty characters before it).
-_NAMES = {
-    "email_text": frozenset("mail email e-mail contact write".split()),
-    "phone_local": frozenset("phone tel telephone mobile cell call fax".split()),
-    "secret": frozenset("token secret password passwd pwd key apikey api_key access_key auth credential bearer private_key".split()),
-    "national_id": frozenset("ssn social security id insurance tax passport".split()),
+#: Stricter patterns of the whole span.
+_STRICT = {
+    "email_text": re.compile(r"[A-Za-z][A-Za-z0-9._%+-]*\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]+(?:\s?[\[(]\s?dot\s?[\])]\s?[A-Za-z0-9-]+)*\s?[\[(]\s?dot\s?[\])]\s?[A-Za-z]{2,12}"),
+    "phone_local": re.compile(r"\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-][0-9]{4}"),
+    "secret": re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/-]{20,512}"),
+    "national_id": re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),
+}
+#: Fixed values of the gazetteer: known parts of values, for (first) and against (second) a kind.
+_KNOWN = {
+    "email_text": (re.compile(r"(?:com|org|net|edu|gov|info|io|de|fr|es|uk|it)\Z"), re.compile(r"(?:example|invalid|localhost|test)\Z")),
+    "phone_local": (re.compile(r"\A\(?(?:212|213|312|305|415|617|702|800|888)\b"), re.compile(r"\A\(?(?:000|111|123|999)")),
+    "secret": (re.compile(r"\A(?:AKIA|ghp_|gho_|sk-|sk_|pk_|xox|eyJ|glpat-)"), re.compile(r"(?i)example|placeholder|changeme|your_|xxxx|lorem|0000000")),
+    "national_id": (re.compile(r"(?!)"), re.compile(r"\A(?:078-05-1120|219-09-9999|123-45-6789|987-65-432[0-9])\Z")),
+}
+#: Fixed values of the context: words before a span that speak for and against a kind.
+_CUES = {
+    "email_text": (frozenset("mail email e-mail contact write reach address".split()), frozenset("meet meeting room noon clock".split())),
+    "phone_local": (frozenset("phone tel telephone mobile cell call fax dial ring".split()), frozenset("order invoice part ratio score version isbn".split())),
+    "secret": (frozenset("token secret password passwd pwd key apikey api_key access_key auth credential bearer private_key".split()), frozenset("sha md5 checksum digest commit hash ratio path file url".split())),
+    "national_id": (frozenset("ssn social security insurance tax passport identity".split()), frozenset("order invoice part serial version isbn model".split())),
 }
 _WORD = re.compile(r"[A-Za-z][A-Za-z_-]*")
+#: Places of the classifier's inputs: bias, kinds, words before and after, shape, first characters, length, digits.
+_FIELDS = {"bias": 1, "kind": 4, "before": 256, "after": 256, "shape": 128, "first": 64, "length": 8, "digits": 6}
+_AT = dict(zip(_FIELDS, np.cumsum([0, *_FIELDS.values()]).tolist()))
+INPUTS = sum(_FIELDS.values())
 
 
 def luhn(digits: str) -> bool:
@@ -91,54 +115,52 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _votes(kind: str, text: str, begin: int, end: int) -> tuple[int, int, int, int, tuple]:
-    """The labelers' votes on a candidate, and its discrete features."""
-    span = text[begin:end]
-    before = [w.lower() for w in _WORD.findall(text[max(0, begin - 40) : begin])]
-    digits = sum(c.isdigit() for c in span) / len(span)
-    letters = sum(c.isalpha() for c in span) / len(span)
-    kinds = any(c.isdigit() for c in span) + any(c.islower() for c in span) + any(c.isupper() for c in span)
-    names = _NAMES[kind]
-    named = bool(before) and before[-1].strip("_-") in names
-    cue = any(w.strip("_-") in names for w in before)
-    quoted = begin > 0 and text[begin - 1] in "\"'" and text[end : end + 1] == text[begin - 1]
-    if kind == "secret":
-        strict = len(span) >= 20 and kinds >= 2 and "//" not in span
-        odd = kinds < 2 or span.count("-") + span.count("_") + span.count("/") > len(span) / 6
-    elif kind == "national_id":
-        strict = span[:3] not in ("000", "666") and span[0] != "9" and span[4:6] != "00" and span[7:] != "0000"
-        odd = len(set(span)) < 4
-    elif kind == "phone_local":
-        digit = _DIGIT.findall(span)
-        strict = digit[0] not in "01" and digit[3] not in "01"
-        odd = len(set(digit)) < 3
-    else:
-        strict = letters > 0.5
-        odd = len(span) < 12
-    votes = (1 if strict else 2, 1 if named else 0, 1 if cue else 2 if len(before) > 3 else 0, 2 if odd else 1 if quoted else 0)
-    size = 0 if len(span) < 20 else 1 if len(span) < 40 else 2
-    features = (named, cue, quoted, strict, odd, digits > 0.3, size)
-    return *votes, features
+def _entropy(span: str) -> float:
+    return -sum(n / len(span) * math.log2(n / len(span)) for n in Counter(span).values())
 
 
-def _code(kind: str, features: tuple) -> int:
-    """One number for a kind and its features: 4 kinds x 2^6 x 3."""
-    code = ADDED_KINDS.index(kind)
-    for f in features[:-1]:
-        code = 2 * code + int(f)
-    return 3 * code + features[-1]
+def votes(kind: str, text: str, begin: int, end: int) -> tuple[int, int, int, int]:
+    """The labelers' votes on a candidate, in their order."""
+    span = text[begin:end]
+    pattern = 1 if _STRICT[kind].fullmatch(span) else 2
+    good, bad = _KNOWN[kind]
+    gazetteer = 2 if bad.search(span) else 1 if good.search(span) else 0
+    before = {w.lower().strip("_-") for w in _WORD.findall(text[max(0, begin - 40) : begin])}
+    good, bad = _CUES[kind]
+    context = 1 if before & good else 2 if before & bad else 0
+    if kind in ("secret", "email_text"):
+        bits = _entropy(span)
+        characters = 1 if bits >= 3.2 else 2 if bits < 2.5 else 0
+    else:
+        digits = _DIGIT.findall(span)
+        runs = max(sum((int(b) - int(a)) % 10 == step for a, b in zip(digits, digits[1:])) for step in (0, 1, 9))
+        characters = 2 if len(set(digits)) < 3 or runs > 5 else 1 if len(set(digits)) > 4 and runs < 4 else 0
+    return pattern, gazetteer, context, characters
 
 
-def _decoded(code: int) -> np.ndarray:
-    """The classifier's inputs of a code: 1, kind (one of four), six flags, size (one of three)."""
-    code, size = divmod(code, 3)
-    flags = [(code >> i) & 1 for i in reversed(range(6))]
-    kind = code >> 6
-    return np.array([1.0, *(float(kind == i) for i in range(4)), *map(float, flags), *(float(size == i) for i in range(3))])
+def _slot(field: str, value: str) -> int:
+    return _AT[field] + zlib.crc32(value.encode()) % _FIELDS[field]
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int, int]]:
-    """Added candidates that overlap no base span: (kind, start, end, votes as a base-3 number, feature code)."""
+def features(kind: str, text: str, begin: int, end: int) -> list[int]:
+    """Places of a candidate's inputs that are 1. They are hashes of what the labelers do not look at."""
+    span = text[begin:end]
+    left, right = text[max(0, begin - 24) : begin].split(), text[end : end + 24].split()
+    shape = re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in span))
+    return [
+        0,
+        _AT["kind"] + ADDED_KINDS.index(kind),
+        _slot("before", left[-1].lower() if left else ""),
+        _slot("after", right[0].lower() if right else ""),
+        _slot("shape", shape[:8]),
+        _slot("first", span[:2]),
+        _AT["length"] + min(7, len(span) // 8),
+        _AT["digits"] + round(5 * sum(c.isdigit() for c in span) / len(span)),
+    ]
+
+
+def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int, list[int]]]:
+    """Added candidates that overlap no base span: (kind, start, end, votes as a base-3 number, inputs)."""
     out = []
     taken = sorted((b, e) for _, b, e in base)
     for kind, pattern, group in _CANDIDATES:
@@ -148,8 +170,8 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             b, e = m.span(group)
             if any(b < y and x < e for x, y in taken):
                 continue
-            *votes, features = _votes(kind, text, b, e)
-            out.append((kind, b, e, votes[0] * 27 + votes[1] * 9 + votes[2] * 3 + votes[3], _code(kind, features)))
+            v = votes(kind, text, b, e)
+            out.append((kind, b, e, v[0] * 27 + v[1] * 9 + v[2] * 3 + v[3], features(kind, text, b, e)))
             taken.append((b, e))
     return out
 
@@ -157,7 +179,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, base (array of kind, start, end), found (array of candidates)."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    more = pa.struct([*span, ("votes", pa.int32()), ("code", pa.int32())])
+    more = pa.struct([*span, ("votes", pa.int32()), ("inputs", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +188,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 text = t.as_py() or ""
                 own = base_spans(text)
                 base.append([dict(zip(("kind", "start", "end"), s)) for s in own])
-                found.append([dict(zip(("kind", "start", "end", "votes", "code"), c)) for c in candidates(text, own)])
+                found.append([dict(zip(("kind", "start", "end", "votes", "inputs"), c)) for c in candidates(text, own)])
             columns = [batch.column(0), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(more))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "base", "found"])
 
@@ -174,7 +196,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return own.mapInArrow(
         run,
         "doc_id long, base array<struct<kind:string,start:int,end:int>>, "
-        "found array<struct<kind:string,start:int,end:int,votes:int,code:int>>",
+        "found array<struct<kind:string,start:int,end:int,votes:int,inputs:array<int>>>",
     )
 
 
@@ -208,17 +230,26 @@ def span_classifier(x: np.ndarray, y: np.ndarray, counts: np.ndarray, rounds: in
     return w
 
 
-def accepted_codes(scan: DataFrame, threshold: float = 0.5) -> list[int]:
-    """Feature codes that the trained classifier accepts."""
-    found = scan.select(F.explode("found").alias("c")).groupBy("c.votes", "c.code").count().collect()  # at most 81 x 768 rows
-    if not found:
-        return []
-    votes = np.array([[r["votes"] // 3**i % 3 for i in (3, 2, 1, 0)] for r in found])
-    counts = np.array([r["count"] for r in found], np.float64)
-    p, _ = reliabilities(votes, counts)
-    x = np.stack([_decoded(r["code"]) for r in found])
-    w = span_classifier(x, p, counts)
-    return sorted({r["code"] for r, yes in zip(found, x @ w >= np.log(threshold / (1 - threshold))) if yes})
+def classifier(scan: DataFrame, fit_spans: int = FIT_SPANS) -> tuple[np.ndarray, dict[tuple[str, int], float]] | None:
+    """Weights of the classifier's inputs, and the probability of each (kind, vote pattern); None without candidates."""
+    found = scan.select(F.explode("found").alias("c"), "doc_id").select("c.*", "doc_id")
+    counts = found.groupBy("kind", "votes").count().collect()  # at most 4 x 81 rows
+    if not counts:
+        return None
+    probability = {}
+    for kind in {r["kind"] for r in counts}:
+        own = [r for r in counts if r["kind"] == kind]
+        patterns = np.array([[r["votes"] // 3**i % 3 for i in (3, 2, 1, 0)] for r in own])
+        p, _ = reliabilities(patterns, np.array([r["count"] for r in own], np.float64))
+        probability |= {(kind, r["votes"]): float(x) for r, x in zip(own, p)}
+    order = Window.partitionBy("kind").orderBy(F.xxhash64("doc_id", "start", "end", "inputs"), "doc_id", "start")
+    sample = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fit_spans).select("kind", "votes", "inputs").collect()
+    rows = Counter((r["kind"], r["votes"], tuple(r["inputs"])) for r in sample)
+    x = np.zeros((len(rows), INPUTS))
+    for i, (*_, inputs) in enumerate(sorted(rows)):
+        x[i, list(inputs)] = 1
+    y = np.array([probability[k, v] for k, v, _ in sorted(rows)])
+    return span_classifier(x, y, np.array([rows[r] for r in sorted(rows)], np.float64)), probability
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -228,9 +259,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are scanned each; an empty table stays empty.
     """
     scan = stored(scanned(docs, id_col, text_col))
-    codes = accepted_codes(scan, threshold)
+    model = classifier(scan)
+    weights = F.array(*[F.lit(float(w)) for w in (model[0] if model else np.zeros(INPUTS))])
+    score = lambda c: F.aggregate(c["inputs"], F.lit(0.0), lambda total, i: total + F.element_at(weights, i + 1))
     order = F.create_map(*[F.lit(x) for i, k in enumerate((*BASE_KINDS, *ADDED_KINDS)) for x in (k, i)])
-    added = F.filter("found", lambda c: c["code"].isin(codes) if codes else F.lit(False))
+    added = F.filter("found", lambda c: score(c) >= math.log(threshold / (1 - threshold)))
     ranked = F.transform(
         F.concat("base", F.transform(added, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))),
         lambda s: F.struct(order[s["kind"]].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),

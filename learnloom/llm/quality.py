@@ -156,7 +156,11 @@ def fit_on_documents(texts: list[str | None], labels: list[int]) -> LineField:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> LineField | None:
-    """Learns from the rows of ``labels`` (doc_id, quality), at most ``fit_rows``; None if there are none."""
+    """Learns from the rows of ``labels`` (doc_id, quality), at most ``fit_rows``; None if there are none.
+
+    Of several labels of an id the lowest counts, of several texts of it the first by hash. Null ids and null labels
+    are not learned from.
+    """
     some = (
         labels.where("quality is not null and doc_id is not null")
         .groupBy("doc_id")
@@ -164,7 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> LineFie
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(fit_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "quality").limit(2 * fit_rows).collect()
+    # At most one text for each of the picked ids.
+    first = F.min(F.struct(F.xxhash64("text").alias("order"), "text")).alias("first")
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(first)
+    rows = rows.select("first.text", "quality").collect()
     rows.sort(key=lambda r: (r["text"] or "", r["quality"]))
     return fit_on_documents([r["text"] for r in rows], [r["quality"] for r in rows]) if rows else None
 
@@ -173,7 +180,8 @@ def document_scores(docs: DataFrame, field: LineField | None, id_col: str = "doc
     """One row per document: doc_id, score, n_lines, bad_lines.
 
     The score is the length-weighted mean of its lines' probabilities of being good, from 0 to 1. A null text is the
-    empty text, which is one empty line. Without a field every score is 0.5. Repeated rows are scored each.
+    empty text, which is one empty line. Without a field every score is 0.5. Repeated rows are scored each. An
+    empty table stays empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,8 +38,7 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.source_mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.source_mix(table(spark, sf_dir, "documents"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,18 +102,25 @@ f AS (SELECT *, (SELECT sum(source_size) FROM w) AS total,
 level AS (SELECT arg_min(CAST(total - capped AS DOUBLE) / weights, (3 * source_size / weight, n)) AS level FROM f WHERE 3 * source_size / weight > CAST(total - capped AS DOUBLE) / weights),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL OR 3 * source_size / weight <= level THEN 3.0::DOUBLE * source_size ELSE weight * level END AS target
       FROM f, level),
-p AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM t),
-q AS (SELECT d.*, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size AS rest,
+a AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN -0.5::DOUBLE WHEN 1 THEN 0 ELSE 0.5::DOUBLE END AS slope FROM t),
+p AS (SELECT source, source_size, target, slope - coalesce((SELECT sum(target * slope) / nullif(sum(target), 0) FROM a), 0) AS slope,
+             CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM a),
+q AS (SELECT d.*, p.source_size, p.target, p.slope, p.passes,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-c AS (SELECT *, before + size / 2 <= rest AS chosen FROM q),
-g AS (SELECT source, rest - coalesce(sum(size) FILTER (chosen), 0) AS gap FROM c GROUP BY source, rest),
-x AS (SELECT c.source, arg_min(before, (abs(abs(gap) - size), before)) AS swapped
+c AS (SELECT *, CASE WHEN target > 0 THEN (before + size / 2) / target END AS x,
+             coalesce(CASE WHEN target > 0 THEN (passes * source_size + before + size / 2) / target END <= 1, false) AS chosen FROM q),
+g AS (SELECT source, target - passes * source_size - coalesce(sum(size) FILTER (chosen), 0) AS gap FROM c GROUP BY source, target, passes, source_size),
+y AS (SELECT c.source, arg_min(before, (abs(abs(gap) - size), before)) AS turned
       FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source
-      WHERE size > 0 AND chosen = (gap < 0) AND abs(abs(gap) - size) < abs(gap) GROUP BY c.source)
-SELECT doc_id, size, source_size, round(target, 6) AS target,
-       CAST(size * (passes + CASE WHEN chosen <> (size > 0 AND before = coalesce(swapped, -1)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM c LEFT JOIN x ON c.source IS NOT DISTINCT FROM x.source
+      WHERE size > 0 AND chosen = (gap < 0) AND abs(abs(gap) - size) < abs(gap) GROUP BY c.source),
+n AS (SELECT c.*, CAST(passes + CASE WHEN chosen <> (size > 0 AND before = coalesce(turned, -1)) THEN 1 ELSE 0 END AS INT) AS copies
+      FROM c LEFT JOIN y ON c.source IS NOT DISTINCT FROM y.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(size * copies AS BIGINT) AS taken,
+       CASE WHEN target > 0 THEN copies ELSE 0 END AS copies,
+       round(CASE WHEN target = 0 OR copies = 0 THEN NULL WHEN passes = 0 AND x > 1 THEN 1.0
+                  ELSE least(1.0, 2 * x / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * x))) END, 9) AS position
+FROM n
 """
 
 OP5_SQL = r"""

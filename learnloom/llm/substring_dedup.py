@@ -5,8 +5,9 @@
    documents share sends one entry for each chunk, and every window of the corpus is still seen.
 2. Entries travel as packed arrays (8 bytes of hash, about 1 of place), one array for each chunk and bucket. The bucket
    comes from a second, independent hash, so that a window is known by 64 bits and its bucket: the chance of a false
-   match of a window is (windows in one bucket) / 2^64, the same at every scale. A bucket's task finds the first place
-   of each window; every other place is covered by an earlier one.
+   match of a window is (windows in one bucket) / 2^64, the same at every scale. Within a chunk both hashes must agree.
+   Matches are not held against the words. A bucket's task finds the first place of each window; every other place is
+   covered by an earlier one.
 3. Places that are covered travel, packed again, to the task of their document's part, which merges them. They form
    maximal intervals, which are cut from the document's words.
 """
@@ -24,6 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 
 #: Fixed odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -31,6 +33,8 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 CHUNK_WORDS = 1_500_000
 #: Windows that one bucket holds about; a bucket is what one task sorts in memory.
 BUCKET_WINDOWS = 2_500_000
+#: Stands for a null id while places are sorted.
+NULL_ID = -(2**63)
 
 
 @lru_cache(maxsize=4)
@@ -60,69 +64,72 @@ def rolling_hashes(words: np.ndarray, window: int, base: int) -> np.ndarray:
     return _mixed((sums[window:] - sums[: n - window + 1]) * inverse)
 
 
-def _firsts(hashes: np.ndarray) -> np.ndarray:
-    """Whether each entry is the first with its hash."""
+def _first_of(hashes: np.ndarray) -> np.ndarray:
+    """For each entry the position of the first one with its hash."""
     order = np.argsort(hashes, kind="stable")
     same = hashes[order]
-    first = np.ones(len(same), bool)
-    first[1:] = same[1:] != same[:-1]
-    out = np.empty(len(same), bool)
-    out[order] = first
+    new = np.ones(len(same), bool)
+    new[1:] = same[1:] != same[:-1]
+    out = np.empty(len(same), np.int64)
+    out[order] = order[new][np.cumsum(new) - 1]
     return out
 
 
 SENT = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary())])
 
 
-def packed(doc: np.ndarray, starts: np.ndarray) -> bytes:
-    """Places in order of (document, start): documents, their numbers of places and the starts, as differences by byte plane."""
-    change = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
+def packed(doc: np.ndarray, part: np.ndarray, starts: np.ndarray) -> bytes:
+    """Places in order of (document, part of its id, start): documents, their numbers of places and the starts, as differences by byte plane."""
+    change = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])])) if len(doc) else np.zeros(0, int)
     counts = np.diff(np.append(change, len(doc))).astype("<u4")
     step = np.diff(starts.astype("<u4"), prepend=np.uint32(0)).astype("<u4")
     ids = np.diff(doc[change].astype("<i8"), prepend=np.int64(0))
-    planes = [np.array([len(change)], "<u4").tobytes(), ids.tobytes(), counts.tobytes(), step.view(np.uint8).reshape(-1, 4).T.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    planes = [np.array([len(change)], "<u4").tobytes(), ids.tobytes(), part[change].astype("<i8").tobytes(), counts.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*planes, step.view(np.uint8).reshape(-1, 4).T.tobytes()]))
 
 
-def unpacked(places: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(places: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(places)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
     ids = np.cumsum(np.frombuffer(raw, "<i8", n, 4))
-    counts = np.frombuffer(raw, "<u4", n, 4 + 8 * n)
-    planes = np.frombuffer(raw, np.uint8, offset=4 + 12 * n).reshape(4, -1)
+    parts = np.frombuffer(raw, "<i8", n, 4 + 8 * n)
+    counts = np.frombuffer(raw, "<u4", n, 4 + 16 * n)
+    planes = np.frombuffer(raw, np.uint8, offset=4 + 20 * n).reshape(4, -1)
     starts = np.cumsum(planes.T.copy().view("<u4").ravel(), dtype=np.uint32)
-    return np.repeat(ids, counts), starts
+    return np.repeat(ids, counts), np.repeat(parts, counts), starts
 
 
-def _part(doc: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each document, by a hash of its id."""
-    return ((_mixed(doc.astype(np.int64).view(np.uint64)) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+def _task_of(doc: np.ndarray, part: np.ndarray, tasks: int) -> np.ndarray:
+    """The task that merges the places of each document, by a hash."""
+    key = doc.astype(np.int64).view(np.uint64) + part.astype(np.int64).view(np.uint64)
+    return ((_mixed(key) >> np.uint64(33)) % np.uint64(tasks)).astype(np.int64)
 
 
-def _chunk(rows: list[tuple[int, np.ndarray]], window: int, buckets: int) -> Iterator[tuple]:
+def _chunk(rows: list[tuple[int, int, np.ndarray]], window: int, buckets: int) -> Iterator[tuple]:
     """The rows that one chunk sends: entries of first places, and, with a negative bucket, places settled already."""
-    rows = sorted(rows, key=lambda r: r[0])
-    counts = [len(w) - window + 1 for _, w in rows]
-    doc = np.repeat(np.array([d for d, _ in rows], np.int64), counts)
+    rows = sorted(rows, key=lambda r: r[:2])
+    counts = [len(w) - window + 1 for *_, w in rows]
+    doc, part = (np.repeat(np.array([r[i] for r in rows], np.int64), counts) for i in (0, 1))
     start = np.concatenate([np.arange(n, dtype=np.uint32) for n in counts])
-    words = np.concatenate([w for _, w in rows])
+    words = np.concatenate([w for *_, w in rows])
     # The windows of all documents are hashed at once; those that begin in one and end in another are left out.
-    begins = np.cumsum([0] + [len(w) for _, w in rows[:-1]])
+    begins = np.cumsum([0] + [len(w) for *_, w in rows[:-1]])
     inside = np.repeat(begins, counts) + start
     key, second = (rolling_hashes(words, window, b)[inside] for b in BASES)
     # The upper bits of the second hash: its product with the number of buckets, divided by 2^32.
     bucket = ((second >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-    first = _firsts(key)
-    if not first.all():
-        again = np.flatnonzero(~first)
+    first_of = _first_of(key)
+    later = (first_of != np.arange(len(key))) & (second == second[first_of])
+    if later.any():
+        again = np.flatnonzero(later)
         to = xxhash.xxh64_intdigest(key[again[:1]].tobytes()) % buckets
-        yield -1 - to, b"", packed(doc[again], start[again])
-    at = np.flatnonzero(first)
+        yield -1 - to, b"", packed(doc[again], part[again], start[again])
+    at = np.flatnonzero(~later)
     at = at[np.argsort(bucket[at], kind="stable")]
     ends = np.searchsorted(bucket[at], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(ends)):
         own = at[ends[b] : ends[b + 1]]
-        yield int(b), key[own].tobytes(), packed(doc[own], start[own])
+        yield int(b), key[own].tobytes(), packed(doc[own], part[own], start[own])
 
 
 def _hashed(window: int, buckets: int):
@@ -130,11 +137,13 @@ def _hashed(window: int, buckets: int):
         rows, size = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for row in _chunk(rows, window, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, SENT)], schema=SENT)
+            sent = list(_chunk(rows, window, buckets))
+            for at in range(0, len(sent), 256):
+                columns = zip(*sent[at : at + 256])
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, SENT)], schema=SENT)
 
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, parts, texts = batch.columns
             for k in range(batch.num_rows):
                 words = (texts[k].as_py() or "").encode().split()
                 if len(words) < window:
@@ -142,7 +151,7 @@ def _hashed(window: int, buckets: int):
                 if rows and size + len(words) > CHUNK_WORDS:
                     yield from out()
                     rows, size = [], 0
-                rows.append((ids[k].as_py(), np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(0)), np.uint64, len(words))))
+                rows.append((ids[k].as_py(), parts[k].as_py(), np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(0)), np.uint64, len(words))))
                 size += len(words)
         if rows:
             yield from out()
@@ -150,51 +159,74 @@ def _hashed(window: int, buckets: int):
     return run
 
 
-def _ordered(places: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All places in order of (document, start), and the order that sorts them."""
-    doc, start = (np.concatenate(x) for x in zip(*map(unpacked, places)))
-    order = np.lexsort((start, doc))
-    return doc[order], start[order], order
+def _ordered(places: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All places in order of (document, part, start), and the order that sorts them."""
+    doc, part, start = (np.concatenate(x) for x in zip(*map(unpacked, places)))
+    order = np.lexsort((start, part, doc))
+    return doc[order], part[order], start[order], order
 
 
-def _covered(parts: int):
-    """Of the entries of one bucket: the places that an earlier place has already, packed for each part of documents."""
+def _covered(tasks: int):
+    """Of the entries of one bucket: the places that an earlier place has already, packed for each task that merges them."""
 
     def run(entries: pa.Table) -> pa.Table:
-        doc, start, order = _ordered(entries.column("places").to_pylist())
+        doc, part, start, order = _ordered(entries.column("places").to_pylist())
         if entries.column("bucket")[0].as_py() >= 0:
-            key = np.concatenate([np.frombuffer(h, "<u8") for h in entries.column("hashes").to_pylist()])
-            later = ~_firsts(key[order])
-            doc, start = doc[later], start[later]
-        part = _part(doc, parts)
-        by_part = np.argsort(part, kind="stable")
-        ends = np.searchsorted(part[by_part], np.arange(parts + 1))
+            key = np.concatenate([np.frombuffer(h, "<u8") for h in entries.column("hashes").to_pylist()])[order]
+            later = _first_of(key) != np.arange(len(key))
+            doc, part, start = doc[later], part[later], start[later]
+        task = _task_of(doc, part, tasks)
+        by_task = np.argsort(task, kind="stable")
+        ends = np.searchsorted(task[by_task], np.arange(tasks + 1))
         filled = np.flatnonzero(np.diff(ends))
-        places = [packed(doc[at], start[at]) for at in (by_part[ends[p] : ends[p + 1]] for p in filled)]
-        return pa.table({"part": pa.array(filled.astype(np.int64)), "places": pa.array(places, pa.binary())})
+        places = [packed(doc[at], part[at], start[at]) for at in (by_task[ends[p] : ends[p + 1]] for p in filled)]
+        return pa.table({"task": pa.array(filled.astype(np.int64)), "places": pa.array(places, pa.binary())})
 
     return run
 
 
 def _merged(entries: pa.Table) -> pa.Table:
-    """The covered places of the documents of one part, one row per document."""
-    doc, start, _ = _ordered(entries.column("places").to_pylist())
-    change = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    """The covered places of the documents of one task, one row per document."""
+    doc, part, start, _ = _ordered(entries.column("places").to_pylist())
+    change = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]))
     offsets = pa.array(np.append(change, len(doc)).astype(np.int32))
     places = pa.ListArray.from_arrays(offsets, pa.array(start.astype(np.int32)))
-    return pa.table({"doc_id": pa.array(doc[change].astype(np.int64)), "starts": places})
+    return pa.table({"doc_id": doc[change].astype(np.int64), "part": part[change].astype(np.int64), "starts": places})
 
 
-def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
-    """Places whose words stand earlier too: doc_id, starts (sorted array of word positions).
+def repeated_windows(docs: DataFrame, octets: int, window: int = 20) -> DataFrame:
+    """Places whose words stand earlier too: doc_id, part, starts (array of word positions).
 
-    ``docs`` has doc_id and text; ids are unique.
+    ``docs`` has doc_id, part and text; no two rows agree in doc_id and part. ``octets`` is the size of all texts.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, round(size / 6 / BUCKET_WINDOWS))  # a word with its space has six bytes or more in most texts
-    sent = docs.select("doc_id", "text").mapInArrow(_hashed(window, buckets), "bucket int, hashes binary, places binary")
-    covered = sent.groupBy("bucket").applyInArrow(_covered(buckets), "part long, places binary")
-    return covered.groupBy("part").applyInArrow(_merged, "doc_id long, starts array<int>")
+    buckets = max(1, round(octets / 6 / BUCKET_WINDOWS))  # a word with its space has six bytes or more in most texts
+    sent = docs.select("doc_id", "part", "text").mapInArrow(_hashed(window, buckets), "bucket int, hashes binary, places binary")
+    # Only windows that repeat are merged, so half as many tasks do.
+    covered = sent.groupBy("bucket").applyInArrow(_covered(-(-buckets // 2)), "task long, places binary")
+    return covered.groupBy("task").applyInArrow(_merged, "doc_id long, part long, starts array<int>")
+
+
+def _distinct(docs: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows (doc_id, part, text), one for each different text of an id; how often each of them is repeated (doc_id,
+    part, more), None if no id is; and the size of all texts.
+
+    ``part`` is 0 where an id has one text, else the text's hash.
+    """
+    tag = F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
+    ids = stored(own.select("doc_id", tag, F.octet_length("text").alias("octets")))
+    octets = ids.agg(F.sum("octets")).first()[0] or 0
+    several = ids.groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("tag") < F.max("tag")).alias("differ")).where("n > 1")
+    several = stored(several.drop("n"))
+    if several.isEmpty():
+        return own.select("doc_id", F.lit(0).cast("long").alias("part"), "text"), None, octets
+    part = F.when(F.col("differ"), F.col("tag")).otherwise(0).cast("long").alias("part")
+    repeats = ids.groupBy("doc_id", "tag").agg((F.count("*") - 1).alias("more")).where("more > 0").join(several, "doc_id")
+    repeats = stored(repeats.select("doc_id", "tag", part, "more"))
+    rows = own.select("*", tag).join(several, "doc_id", "left").select("doc_id", part, "tag", "text")
+    single = rows.join(repeats, ["doc_id", "tag"], "left_anti").select("doc_id", "part", "text")
+    once = rows.join(repeats, ["doc_id", "tag"], "left_semi").groupBy("doc_id", "part").agg(F.first("text").alias("text"))
+    return stored(single.unionByName(once)), repeats.drop("tag"), octets
 
 
 def intervals(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,17 +241,18 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, removed (array of begin and end word positions) and kept_text.
 
     Words are maximal runs without white space, unchanged; the kept ones are joined by one space. A null text has no
-    words. A document of fewer than ``window`` words loses none. Ids must be unique and are long; a null id is treated
-    as an id below all others. An empty table stays empty.
+    words. A document of fewer than ``window`` words loses none. Ids are long; a null id is an id below all others. Rows
+    that agree in id but not in text are documents in order of their texts' hashes; of equal rows one counts as the
+    first, and the others repeat it. An empty table stays empty.
     """
-    own = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("long").alias("doc_id"), "text")
-    places = repeated_windows(own, window)
+    own, repeats, octets = _distinct(docs)
+    places = repeated_windows(own, octets, window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some, rows = batch.slice(at, 256), []
-                for doc, text, starts in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2)):
+                for doc, part, text, starts in zip(*(some.column(i).to_pylist() for i in range(3)), some.column(3)):
                     words = (text or "").encode().split()
                     found = np.unique(np.asarray(starts.values, np.int64)) if starts.is_valid else np.zeros(0, np.int64)
                     begins, ends = intervals(found, window)
@@ -229,13 +262,25 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                         last = e
                     kept += words[last:]
                     spans = np.stack([begins, ends], 1).ravel().tolist()
-                    rows.append((None if doc == -(2**63) else doc, len(words), len(words) - len(kept), spans, b" ".join(kept).decode()))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "removed", "kept_text"])
+                    rows.append((doc, part, len(words), len(words) - len(kept), spans, b" ".join(kept).decode()))
+                kinds = (*(pa.int64(),) * 4, pa.list_(pa.int32()), pa.string())
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "n_words", "n_removed", "removed", "kept_text"])
 
-    return own.join(places, "doc_id", "left").mapInArrow(
-        cut, "doc_id long, n_words long, n_removed long, removed array<int>, kept_text string"
+    found = own.join(places, ["doc_id", "part"], "left").mapInArrow(
+        cut, "doc_id long, part long, n_words long, n_removed long, removed array<int>, kept_text string"
     )
+    if repeats:
+        found = stored(found)
+        again = found.join(repeats, ["doc_id", "part"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "more")))
+        gone, n = F.col("n_words") >= window, F.col("n_words").cast("int")
+        removed = F.when(gone, F.array(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
+        again = again.select(
+            "doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"), removed.alias("removed"),
+            F.when(gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
+        )
+        found = found.drop("part").unionByName(again)
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).drop("part")
 
 
 def kept_digests(docs: DataFrame, window: int = 20) -> DataFrame:

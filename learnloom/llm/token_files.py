@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, shuffle_partitions
+from .common import shared_path, shuffle_partitions
 from .tokens import default_path, encoder
 
 NULL_ID = -(2**63)
@@ -35,10 +35,22 @@ def _place(uri: str):
 
 
 def _write(system, path: str, attempt: str, parts: Iterable[bytes]) -> None:
-    with system.open_output_stream(f"{path}.{attempt}") as out:
-        for x in parts:
-            out.write(x)
-    system.move(f"{path}.{attempt}", path)
+    """Writes under a name of the attempt, then renames; a file of an earlier attempt is removed first, since some file
+    systems do not rename onto a file. All attempts write the same bytes."""
+    from pyarrow import fs
+
+    own = f"{path}.{attempt}"
+    try:
+        with system.open_output_stream(own) as out:
+            for x in parts:
+                out.write(x)
+        if system.get_file_info(path).type != fs.FileType.NotFound:
+            system.delete_file(path)
+        system.move(own, path)
+    except BaseException:
+        if system.get_file_info(own).type != fs.FileType.NotFound:
+            system.delete_file(own)
+        raise
 
 
 def _mapped(system, path: str, dtype: str) -> np.ndarray:
@@ -140,6 +152,6 @@ def read_token_files(spark: SparkSession, uri: str, with_ids: bool = False) -> D
 def token_files(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2, uri: str | None = None) -> DataFrame:
     """Writes the files (below the shared folder unless ``uri`` is given) and returns what :func:`read_token_files` reads back."""
     spark = docs.sparkSession
-    uri = uri or shared_folder(spark)
+    uri = uri or shared_path(spark)
     write_token_files(docs, uri, tokenizer_path or default_path(), end_id)
     return read_token_files(spark, uri)

@@ -112,16 +112,39 @@ def test_simhash_components_match_brute_force(spark, docs, monkeypatch):
 
 
 def slow_substring(rows, n):
-    seen, gone = set(), {}
-    words = {i: re.findall(r"[^ \t-\r]+", t or "") for i, t in rows}
-    for i in sorted(words):
-        gone[i] = set()
-        for s in range(len(words[i]) - n + 1):
-            w = tuple(words[i][s : s + n])
+    """(id, words, removed, kept) of each row, by the order of ids and, for one id, of the texts' hashes (``rows`` has them)."""
+    seen, out = set(), []
+    for i, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
+        words, gone = re.findall(r"[^ \t-\r]+", text or ""), set()
+        for s in range(len(words) - n + 1):
+            w = tuple(words[s : s + n])
             if w in seen:
-                gone[i] |= set(range(s, s + n))
+                gone |= set(range(s, s + n))
             seen.add(w)
-    return {i: (len(w), len(gone[i]), " ".join(x for k, x in enumerate(w) if k not in gone[i])) for i, w in words.items()}
+        out.append((i, len(words), len(gone), " ".join(x for k, x in enumerate(words) if k not in gone)))
+    return sorted(out, key=str)
+
+
+def substring_results(df, n):
+    return sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.without_repeats(df, n).collect()), key=str)
+
+
+def hashed(df):
+    from pyspark.sql import functions as F
+
+    return [tuple(r) for r in df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+
+
+def test_substring_dedup_of_repeated_rows_and_ids(docs, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, passage)] * 3 + [(None, passage), (None, f"own words {passage}"), (None, "short"), (2, f"a b {passage}"), (2, f"{passage} c"), (2, "x y"), (2, "x y"), (5, None), (5, None)]
+    monkeypatch.setattr(substring_dedup, "BUCKET_WINDOWS", 20)
+    df = docs(rows).repartition(3)
+    got = substring_results(df, 5)
+    assert got == slow_substring(hashed(df), 5)
+    assert sum(kept.count("p29") for *_, kept in got) == 1  # one copy of the passage stays
+    same = docs([(1, passage)] * 2)
+    assert substring_results(same, 20) == [(1, 30, 0, passage), (1, 30, 30, "")]
 
 
 def test_substring_dedup_matches_brute_force(docs, monkeypatch):
@@ -131,8 +154,8 @@ def test_substring_dedup_matches_brute_force(docs, monkeypatch):
     rows += [(100 + i, f"{passage} tail{i} {passage}") for i in range(30)] + [(50, None), (51, ""), (52, "a " * 5000), (60, "é x " * 25)]
     monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", 150)
     monkeypatch.setattr(substring_dedup, "BUCKET_WINDOWS", 100)
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.without_repeats(docs(rows), 5).collect()}
-    assert got == slow_substring(rows, 5)
+    df = docs(rows)
+    assert substring_results(df, 5) == slow_substring(hashed(df), 5)
     assert substring_dedup.kept_digests(docs(rows).where("false")).count() == 0
 
 
@@ -149,9 +172,9 @@ def test_rolling_hash_depends_on_words_only():
 def test_packed_places_round_trip():
     import numpy as np
 
-    doc, start = np.array([-5, -5, 9, 2**62]), np.array([0, 7, 2**31, 3], np.uint32)
-    got = substring_dedup.unpacked(substring_dedup.packed(doc, start))
-    assert (got[0] == doc).all() and (got[1] == start).all()
+    doc, part, start = np.array([-5, -5, 9, 9, 2**62]), np.array([0, 0, -3, 7, 0]), np.array([0, 7, 2**31, 1, 3], np.uint32)
+    got = substring_dedup.unpacked(substring_dedup.packed(doc, part, start))
+    assert all((g == w).all() for g, w in zip(got, (doc, part, start)))
 
 
 def test_embedding_links_match_brute_force(spark, monkeypatch):
@@ -161,7 +184,8 @@ def test_embedding_links_match_brute_force(spark, monkeypatch):
     centres = rng.normal(size=(60, 8))
     rows = [(1000 - i, (centres[i % 60] + rng.normal(size=8) * 0.12).tolist()) for i in range(700)]
     rows += [(2000 + i, rows[0][1]) for i in range(5)] + [(1, None), (2, [0.0] * 8), (3, [float("nan")] + [1.0] * 7), (4, [1.0, None] + [0.0] * 6), (5, [1.0, 2.0])]
-    monkeypatch.setattr(embedding_dedup, "CELL", 20)
+    monkeypatch.setattr(embedding_dedup, "CELLS", 1.5)
+    monkeypatch.setattr(embedding_dedup, "COSINES", 1000)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(df).collect()}

@@ -49,6 +49,44 @@ def test_personal_data_adds_secrets_and_keeps_base(docs):
     assert pii.personal_data(docs([])).count() == 0
 
 
+def planted(rng):
+    """Texts with one span of an added kind, true or a decoy: (text, kind, span, true)."""
+    word = lambda: "".join(rng.choice(["an", "ter", "ing", "sh", "ou"]) for _ in range(rng.randrange(1, 4)))
+    digits = lambda n, first="0123456789": rng.choice(first) + "".join(rng.choice("0123456789") for _ in range(n - 1))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    high = "23456789"
+    made = {
+        "email_text": (lambda: f"{word()}.{word()}{digits(2)} [at] {word()} [dot] {rng.choice(['com', 'org', 'de'])}", ["mail", "contact", "and"], lambda: f"aa{digits(1)} [at] aa [dot] aaa", ["meet", "noon"]),
+        "phone_local": (lambda: f"{digits(3, high)}-{digits(3, high)}-{digits(4)}", ["phone", "call", "so"], lambda: f"{rng.choice(['000', '111'])}-{rng.choice(['000', '111'])}-{rng.choice(['0000', '1111'])}", ["order", "part", "so"]),
+        "secret": (lambda: hexes(40), ["token", "key", "password"], lambda: rng.choice(["a", "ab"]) * 16, ["ratio", "path"]),
+        "national_id": (lambda: f"{rng.choice('1234578')}{digits(2)}-{digits(2, '123')}-{digits(4, '123')}", ["ssn", "tax", "then"], lambda: f"000-00-000{digits(1)}", ["serial", "part"]),
+    }
+    for kind, (true, cues, decoy, other) in made.items():
+        for _ in range(150):
+            for real in (True, False):
+                span, cue = (true(), rng.choice(cues)) if real else (decoy(), rng.choice(other))
+                glue = f'{cue} = "{span}"' if kind == "secret" else f"{cue} {span}"
+                yield f"{word()} {word()}. {glue} {word()} {word()}", kind, span, real
+
+
+def test_planted_spans_of_added_kinds(docs):
+    cases = list(planted(random.Random(8)))
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs([(i, c[0]) for i, c in enumerate(cases)])).collect()}
+    for kind in pii.ADDED_KINDS:
+        own = [(any((s["kind"], cases[i][0][s["start"] : s["end"]]) == (kind, span) for s in got[i]), real) for i, (_, k, span, real) in enumerate(cases) if k == kind]
+        recall = sum(f and r for f, r in own) / sum(r for _, r in own)
+        precision = sum(f and r for f, r in own) / max(1, sum(f for f, _ in own))
+        assert recall >= 0.95 and precision >= 0.95, (kind, recall, precision)
+
+
+def test_labelers_and_inputs_look_at_different_things():
+    text = 'we keep token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" here'
+    b = text.index("f33e")
+    assert pii.votes("secret", text, b, b + 40) == (1, 0, 1, 1)
+    moved = text.replace("token", "thing")
+    assert pii.votes("secret", moved, b, b + 40) == (1, 0, 0, 1) and pii.features("secret", moved, b, b + 40) == pii.features("secret", text, b, b + 40)
+
+
 def test_reliabilities_find_good_labelers():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.3
