@@ -13,10 +13,12 @@ radius are abandoned along the way.
 
 ``drop_similar`` links by the Jaccard similarity of shingle sets. At 0.8 two fingerprints differ in 15 % of their bits,
 10 of 64 on average, so bit ranges cannot bring all pairs together. Wide fingerprints of ``WORDS`` words do: each of
-``TABLES`` tables puts those together that agree in ``KEY_BITS`` fixed bits of the later words, the bit planes of the
-first word compare them within ``WIDE_RADIUS`` bits, and the shingle sets decide. In simulation 98 % of the pairs at 0.8
-and 99.9 % of those at 0.85 meet. A bucket holds about n / 2^18 unrelated entries, so comparisons are linear in practice
-up to some 10^9 entries; beyond that raise ``KEY_BITS``, and ``TABLES`` by a sixth for each bit.
+``TABLES`` tables puts those together that agree in ``KEY_BITS`` fixed bits of the later words; the bit planes of the first
+word compare them within ``WIDE_RADIUS`` bits, and the second word must agree as well. In simulation 99.4 % of the pairs at
+0.8 and all of those at 0.85 are close in this sense. Close ones are connected by trees; then blocks of each
+connected group hold the shingle sets themselves against each other, inside a task, and give a tree of what is similar. So
+no pairs travel, and no link between close texts is lost. A bucket holds about n / 2^16 unrelated entries, so comparisons
+are linear in practice up to some 10^8 entries; beyond that raise ``KEY_BITS``, and ``TABLES`` by a sixth for each bit.
 """
 
 from __future__ import annotations
@@ -35,9 +37,11 @@ from .common import connected_components, free_name, shuffle_partitions, stored
 SEED, SHINGLE, RADIUS = 42, 4, 4
 #: The link by similarity: words of a shingle, and the least Jaccard similarity as a fraction.
 SIMILAR_SHINGLE, SIMILARITY = 5, (4, 5)
-#: Words of a wide fingerprint, and the largest number of differing bits of the first word and of all words together.
-WORDS, WIDE_RADIUS, SCREEN_RADIUS = 9, 18, 130
-TABLES, KEY_BITS = 96, 18
+#: Words of a wide fingerprint, and the largest number of differing bits of the first word, and of the first two together.
+WORDS, WIDE_RADIUS, BOTH_RADIUS = 10, 18, 32
+TABLES, KEY_BITS = 96, 16
+#: Shingles of a block of sets that one task holds against another block.
+BLOCK_SHINGLES = 65_536
 #: Fingerprints of one bucket that are compared with each other by one task.
 BLOCK = 512
 #: Bit ranges (``m``).
@@ -190,72 +194,76 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _tree(ids: np.ndarray, group: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One edge for each fingerprint that is connected to a smaller one."""
-    root = forest(len(ids), i, j)
-    child = np.flatnonzero(root != np.arange(len(ids)))
-    return ids[child], ids[root[child]]
-
-
-def _one_each(ids: np.ndarray, group: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One edge for each entry that is close to another one: to the smallest such entry."""
-    first = np.full(len(ids), len(ids))
-    np.minimum.at(first, i, j)
-    np.minimum.at(first, j, i)
-    some = np.flatnonzero(first < len(ids))
-    return ids[some], ids[first[some]]
-
-
-def _between(ids: np.ndarray, group: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of different groups."""
-    apart = group[i] != group[j]
-    return ids[i[apart]], ids[j[apart]]
-
-
-def _edges_of(radius: int, chosen: Callable):
-    """Reads rows (t, v, i, j, fp, code, known) sorted by bucket; of its close codes it sends the edges that ``chosen`` names."""
+def _groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Sorted rows, a table for each run of batches that ends with a group of the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = np.stack([c.to_numpy() for c in batch.columns[:keys]], 1)
+        last = int(np.flatnonzero((now != now[-1]).any(1))[-1]) + 1 if (now != now[-1]).any() else 0
+        before = held and [c[0].as_py() for c in held[-1].slice(held[-1].num_rows - 1).columns[:keys]] != now[0].tolist()
+        if before:
+            yield pa.Table.from_batches(held)
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _begins(keys: list[np.ndarray]) -> np.ndarray:
+    change = np.zeros(len(keys[0]), bool)
+    change[:1] = True
+    for k in keys:
+        change[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(change)
+
+
+def _edges_of(radius: int, both_radius: int | None):
+    """Reads rows (t, v, block, fp, code, more) sorted by bucket and sends one edge for each entry connected to a smaller one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def out(keys: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-            begins = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
-            i, j = near_pairs(np.ascontiguousarray(rows[:, 1]).view(np.uint64), begins, radius)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in chosen(rows[:, 0], rows[:, 2], i, j)], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, rows = (np.stack([c.to_numpy().astype(np.int64) for c in part], 1) for part in (batch.columns[:4], batch.columns[4:]))
-            if held:
-                keys, rows = np.concatenate([held[0], keys]), np.concatenate([held[1], rows])
-            last = int(np.flatnonzero((keys != keys[-1]).any(1))[-1]) + 1 if (keys != keys[-1]).any() else 0
-            if last:
-                yield out(keys[:last], rows[:last])
-            held = keys[last:], rows[last:]
-        if held:
-            yield out(*held)
+        for rows in _groups_of(batches, 3):
+            t, v, block, fps, code, more = (c.to_numpy() for c in rows.columns)
+            begins = _begins([t, v, block])
+            # Entries that are alone in their bucket are left out.
+            several = np.repeat(np.diff(np.append(begins, len(fps))) > 1, np.diff(np.append(begins, len(fps))))
+            t, v, block, fps, code, more = (x[several] for x in (t, v, block, fps, code, more))
+            i, j = near_pairs(code.view(np.uint64), _begins([t, v, block]), radius)
+            if both_radius is not None:
+                x, y = code.view(np.uint64), more.view(np.uint64)
+                good = np.bitwise_count(x[i] ^ x[j]).astype(int) + np.bitwise_count(y[i] ^ y[j]) <= both_radius
+                i, j = i[good], j[good]
+            root = forest(len(fps), i, j)
+            child = np.flatnonzero(root != np.arange(len(fps)))
+            yield pa.RecordBatch.from_arrays([pa.array(fps[child]), pa.array(fps[root[child]])], ["a", "b"])
 
     return run
 
 
-def _edges_in_buckets(rows: DataFrame, radius: int, chosen: Callable) -> DataFrame:
-    """Edges (a, b) within buckets of ``rows``: t, v (the bucket), fp (the entry), code (what is compared), known (its group).
+def _edges_in_buckets(rows: DataFrame, radius: int, both_radius: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect the close entries of each bucket of ``rows``: t, v (the bucket), fp, code and more (what is compared).
 
-    A bucket of one entry, or of one group, is left out. One larger than a block is dealt as pairs of blocks.
+    A bucket larger than a block is dealt as pairs of blocks. Close are codes within ``radius`` bits and, if
+    ``both_radius`` is given, codes and mores together within that.
     """
-    sizes = rows.groupBy("t", "v").agg(F.count("*").alias("n"), F.min("known").alias("low"), F.max("known").alias("high"))
-    full = sizes.where("low < high").select("t", "v", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own, other = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"), F.col("other")
+    large = rows.groupBy("t", "v").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    large = large.select("t", "v", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    own, other = F.pmod(F.xxhash64("fp"), blocks).cast("int"), F.col("other")
+    low, high = F.least("own", other), F.greatest("own", other)
     dealt = (
-        rows.join(full, ["t", "v"])
+        rows.join(stored(large), ["t", "v"], "left")
         .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("t", "v", F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), "fp", "code", "known")
-        .repartition(shuffle_partitions(rows.sparkSession), "t", "v", "i", "j")
-        .sortWithinPartitions("t", "v", "i", "j", "fp")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("t", "v", (low.cast("long") * 2**31 + high).alias("block"), "fp", "code", "more")
+        .repartition(shuffle_partitions(rows.sparkSession), "t", "v", "block")
+        .sortWithinPartitions("t", "v", "block", "fp")
     )
-    return dealt.mapInArrow(_edges_of(radius, chosen), "a long, b long")
+    return dealt.mapInArrow(_edges_of(radius, both_radius), "a long, b long")
 
 
 def near_edges(entries: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -266,8 +274,8 @@ def near_edges(entries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     masks = table_masks(radius)
     choices = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("v")) for t, m in enumerate(masks)])
-    rows = entries.select("fp", F.col("fp").alias("code"), F.col("fp").alias("known"), F.inline(choices))
-    return _edges_in_buckets(rows.select("t", "v", "fp", "code", "known"), radius, _tree)
+    rows = entries.select("fp", F.col("fp").alias("code"), F.lit(0).cast("long").alias("more"), F.inline(choices))
+    return _edges_in_buckets(rows.select("t", "v", "fp", "code", "more"), radius)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -319,7 +327,7 @@ def _without(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame
 #: Fixed by the seed: multipliers and summands that spread a shingle's hash over the words, and the bits of each table.
 _RNG = np.random.default_rng(SEED)
 _ODD, _ADD = _RNG.integers(0, 2**64, (2, WORDS), np.uint64) | np.uint64(1)
-_TABLE_BITS = np.stack([_RNG.choice(64 * (WORDS - 1), KEY_BITS, replace=False) for _ in range(TABLES)])
+_TABLE_BITS = np.stack([_RNG.choice(64 * (WORDS - 2), KEY_BITS, replace=False) for _ in range(TABLES)])
 
 
 def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
@@ -335,7 +343,7 @@ def table_keys(words: np.ndarray) -> np.ndarray:
     """The buckets [entries, TABLES] of wide fingerprints [entries, WORDS]."""
     out = np.empty((len(words), TABLES), np.int32)
     for at in range(0, len(words), 1024):
-        bits = np.unpackbits(np.ascontiguousarray(words[at : at + 1024, 1:]).view(np.uint8), axis=1, bitorder="little")
+        bits = np.unpackbits(np.ascontiguousarray(words[at : at + 1024, 2:]).view(np.uint8), axis=1, bitorder="little")
         out[at : at + 1024] = bits[:, _TABLE_BITS].astype(np.int32) @ (1 << np.arange(KEY_BITS, dtype=np.int32))
     return out
 
@@ -369,59 +377,86 @@ def _sets(docs: DataFrame, of: Callable[[np.ndarray], np.ndarray], name: str, sh
 
 
 def _tables(entries: DataFrame) -> DataFrame:
-    """Columns fp, code (the first word) and keys (its bucket in each table)."""
+    """Columns fp, code and more (the first two words) and keys (its bucket in each table)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = np.stack([np.array(w, np.int64) for w in batch.column(1).to_pylist()]) if batch.num_rows else np.zeros((0, WORDS), np.int64)
             keys = table_keys(words.view(np.uint64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * TABLES), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words[:, 0].copy()), lists], ["fp", "code", "keys"])
+            columns = [batch.column(0), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["fp", "code", "more", "keys"])
 
-    return entries.select("fp", "words").mapInArrow(run, "fp long, code long, keys array<int>")
+    return entries.select("fp", "words").mapInArrow(run, "fp long, code long, more long, keys array<int>")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame, entries: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of entries whose shingle sets are similar: all words of the fingerprints screen, the sets decide."""
-    left, right = (entries.select(F.col("fp").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
-    differ = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    pairs = stored(pairs.join(left, "a").join(right, "b").where(differ <= SCREEN_RADIUS).select("a", "b"))
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
-    texts = entries.join(wanted, "fp", "left_semi").select("text_hash").distinct()
-    sets = _sets(docs.join(texts, "text_hash", "left_semi").select("doc_id", "text", "text_hash"), lambda s: s, "shingles", shingle)
-    sets = stored(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")))
-    left, right = (sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), total.alias("total"))
-    part, whole = SIMILARITY
-    return stored(rows.where(F.col("both") * whole >= part * (F.col("total") - F.col("both"))).select("a", "b"))
-
+def similar_sets(left: list[np.ndarray], right: list[np.ndarray], slab: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of a left and a right set whose Jaccard similarity is ``SIMILARITY`` or more.
 
-def _pairs(edges: DataFrame) -> DataFrame:
-    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    Common shingles are counted for a slab of left sets at a time, by way of the right sets that hold each shingle.
+    """
+    part, whole = SIMILARITY
+    a, b = (np.array([len(s) for s in sets]) for sets in (left, right))
+    owner, flat = np.repeat(np.arange(len(right)), b), np.concatenate(right)
+    order = np.argsort(flat, kind="stable")
+    owner, flat = owner[order], flat[order]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    begins = [np.searchsorted(flat, s, "left") for s in left]
+    counts = [np.searchsorted(flat, s, "right") - at for s, at in zip(left, begins)]
+    meets = np.cumsum([0] + [int(c.sum()) for c in counts])
+    at = 0
+    while at < len(left):
+        end = max(at + 1, int(np.searchsorted(meets, meets[at] + slab, "right")) - 1)
+        n, first = np.concatenate(counts[at:end]), np.concatenate(begins[at:end])
+        row = np.repeat(np.repeat(np.arange(end - at), a[at:end]), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        both = np.bincount(row * len(right) + owner[place], minlength=(end - at) * len(right)).reshape(end - at, -1)
+        i, j = np.nonzero(both * whole >= part * (a[at:end, None] + b[None, :] - both))
+        found.append((i + at, j))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _similar_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads rows (root, low, high, own, fp, shingles) sorted by pair of blocks and sends a tree of the similar sets of each."""
+    for rows in _groups_of(batches, 3):
+        root, low, high, own, fps = (rows.column(c).to_numpy() for c in range(5))
+        begins = _begins([root, low, high])
+        for begin, end in zip(begins, [*begins[1:], len(fps)]):
+            sets = [np.asarray(x.values).view(np.uint64) for x in rows.column(5).slice(begin, end - begin)]
+            left, right = np.flatnonzero(own[begin:end] == low[begin]), np.flatnonzero(own[begin:end] == high[begin])
+            if not len(left) or not len(right):
+                continue
+            i, j = similar_sets([sets[k] for k in left], [sets[k] for k in right])
+            tree = forest(end - begin, left[i], right[j])
+            child = np.flatnonzero(tree != np.arange(end - begin))
+            here = fps[begin:end]
+            yield pa.RecordBatch.from_arrays([pa.array(here[child]), pa.array(here[tree[child]])], ["a", "b"])
 
 
 def similar_edges(docs: DataFrame, prints: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """Edges (a, b) that connect all entries that ``SIMILARITY`` connects, among those that share a bucket.
+    """Edges (a, b) that connect all entries that a similarity of ``SIMILARITY`` connects, among those that are close.
 
-    First each entry that is close to others in a bucket is held against the smallest of them. This connects most of
-    a large group by few pairs. Then all close pairs of entries that are not yet connected are decided, so none is lost.
     ``docs`` has doc_id, text and text_hash; ``prints`` doc_id, fp, text_hash and words.
     """
     entries = stored(prints.groupBy("fp").agg(F.first("words").alias("words"), F.min("text_hash").alias("text_hash")))
     tables = stored(_tables(entries))
-
-    def rows(of: DataFrame, known: str) -> DataFrame:
-        return of.select("fp", "code", F.col(known).alias("known"), F.posexplode("keys").alias("t", "v")).select("t", "v", "fp", "code", "known")
-
-    tried = stored(_pairs(_edges_in_buckets(rows(tables, "fp"), WIDE_RADIUS, _one_each)))
-    first = _similar(tried, docs, prints, entries, shingle)
-    close = stored(tried.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
-    roots = connected_components(first).withColumnRenamed("node", "fp")
-    some = stored(tables.join(close, "fp", "left_semi").join(roots, "fp", "left").withColumn("known", F.coalesce("root", "fp")))
-    others = _pairs(_edges_in_buckets(rows(some, "known"), WIDE_RADIUS, _between))
-    rest = _similar(stored(others.join(tried, ["a", "b"], "left_anti")), docs, prints, entries, shingle)
-    return first.unionByName(rest)
+    rows = tables.select("fp", "code", "more", F.posexplode("keys").alias("t", "v")).select("t", F.col("v").cast("long").alias("v"), "fp", "code", "more")
+    groups = stored(connected_components(_edges_in_buckets(rows, WIDE_RADIUS, BOTH_RADIUS).distinct()).withColumnRenamed("node", "fp"))
+    texts = entries.join(groups, "fp", "left_semi").select("text_hash").distinct()
+    sets = _sets(docs.join(texts, "text_hash", "left_semi").select("doc_id", "text", "text_hash"), lambda s: s, "shingles", shingle)
+    sets = stored(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")).join(groups, "fp"))
+    sizes = sets.groupBy("root").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    blocks, other = F.greatest(F.col("blocks"), F.lit(1)), F.col("other")
+    dealt = (
+        sets.join(stored(sizes), "root")
+        .withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("root", F.least("own", other).alias("low"), F.greatest("own", other).alias("high"), "own", "fp", "shingles")
+        .repartition(shuffle_partitions(docs.sparkSession), "root", "low", "high")
+        .sortWithinPartitions("root", "low", "high", "fp")
+    )
+    return dealt.mapInArrow(_similar_of, "a long, b long")
 
 
 def drop_similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
