@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import replaced, stored
 
 
 def get_concept(nodes: DataFrame, names: DataFrame) -> DataFrame:
@@ -137,23 +137,27 @@ def import_counts(nodes: DataFrame, links: DataFrame, merged_nodes: DataFrame, m
     return row("nodes", drop_invalid_nodes(nodes), merged_nodes, old_nodes).unionByName(row("links", drop_invalid_links(links), merged_edges, old_edges))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, max_depth: int, wanted: DataFrame | None = None) -> DataFrame:
     """Breadth-first levels from each ``start`` (column start): start, name, depth, parent.
 
     Each level joins the frontier with the edges, keeps the smallest parent of a newly met name, and drops names met
-    before; a level is stored, so the plan does not grow.
+    before; a level is stored, so the plan does not grow. With ``wanted`` (start, name) a start is followed only until all
+    its wanted names are met.
     """
-    step = edges.select(F.col("src").alias("name"), F.col("dst").alias("next")).distinct()
+    step = stored(edges.select(F.col("src").alias("name"), F.col("dst").alias("next")).distinct())
     seen = stored(
         starts.select("start").distinct().select("start", F.col("start").alias("name"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
     )
-    frontier = seen
+    frontier, left = seen, None if wanted is None else stored(wanted.select("start", "name").where("start <> name").distinct())
     for depth in range(1, max_depth + 1):
-        met = frontier.select("start", "name").join(step, "name").groupBy("start", F.col("next").alias("name")).agg(F.min(F.col("name")).alias("parent"))
+        ahead = frontier if left is None else frontier.join(left.select("start").distinct(), "start", "left_semi")
+        met = ahead.select("start", "name").join(step, "name").groupBy("start", F.col("next").alias("name")).agg(F.min(F.col("name")).alias("parent"))
         frontier = stored(met.join(seen, ["start", "name"], "left_anti").select("start", "name", F.lit(depth).alias("depth"), "parent"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if left is not None:
+            left = replaced(left, stored(left.join(frontier, ["start", "name"], "left_anti")))
     return seen
 
 
@@ -165,7 +169,7 @@ def shortest_learning_path(edges: DataFrame, pairs: DataFrame, max_depth: int =
     are walked together.
     """
     pairs = pairs.select("start", "target").distinct().where("start <> target")
-    levels = reachable(edges, pairs, max_depth)
+    levels = reachable(edges, pairs, max_depth, pairs.select("start", F.col("target").alias("name")))
     at = pairs.join(levels.withColumnRenamed("name", "target"), ["start", "target"]).select("start", "target", F.col("target").alias("name"), "depth", "parent")
     steps = []
     for _ in range(max_depth):

@@ -56,7 +56,9 @@ def parse_point_responses(responses: DataFrame) -> DataFrame:
     and empty definitions are dropped.
     """
     text = F.coalesce("response", F.lit(""))
-    staged = responses.withColumn("whole", F.from_json(_unfenced(text), POINT_JSON)).withColumn("part", _first_array(text))
+    # An object is not an array of one, and objects after it would be lost.
+    array = F.when(_unfenced(text).startswith("["), _unfenced(text))
+    staged = responses.withColumn("whole", F.from_json(array, POINT_JSON)).withColumn("part", _first_array(text))
     staged = staged.withColumn("first", F.from_json(_repaired(F.col("part")), POINT_JSON)).withColumn(
         "second", F.from_json(_repaired_again(_repaired(F.col("part"))), POINT_JSON)
     )

@@ -158,10 +158,8 @@ def _graph(spark, sf_dir):
 @query()
 def learn_q_values(spark, sf_dir):
     """The values of the moves from each goal's start; they rest on those of all states within ten moves of it."""
-    goals = _goals(spark, sf_dir)
-    values = planning.learn_q_values(goals, *_graph(spark, sf_dir))
-    starts = goals.select("goal_id", F.col("start").alias("src"))
-    return values.join(starts, ["goal_id", "src"]).select("goal_id", "student_id", "target", "src", "dst", F.round("q", 4).alias("q"))
+    values = planning.learn_q_values(_goals(spark, sf_dir), *_graph(spark, sf_dir), starts_only=True)
+    return values.withColumn("q", F.round("q", 4))
 
 
 @query()

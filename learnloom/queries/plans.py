@@ -14,12 +14,12 @@ from .registry import query
 
 def _responses(spark, sf_dir):
     """The points of a page as a model might answer, by the page's number: JSON, fenced, inside prose, with single
-    quotes and trailing commas, with bare keys, or one object after another without an array."""
+    quotes and a trailing comma, with bare keys, or one object after another without an array."""
     points = b.points(spark, sf_dir)
     body = F.to_json(F.array_sort(F.collect_list(F.struct("concept", "definition", "importance"))))
     rows = points.groupBy("book_id", "page").agg(body.alias("j"))
     plain = ~F.contains("j", F.lit("'"))  # quotes can be swapped only where none stands within a text
-    single = F.concat(F.regexp_replace(F.replace("j", F.lit('"'), F.lit("'")), r"\}\]$", ",}"), F.lit(",]"))
+    single = F.regexp_replace(F.replace("j", F.lit('"'), F.lit("'")), r"\}\]$", ", }]")
     bare = F.regexp_replace("j", '"(concept|definition|importance)":', "$1:")
     loose = F.regexp_replace(F.regexp_replace("j", r"^\[|\]$", ""), r"\},\{", "} and {")
     forms = [F.col("j"), F.concat(F.lit("```json\n"), "j", F.lit("\n```")), F.concat(F.lit("Here it is: "), "j", F.lit(" Done.")), F.when(plain, single), F.when(plain, bare), F.when(plain, loose)]

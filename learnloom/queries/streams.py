@@ -51,13 +51,13 @@ def stream_attention_alerts(spark, sf_dir):
 WAIT, LATE = 6 * 3600, 600  # seconds
 
 # Sessions end after WAIT. The n-th results of both sides of a session pair; of a session that has ended, those left over go out alone.
-_STREAMED = f"""{b.EMOTIONS}, o_ AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN list_max(probs) END AS confidence, epoch(ts) AS at FROM emotions),
- g_ AS (SELECT *, CASE WHEN at - lag(at) OVER (PARTITION BY session_id ORDER BY ts, event_id) > {WAIT} THEN 1 ELSE 0 END AS new FROM o_),
+_STREAMED = f"""{b.EMOTIONS}, o_ AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN list_max(probs) END AS confidence, epoch(ts) AS sec FROM emotions),
+ g_ AS (SELECT *, CASE WHEN sec - lag(sec) OVER (PARTITION BY session_id ORDER BY ts, event_id) > {WAIT} THEN 1 ELSE 0 END AS new FROM o_),
  i_ AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS part FROM g_),
- e_ AS (SELECT *, max(at) OVER (PARTITION BY session_id, part) AS ends, max(part) OVER (PARTITION BY session_id) AS parts, (SELECT max(at) FROM i_) AS now FROM i_),
+ e_ AS (SELECT *, max(sec) OVER (PARTITION BY session_id, part) AS ends, max(part) OVER (PARTITION BY session_id) AS parts, (SELECT max(sec) FROM i_) AS now FROM i_),
  r_ AS (SELECT *, part < parts OR ends + {WAIT} < now - {LATE} AS over, row_number() OVER (PARTITION BY session_id, part, modality ORDER BY ts, event_id) AS n FROM e_),
  p_ AS (SELECT coalesce(a.session_id, f.session_id) AS session_id, coalesce(a.part, f.part) AS part, coalesce(a.n, f.n) AS n,
-  CASE WHEN f.ts IS NULL OR (a.ts, a.event_id) > (f.ts, f.event_id) THEN a.event_id ELSE f.event_id END AS event_id,
+  CASE WHEN f.ts IS NULL THEN a.event_id WHEN a.ts IS NULL THEN f.event_id WHEN (a.ts, a.event_id) > (f.ts, f.event_id) THEN a.event_id ELSE f.event_id END AS event_id,
   a.probs AS audio_probs, f.probs AS face_probs, a.confidence AS audio_confidence, f.confidence AS face_confidence, a.error AS audio_error, f.error AS face_error
   FROM (SELECT * FROM r_ WHERE modality = 'audio') a FULL JOIN (SELECT * FROM r_ WHERE modality = 'face') f ON a.session_id = f.session_id AND a.part = f.part AND a.n = f.n
   WHERE (a.ts IS NOT NULL AND f.ts IS NOT NULL) OR coalesce(a.over, f.over)),
