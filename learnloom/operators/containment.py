@@ -13,12 +13,17 @@ from ..storage import stored
 BROADCAST_TERMS = 500_000
 
 
+#: Characters of a piece that a text is cut into, since the n-th character of a long text takes n steps to find.
+PIECE = 256
+
+
 def character_grams(text: Column, n: int) -> Column:
     """The different runs of ``n`` characters of a text; none if it is shorter."""
-    chars = F.split(text, "")
-    size = F.size(chars) - (n - 1)
-    shifted = [F.slice(chars, i + 1, F.greatest(size, F.lit(0))).alias(f"c{i}") for i in range(n)]
-    return F.array_distinct(F.transform(F.arrays_zip(*shifted), lambda z: F.concat_ws("", *[z[f"c{i}"] for i in range(n)])))
+    none = F.array().cast("array<string>")
+    size = F.length(text)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((size - n) / PIECE).cast("int")), lambda k: F.substr(text, k * PIECE + 1, F.lit(PIECE + n - 1)))
+    runs = F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.substr(p, i, F.lit(n))))
+    return F.when(size >= n, F.array_distinct(F.flatten(runs))).otherwise(none)
 
 
 def contained_terms(texts: DataFrame, keys: list[str], terms: DataFrame, gram: int = 3, within: Sequence[str] = ()) -> DataFrame:
