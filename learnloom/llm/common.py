@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import remove, replaced, scope, shared_path, shuffle_partitions, stored
 
 __all__ = [
-    "SPACES", "WORDS", "bucket_of", "connected_components", "free_name", "remove", "replaced", "running_total", "scope", "shared_path", "shuffle_partitions", "stored", "table",
+    "SPACES", "WORDS", "bucket_of", "connected_components", "first_by_hash", "free_name", "remove", "replaced", "running_total", "scope", "shared_path", "shuffle_partitions", "stored", "table",
 ]
 
 #: White space of the text contracts: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -32,6 +34,33 @@ def bucket_of(n: Column, *keys: Column | str) -> Column:
     return F.pmod(F.xxhash64(*keys), F.ceil(F.sqrt(n)).cast("long"))
 
 
+def first_by_hash(rows: DataFrame, group: str, keys: list[str], n: int, columns: list[str]) -> list[Row]:
+    """The first ``n`` rows of each group (not null) in order of a hash of ``keys``, all if there are fewer.
+
+    Hashes are even, so a share of them that holds about three times as many rows is looked through first, and what is
+    sent to a group's task does not grow with the input. A group that comes out short, since its rows repeat, is looked
+    through whole. One row for each group comes to the driver for this.
+    """
+    counts = {r[group]: r["count"] for r in rows.groupBy(group).count().collect()}
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for g, c in counts.items() for x in (g, min(1.0, (3 * n + 100) / c))])
+    order, rank = free_name(rows, "order"), free_name(rows, "rank")
+    hashed = rows.withColumn(order, F.pmod(F.xxhash64(*keys), F.lit(2**40)))
+
+    def first(some: DataFrame) -> list[Row]:
+        # Spark limits each task's rows before it deals them out.
+        ranked = some.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(order)))
+        return ranked.where(F.col(rank) <= n).select(*columns).collect()
+
+    found = first(hashed.where(F.col(order) < share[F.col(group)] * 2**40))
+    met = Counter(r[group] for r in found)
+    short = [g for g, c in counts.items() if met[g] < min(n, c)]
+    if short:
+        found = [r for r in found if r[group] not in set(short)] + first(hashed.where(F.col(group).isin(short)))
+    return found
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: columns ``node`` and ``root``, the smallest node of its component.
 

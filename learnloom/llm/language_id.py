@@ -11,15 +11,16 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import first_by_hash
+
 SLOTS, CENTROIDS = 2**14, 4
 #: Training rows for each language that centroids are fitted on at most: the first by the hash of their id and text.
 FIT_ROWS = 400
@@ -121,7 +122,7 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, r
     rows = rows.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("doc_id", "text", "lang")
     found, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + found)) + 1
-    picked = _picked(rows, fit_rows)
+    picked = first_by_hash(rows, "lang", ["doc_id", "text"], fit_rows, ["lang", "text"])
     by_lang: dict[str, list[str]] = {}
     for r in picked:
         by_lang.setdefault(r["lang"], []).append(r["text"])
@@ -140,32 +141,6 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, r
     return LanguageModel(languages, np.array(owner, np.int64), matrix, idf, reject_share * low)
 
 
-def _picked(rows: DataFrame, n: int) -> list:
-    """The first ``n`` rows (lang, text) of each language in order of a hash of id and text, all if there are fewer.
-
-    Hashes are even, so a share of them that holds about three times as many rows is looked through first, and what is
-    sent does not grow with the corpus. A language that comes out short, since its rows repeat, is looked through whole.
-    One row for each language comes to the driver for this.
-    """
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for lang, c in counts.items() for x in (lang, min(1.0, (3 * n + 100) / c))])
-    hashed = rows.withColumn("order", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**40)))
-    found = _smallest_per_group(hashed.where(F.col("order") < share[F.col("lang")] * 2**40), n).collect()
-    met = Counter(r["lang"] for r in found)
-    short = [lang for lang, c in counts.items() if met[lang] < min(n, c)]
-    if short:
-        found = [r for r in found if r["lang"] not in set(short)] + _smallest_per_group(hashed.where(F.col("lang").isin(short)), n).collect()
-    return found
-
-
-def _smallest_per_group(rows: DataFrame, n: int) -> DataFrame:
-    """Columns lang, text of the ``n`` rows of each language that come first; Spark limits each task's rows before it deals them out."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= n).select("lang", "text")
-
-
 def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score, rejected.
 

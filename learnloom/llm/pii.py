@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import first_by_hash, stored
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the method finds, in the order they take in ``spans`` after the base kinds.
@@ -242,8 +242,7 @@ def classifier(scan: DataFrame, fit_spans: int = FIT_SPANS) -> tuple[np.ndarray,
         patterns = np.array([[r["votes"] // 3**i % 3 for i in (3, 2, 1, 0)] for r in own])
         p, _ = reliabilities(patterns, np.array([r["count"] for r in own], np.float64))
         probability |= {(kind, r["votes"]): float(x) for r, x in zip(own, p)}
-    order = Window.partitionBy("kind").orderBy(F.xxhash64("doc_id", "start", "end", "inputs"), "doc_id", "start")
-    sample = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fit_spans).select("kind", "votes", "inputs").collect()
+    sample = first_by_hash(found, "kind", ["doc_id", "start", "end", "inputs"], fit_spans, ["kind", "votes", "inputs"])
     rows = Counter((r["kind"], r["votes"], tuple(r["inputs"])) for r in sample)
     x = np.zeros((len(rows), INPUTS))
     for i, (*_, inputs) in enumerate(sorted(rows)):
