@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 
-#: Terms whose grams are broadcast at most (some 100 bytes each); more are joined by exchange.
-BROADCAST_TERMS = 500_000
+#: Terms whose grams are broadcast at most (some 100 bytes each); more are joined by exchange. Up to so many terms their
+#: grams are part of the plan, so that a text's other grams are dropped as they are cut.
+BROADCAST_TERMS, LITERAL_TERMS = 500_000, 20_000
 
 
 #: Characters of a piece that a text is cut into, since the n-th character of a long text takes n steps to find.
 PIECE = 256
 
 
-def character_grams(text: Column, n: int) -> Column:
-    """The different runs of ``n`` characters of a text; none if it is shorter."""
+def character_grams(text: Column, n: int, among: list[str] | None = None) -> Column:
+    """The different runs of ``n`` characters of a text, those of ``among`` if given; none if the text is shorter."""
     none = F.array().cast("array<string>")
     size = F.length(text)
     pieces = F.transform(F.sequence(F.lit(0), F.floor((size - n) / PIECE).cast("int")), lambda k: F.substr(text, k * PIECE + 1, F.lit(PIECE + n - 1)))
-    runs = F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.substr(p, i, F.lit(n))))
+    every = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.substr(p, i, F.lit(n)))
+    runs = F.transform(pieces, every if among is None else lambda p: F.filter(every(p), lambda g: g.isin(among)))
     return F.when(size >= n, F.array_distinct(F.flatten(runs))).otherwise(none)
 
 
@@ -34,7 +36,8 @@ def contained_terms(texts: DataFrame, keys: list[str], terms: DataFrame, gram: i
     (a shorter term by itself), and only texts with that run are tested. The test is exact: a text that holds a term
     holds all its runs.
 
-    The runs of a text meet the terms' runs without the text. Up to ``BROADCAST_TERMS`` terms are sent to the texts, so
+    The runs of a text meet the terms' runs without the text. Up to ``LITERAL_TERMS`` terms' runs are looked up as a text
+    is cut. Up to ``BROADCAST_TERMS`` terms are sent to the texts, so
     runs that no term is known by are dropped where they arise; more terms meet them by exchange, before which Spark's
     runtime filters drop most of them. Then only texts with a candidate are read.
     """
@@ -44,7 +47,10 @@ def contained_terms(texts: DataFrame, keys: list[str], terms: DataFrame, gram: i
     keyed = terms.select(*within, "term", F.explode(F.when(F.length("term") < gram, F.array("term")).otherwise(character_grams(F.col("term"), gram))).alias("gram"))
     counted = keyed.join(keyed.groupBy(*within, "gram").agg(F.count("*").alias("n")), [*within, "gram"])
     known = stored(counted.groupBy(*within, "term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")))
-    runs = F.concat(*[character_grams(F.col("text"), n) for n in sorted(sizes)]) if sizes else F.array().cast("array<string>")
-    small = terms.count() <= BROADCAST_TERMS
+    count = terms.count()
+    among = sorted(r["gram"] for r in known.select("gram").distinct().collect()) if count <= LITERAL_TERMS else None
+    of = lambda n: among and [g for g in among if len(g) == n]
+    runs = F.concat(*[character_grams(F.col("text"), n, of(n)) for n in sorted(sizes)]) if sizes else F.array().cast("array<string>")
+    small = count <= BROADCAST_TERMS
     found = texts.select(*keys, F.explode(runs).alias("gram")).join(F.broadcast(known) if small else known, [*within, "gram"]).select(*keys, "term")
     return texts.select(*keys, "text").join(stored(found), keys).where(F.contains("text", "term")).select(*keys, "term")

@@ -12,6 +12,8 @@ from learnloom.plans import extraction
 @pytest.mark.parametrize("gram", [1, 3, 6])
 def test_contained_terms_match_brute_force(spark, monkeypatch, most, gram):
     monkeypatch.setattr(containment, "BROADCAST_TERMS", most)
+    monkeypatch.setattr(containment, "LITERAL_TERMS", most if gram == 3 else 0)
+    monkeypatch.setattr(containment, "PIECE", 8)
     rng = random.Random(gram)
     word = lambda n: "".join(rng.choice("abcé指") for _ in range(n))
     texts = [(b, i, word(rng.randrange(0, 40))) for b in "xy" for i in range(30)] + [("x", 99, None), ("x", 98, "")]
