@@ -35,9 +35,11 @@ def with_open_sessions(closed: DataFrame, messages: DataFrame, ts: str = "ts", g
 
     Only sessions of ids with a message after the watermark less the gap are counted.
     """
-    end = messages.agg(F.max(ts).alias("end"))
-    after = F.col(ts) + F.expr(f"INTERVAL {gap}") + F.expr(f"INTERVAL {late}") >= F.col("end")
-    some = messages.crossJoin(F.broadcast(end)).where(after).select("session_id").distinct()  # one row is joined
+    end = messages.agg(F.max(ts)).first()[0]
+    if end is None:
+        return closed
+    after = F.col(ts) + F.expr(f"INTERVAL {gap}") + F.expr(f"INTERVAL {late}") >= F.lit(end)
+    some = messages.where(after).select("session_id").distinct()
     still = stream_session_activity(messages.join(some, "session_id", "left_semi"), ts, gap)
     return closed.unionByName(still.join(closed.select("session_id", "created_at"), ["session_id", "created_at"], "left_anti"))
 
