@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, language_id, mixing, packing, pii, quality, simhash, substring_dedup, token_files
+from . import embedding_dedup, exact_dedup, language_id, merkle, mixing, packing, pii, quality, simhash, substring_dedup, token_files
 from .common import table
 
 
@@ -68,6 +68,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +81,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_exact_dedup, op2_personal_data, op3_line_quality, op4_source_mix, op5_substring_dedup,
-        op6_packing, op7_embedding_dedup, op8_simhash, op9_token_files, op10_language_id, pipeline,
+        op6_packing, op7_embedding_dedup, op8_simhash, op9_token_files, op10_language_id,
+        op11_merkle_manifest, pipeline,
     )
     return {f.__name__: f for f in found}
 
@@ -145,6 +150,45 @@ SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.vec_id) AS n_links, min(r
 FROM v JOIN r ON r.node = v.vec_id GROUP BY v.vec_id
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, n_chars,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail,
+         -- CRC-32 bit by bit: the polynomial 0xEDB88320, reflected
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, _: xor(x >> 1, 3988292384::BIGINT * (x & 1)))) AS crc
+  FROM documents),
+l AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+             CASE WHEN xor(crc, 4294967295::BIGINT) % 7 = 0 THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS tampered FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+tree AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM p GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(array_to_string(nodes[i + 1 : i + 2], ''))) FROM tree WHERE len(nodes) > 1),
+subroots AS (SELECT lang, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM tree WHERE len(nodes) = 1),
+top AS (
+  SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(array_to_string(nodes[i + 1 : i + 2], ''))) FROM top WHERE len(nodes) > 1),
+k AS (SELECT p.*, s.subroot, s.height, s.pos AS lang_pos, row_number() OVER () AS row_no, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root
+      FROM p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang),
+steps AS (
+  SELECT row_no, level, (pos >> level) & 1 AS odd, coalesce(nodes[xor(pos >> level, 1) + 1], '') AS beside
+  FROM k JOIN tree ON k.lang IS NOT DISTINCT FROM tree.lang WHERE len(nodes) > 1
+  UNION ALL
+  SELECT row_no, height + level, (lang_pos >> level) & 1, coalesce(nodes[xor(lang_pos >> level, 1) + 1], '') FROM k, top WHERE len(nodes) > 1),
+listed AS (SELECT row_no, list(struct_pack(odd, beside) ORDER BY level) AS path FROM steps GROUP BY row_no),
+fold AS (
+  SELECT row_no, 0 AS level, coalesce(tampered, leaf) AS node, coalesce(path, []) AS path FROM k LEFT JOIN listed USING (row_no)
+  UNION ALL
+  SELECT row_no, level + 1, sha256(CASE WHEN path[level + 1].odd = 1 THEN path[level + 1].beside || node ELSE node || path[level + 1].beside END), path FROM fold WHERE level < len(path))
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.beside), '')) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM k JOIN fold USING (row_no) WHERE level = len(path)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_embedding_dedup": OP7_SQL}
+    return {
+        "op1_exact_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_embedding_dedup": OP7_SQL, "op11_merkle_manifest": OP11_SQL,
+    }
