@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, language_id, merkle, mixing, packing, pii, quality, simhash, substring_dedup, token_files
+from . import embedding_dedup, exact_dedup, language_id, lexical_search, merkle, mixing, packing, pii, quality, simhash, substring_dedup, token_files, vector_search
 from .common import table
 
 
@@ -72,6 +72,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_products(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_exact_dedup, op2_personal_data, op3_line_quality, op4_source_mix, op5_substring_dedup,
         op6_packing, op7_embedding_dedup, op8_simhash, op9_token_files, op10_language_id,
-        op11_merkle_manifest, pipeline,
+        op11_merkle_manifest, op12_vector_search, op13_lexical_search, pipeline,
     )
     return {f.__name__: f for f in found}
 
@@ -187,8 +195,30 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path,
 FROM k JOIN fold USING (row_no) WHERE level = len(path)
 """
 
+OP12_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM c GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM c, s GROUP BY term, docs),
+i AS (SELECT DISTINCT item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM benchmark),
+m AS (SELECT doc_id, 10 + (90 * n * docs) // terms AS m FROM d, s),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM i JOIN c USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_embedding_dedup": OP7_SQL, "op11_merkle_manifest": OP11_SQL,
+        "op12_vector_search": OP12_SQL, "op13_lexical_search": OP13_SQL,
     }
