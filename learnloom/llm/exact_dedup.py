@@ -1,8 +1,10 @@
-"""Exact deduplication by a tree of merged digest runs, in DataFrame operations only.
+"""Exact deduplication by a tree of merged, sorted digest runs, in DataFrame operations only.
 
-Rows are dealt to runs by the hash of their id. A run holds one entry for each digest: the smallest id and the number
-of rows. In each round, ``fan_in`` neighbouring runs merge into one (run ``r`` goes to run ``r // fan_in``, the binomial
-tree with several children), so that after the last round one logical run, spread over all tasks by digest, has the
+What one partition of the input holds is a run: its entries (digest, smallest id, number of rows) sorted by digest. In each
+round, ``fan_in`` neighbouring runs are sent to one partner (run ``r`` to run ``r // fan_in``, the binomial tree with several
+children) and merged there: entries of one digest come to stand next to each other, and the first, which has the smallest
+id, stays with the sum of their rows. The fewer runs there are, the more slices of the digests' range a run is cut into,
+each in order and each merged in a task of its own, so every round uses as many tasks as the first. The last run has the
 smallest id of every text. The verdicts then walk down the same tree: an entry asks its parent only, and a text that a
 third of all rows share is answered once for each run instead of in one task.
 
@@ -33,25 +35,36 @@ def tree_levels(spark, fan_in: int) -> int:
 
 
 def digests(docs: DataFrame, runs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns doc_id, run, text_sha256, n_bytes: one row for each document."""
+    """Columns doc_id, run, text_sha256, n_bytes: one row for each document. A partition is a run, or shares one."""
     text = normalised(F.col(text_col))
     return docs.select(
         F.col(id_col).alias("doc_id"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(runs)).alias("run"),
+        (F.spark_partition_id() % runs).cast("long").alias("run"),
         F.sha2(text, 256).alias("text_sha256"),
         F.octet_length(text).cast("long").alias("n_bytes"),
     )
 
 
+def merged(entries: DataFrame, slices: int) -> DataFrame:
+    """Entries (run, digest, keep_id, group_size) with each digest of a run once, in order of run and digest.
+
+    A run is dealt to tasks by slices of the digests' range. A task sorts what its runs sent, and an entry stays if its
+    neighbour before it has another digest; ids are in order within a digest, null last.
+    """
+    part = F.floor(F.conv(F.substr("text_sha256", F.lit(1), F.lit(6)), 16, 10).cast("long") * slices / 2**24)
+    order = F.col("keep_id").asc_nulls_last()
+    dealt = entries.withColumn("slice", part).repartition("run", "slice").sortWithinPartitions("run", "slice", *KEY, order)
+    same = Window.partitionBy("run", "slice", *KEY).orderBy(order)
+    every = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = dealt.withColumn("place", F.row_number().over(same)).withColumn("group_size", F.sum("group_size").over(every))
+    return met.where("place = 1").select(*KEY, "run", "keep_id", "group_size")
+
+
 def merged_runs(entries: DataFrame, levels: int, fan_in: int) -> list[DataFrame]:
-    """The runs at each level, from the dealt rows to the one merged run; each level is stored."""
-    sizes = F.sum("group_size").alias("group_size")
-    smallest = F.min("keep_id").alias("keep_id")
-    level = entries.groupBy(*KEY, "run").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    tree = [stored(level)]
-    for _ in range(levels):
-        level = tree[-1].withColumn("run", F.floor(F.col("run") / fan_in)).groupBy(*KEY, "run").agg(smallest, sizes)
-        tree.append(stored(level))
+    """The runs at each level, from those of the input's partitions to the one merged run; each level is stored."""
+    tree = [stored(merged(entries.withColumnRenamed("doc_id", "keep_id").withColumn("group_size", F.lit(1).cast("long")), 1))]
+    for level in range(1, levels + 1):
+        tree.append(stored(merged(tree[-1].withColumn("run", F.floor(F.col("run") / fan_in)), fan_in**level)))
     return tree
 
 

@@ -36,6 +36,22 @@ def test_exact_dedup_is_native(docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_runs_are_merged_in_order_without_another_exchange(spark, docs):
+    rows = [(i, f"text {i % 7}") for i in range(300)] + [(None, "text 3")] * 100
+    entries = exact_dedup.digests(docs(rows).repartition(9), 16)
+    one = exact_dedup.merged(entries.withColumnRenamed("doc_id", "keep_id").selectExpr("*", "1L AS group_size"), 4)
+    one.collect()
+    plan = one._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "Window" in plan
+    tree = exact_dedup.merged_runs(entries, 2, 4)
+    assert [t.select("run").distinct().count() for t in tree] == [9, 3, 1]
+    assert {(r["keep_id"], r["group_size"]) for r in tree[-1].collect()} == {(k, sum(i % 7 == k for i in range(300)) + 100 * (k == 3)) for k in range(7)}
+    for level in tree:  # each file holds whole slices, sorted
+        for f in level.inputFiles():
+            keys = [(r["run"], r["text_sha256"]) for r in spark.read.parquet(f).collect()]
+            assert keys == sorted(set(keys))
+
+
 def test_connected_components_match_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(0, i) for i in range(1000, 1200)]
