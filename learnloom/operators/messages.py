@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions import text as tx
 
@@ -25,6 +29,34 @@ def route_messages(messages: DataFrame, value: str = "value", kinds=KINDS) -> Da
     return rows.withColumn("error", error).withColumn("route", F.when(F.col("error").isNull(), F.col("type")).otherwise("error")).drop("broken")
 
 
+def typed_messages(messages: DataFrame, most: int = 10 * 2**20) -> dict[str, DataFrame]:
+    """A table for each kind of message, and one of those that cannot be routed; all have session_id, seq and id.
+
+    ``audio`` and ``image`` have their payload as bytes, its size and an error where it does not decode, is larger than
+    ``most``, or is a raw image without a shape; ``text`` has text and context; ``command`` what :func:`parse_commands`
+    gives; ``error`` type, error and value.
+    """
+    rows = route_messages(messages)
+    of = lambda kind: rows.where(F.col("route") == kind)
+    data = lambda field: F.get_json_object("data", f"$.{field}")
+    own = ["session_id", "seq", "id"]
+
+    def payload(kind: str, plain: str, **more: Column) -> DataFrame:
+        sent = of(kind).select(*own, F.coalesce(data("format"), F.lit(plain)).alias("format"), F.coalesce(data("data"), F.lit("")).alias("payload"), *[c.alias(n) for n, c in more.items()])
+        return decode_payloads(sent, most=most).drop("payload")
+
+    rate = F.coalesce(data("sample_rate").cast("int"), F.lit(16000))
+    image = payload("image", "jpeg", shape=F.from_json(data("shape"), "array<int>"))
+    raw = ~F.col("format").isin("jpeg", "jpg", "png") & F.col("shape").isNull()
+    return {
+        "audio": payload("audio", "wav", sample_rate=rate),
+        "image": image.withColumn("error", F.coalesce("error", F.when(raw, "no shape"))),
+        "text": of("text").select(*own, data("text").alias("text"), data("context").alias("context")),
+        "command": parse_commands(of("command"), ["session_id", "seq"]),
+        "error": of("error").select(*own, "type", "error", "value"),
+    }
+
+
 def log_message_text(value: Column) -> Column:
     """What a log shows of a message: its message, else the text of its data, else its data, else all of it."""
     text, data = F.get_json_object(value, "$.data.text"), F.get_json_object(value, "$.data")
@@ -97,17 +129,18 @@ def query_knowledge(requests: DataFrame, nodes: DataFrame) -> DataFrame:
 COMMANDS = ("init_session", "end_session", "query_knowledge", "recommend_knowledge")
 
 
-def parse_commands(commands: DataFrame) -> DataFrame:
+def parse_commands(commands: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Commands (id, data) as command, session_id, student_id, concept and error; works on streams too.
 
-    A new session is named after the message.
+    A new session is named after the message. Columns of ``keep`` stay; if session_id is one of them, that of the
+    command is asked_session_id.
     """
     command = F.coalesce(F.get_json_object("data", "$.command"), F.lit(""))
     param = lambda p: F.get_json_object("data", f"$.params.{p}")
     session = F.when(command == "init_session", F.concat(F.lit("session_"), "id")).when(command == "end_session", F.coalesce(param("session_id"), F.lit("")))
     concept = F.when(command.isin(*COMMANDS[2:]), F.coalesce(param("concept"), F.lit("")))
     return commands.select(
-        "id", command.alias("command"), session.alias("session_id"), param("student_id").cast("long").alias("student_id"), concept.alias("concept"),
+        *keep, "id", command.alias("command"), session.alias("asked_session_id" if "session_id" in keep else "session_id"), param("student_id").cast("long").alias("student_id"), concept.alias("concept"),
         F.when(~command.isin(*COMMANDS), F.concat(F.lit("unknown command: "), command)).alias("error"),
     )
 
@@ -159,6 +192,45 @@ def current_session_state(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.groupBy("session_id").agg(late("concept"), late("emotion"))
 
 
+def cached_requests(requests: DataFrame, key: list[str], server: str, order: str, entries: int = 100) -> DataFrame:
+    """Each request (server, order, key) with ``hit``: whether its server's cache has the answer.
+
+    A cache holds the answers of the last ``entries`` keys that were asked in vain; on a miss the key goes in and the oldest
+    goes out, a hit changes nothing. A server's requests are gone through in order by one task, since each depends on those
+    before it; the task holds the cache only. Null is a key, and a server, of its own.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, cache = object(), FirstIn(entries)
+        for batch in batches:
+            hits = []
+            for at, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if at != own:
+                    own, cache = at, FirstIn(entries)
+                hits.append(cache.ask(asked))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_())], [*batch.schema.names, "hit"])
+
+    named = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})
+    rows = requests.select(F.to_json(F.struct(server), {"ignoreNullFields": "false"}).alias("_server"), named.alias("_asked"), server, order, *key)
+    dealt = rows.repartition("_server").sortWithinPartitions("_server", order, "_asked")
+    return dealt.mapInArrow(run, StructType([*dealt.schema.fields, StructField("hit", BooleanType())])).drop("_server", "_asked")
+
+
+class FirstIn:
+    """The keys of a bounded cache in the order they came in."""
+
+    def __init__(self, entries: int, keys: Sequence[str] = ()):
+        self.entries, self.keys = entries, dict.fromkeys(keys)
+
+    def ask(self, key: str) -> bool:
+        """Whether the key is there; if not it goes in, and the oldest goes out of a full cache."""
+        if key in self.keys:
+            return True
+        self.keys[key] = None
+        if len(self.keys) > self.entries:
+            del self.keys[next(iter(self.keys))]
+        return False
+
+
 def dedupe_requests(requests: DataFrame, key: list[str], order: str = "seq") -> DataFrame:
     """The first request of each key, with the number of requests it answers."""
     rest = [c for c in requests.columns if c not in key]

@@ -6,7 +6,7 @@ The stateful ones need the RocksDB state store, which :func:`drained` sets for i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.emotion import EMOTIONS, smoothing_weights
-from ..storage import shared_path
+from ..operators.messages import FirstIn
+from ..storage import remove, shared_path
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -44,11 +45,106 @@ def with_open_sessions(closed: DataFrame, messages: DataFrame, ts: str = "ts", g
     return closed.unionByName(still.join(closed.select("session_id", "created_at"), ["session_id", "created_at"], "left_anti"))
 
 
+class Sessions(StatefulProcessor):
+    """Per session id: the open session, if there is one.
+
+    A message opens a session where none is open and else belongs to the open one. An ``end`` closes it at once and
+    belongs to it; where none is open it does nothing. A session without a message for ``gap`` ends by itself: at the next
+    message, or by a timer when the watermark passes, and its state is dropped. Times are microseconds.
+    """
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "created long, last long, messages long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        session = tuple(self.open.get()) if self.open.exists() else None
+        out = []
+        for at, ends in pd.concat(list(rows)).sort_values(["at", "ends"])[["at", "ends"]].itertuples(index=False):
+            if session and at - session[1] > self.gap:
+                out.append((*session, "idle"))
+                session = None
+            if session:
+                session = (session[0], max(session[1], int(at)), session[2] + 1)
+                if ends:
+                    out.append((*session, "command"))
+                    session = None
+            elif not ends:
+                session = (int(at), int(at), 1)
+        clear_timers(self.handle)
+        if session:
+            self.open.update(session)
+            self.handle.registerTimer((session[1] + self.gap) // 1000 + 1)
+        else:
+            self.open.clear()
+        yield self._table(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = [(*tuple(self.open.get()), "idle")] if self.open.exists() else []
+        self.open.clear()
+        yield self._table(key, out)
+
+    def _table(self, key, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["session_id", "created", "last", "messages", "ended_by"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_sessions(messages: DataFrame, gap: float = 1800.0, late: str = "10 minutes") -> DataFrame:
+    """Sessions that have ended, of a stream of (session_id, ts, ends): session_id, created_at, last_active, messages, ended_by.
+
+    ``ends`` marks the message that ends its session (``end_session``); ``ended_by`` is command or idle. See
+    :class:`Sessions`. Rows of a batch are taken in order of their times.
+    """
+    rows = messages.withWatermark("ts", late).select("session_id", "ts", F.unix_micros("ts").alias("at"), F.coalesce("ends", F.lit(False)).alias("ends"))
+    schema = f"session_id {messages.schema['session_id'].dataType.simpleString()}, created long, last long, messages long, ended_by string"
+    ended = rows.groupBy("session_id").transformWithStateInPandas(Sessions(round(gap * 1_000_000)), schema, "Append", "EventTime")
+    return ended.select("session_id", F.timestamp_micros("created").alias("created_at"), F.timestamp_micros("last").alias("last_active"), "messages", "ended_by")
+
+
+class Answers(StatefulProcessor):
+    """Per server: the keys of its cache, oldest first."""
+
+    def __init__(self, entries: int):
+        self.entries = entries
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState("kept", "asked string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        cache = FirstIn(self.entries, [r[0] for r in self.kept.get()] if self.kept.exists() else [])
+        asked = pd.concat(list(rows)).sort_values(["seq", "asked"])
+        hits = [cache.ask(x) for x in asked["asked"]]
+        self.kept.put([(k,) for k in cache.keys])
+        yield pd.DataFrame({"server": key[0], "seq": asked["seq"].to_numpy(), "asked": asked["asked"].to_numpy(), "hit": hits})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_cached_requests(requests: DataFrame, entries: int = 100) -> DataFrame:
+    """Each request of a stream of (server, seq, asked) with ``hit``: whether the server's cache of ``entries`` keys has it.
+
+    The cache is that of :func:`learnloom.operators.messages.cached_requests`; rows of a batch are taken in order of ``seq``.
+    """
+    schema = f"server {requests.schema['server'].dataType.simpleString()}, seq long, asked string, hit boolean"
+    return requests.select("server", "seq", "asked").groupBy("server").transformWithStateInPandas(Answers(entries), schema, "Append", "none")
+
+
 def stream_dedupe_requests(requests: DataFrame, key: list[str], ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """The first request of each key within the watermark."""
     return requests.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
+def clear_timers(handle: StatefulProcessorHandle) -> None:
+    for at in list(handle.listTimers()):
+        handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
+
+
 class FuseAndSmooth(StatefulProcessor):
     """Per session: the results of one side that wait for the other, and the last fused ones.
 
@@ -83,8 +179,7 @@ class FuseAndSmooth(StatefulProcessor):
             else:
                 waiting.append(own)
             last = now
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
+        clear_timers(self.handle)
         self.handle.registerTimer(int((last + self.wait) * 1000) + 1)
         self.waiting.put(waiting) if waiting else self.waiting.clear()
         self.past.put([(p,) for p in past[-self.history :]]) if past else self.past.clear()
@@ -165,24 +260,53 @@ def stream_message_log(log: DataFrame, n: int = 100) -> DataFrame:
     return log.groupBy("session_id").transformWithStateInPandas(Ring(n), "session_id long, seq long, message string, place long", "Append", "none")
 
 
+def command_answers(tables, limit: int = 5) -> Callable[[DataFrame], dict[str, DataFrame]]:
+    """What a :class:`learnloom.sources.tables.BatchSink` does with a stream of commands (id, data): a table ``answers``.
+
+    A batch is answered by :func:`learnloom.operators.messages.process_commands` from the tables nodes, edges and mastery as
+    they are when it starts, so what is committed to the graph while the stream runs counts from the next batch on.
+    """
+    from ..operators.messages import process_commands
+
+    def split(batch: DataFrame) -> dict[str, DataFrame]:
+        return {"answers": process_commands(batch, tables.read("nodes"), tables.read("edges"), tables.read("mastery"), limit=limit)}
+
+    return split
+
+
 @contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """The state store that stateful processors need, for queries started within."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, STATE_STORE)
+def settings(spark: SparkSession, values: dict[str, str | None]) -> Iterator[None]:
+    """Settings for queries started within; those that are None stay as they are."""
+    values = {k: v for k, v in values.items() if v is not None}
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
+def state_settings(spark: SparkSession, partitions: int | None = None):
+    """The state store that stateful processors need, and the number of their partitions.
+
+    Each partition has a store and a worker for each batch, so a stream of few rows is quicker with few. A query keeps the
+    number that it began with.
+    """
+    return settings(spark, {PROVIDER: STATE_STORE, "spark.sql.shuffle.partitions": str(partitions) if partitions else None})
 
 
-def drained(stream: DataFrame, spark: SparkSession, folder: str | None = None, state: str | None = None) -> DataFrame:
+def drained(stream: DataFrame, spark: SparkSession, folder: str | None = None, state: str | None = None, partitions: int | None = None) -> DataFrame:
     """Everything that a stream gives for the data there now, written as Parquet to ``folder`` and read back.
 
-    With ``folder`` and ``state`` of an earlier run the stream goes on from there.
+    With ``folder`` and ``state`` of an earlier run the stream goes on from there; without ``state`` what the stream kept
+    is removed at its end. ``partitions`` is that of :func:`state_settings`.
     """
     folder = folder or shared_path(spark, "stream")
-    with rocksdb(spark):
+    with state_settings(spark, partitions):
         writer = stream.writeStream.format("parquet").option("checkpointLocation", state or f"{folder}-state").outputMode("append")
         writer.trigger(availableNow=True).start(folder).awaitTermination()
+    if not state:
+        remove(spark, f"{folder}-state")
     return spark.read.schema(stream.schema).parquet(folder)
