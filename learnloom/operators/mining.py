@@ -151,7 +151,7 @@ def vocabulary_hits(pages: DataFrame, vocabulary: DataFrame, gram: int = 3) -> D
     """Terms (domain, term) that occur in a page, case ignored: book_id, page, domain, term."""
     terms = vocabulary.select("domain", F.col("term").alias("named"), F.lower("term").alias("term"))
     texts = pages.select("book_id", "page", F.lower("text").alias("text"))
-    hits = contained_terms(texts, ["book_id", "page"], terms, gram).join(terms, "term")
+    hits = contained_terms(texts, ["book_id", "page"], terms, gram).join(terms, "term")  # one row for each term at most of a text
     return hits.select("book_id", "page", "domain", F.col("named").alias("term")).distinct()
 
 

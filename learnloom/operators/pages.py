@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .joins import matched
 
 # Heading patterns.
 CHAPTER = r"(?U)第\s*(\d+)\s*章\s+([^\n]+)"
@@ -98,7 +99,7 @@ def chapter_sequence(chapters: DataFrame) -> DataFrame:
 def chapter_includes_sections(chapters: DataFrame, sections: DataFrame) -> DataFrame:
     """A known chapter includes its sections."""
     c, s = chapters.alias("c"), sections.alias("s")
-    both = c.join(s, (F.col("c.book_id") == F.col("s.book_id")) & (F.col("c.chapter") == F.col("s.chapter")))
+    both = c.join(s, F.col("c.book_id").eqNullSafe(F.col("s.book_id")) & (F.col("c.chapter") == F.col("s.chapter")))
     target = F.concat_ws(" ", "s.section", "s.title")
     return both.select("c.book_id", *_relation(_chapter_name("c."), target, "INCLUDES", 0.95))
 
@@ -121,7 +122,7 @@ def chapter_spans(pages: DataFrame, patterns: list[str] = SPAN_PATTERNS) -> Data
     counts = [F.sum(F.regexp_count("text", F.lit(p))).alias(f"n{i}") for i, p in enumerate(patterns)]
     which = reduce(lambda w, i: w.when(F.col(f"n{i}") > 0, i), range(len(patterns)), F.when(F.lit(False), -1)).otherwise(-1)
     chosen = pages.groupBy("book_id").agg(*counts).select("book_id", which.alias("pattern"))
-    marked = pages.join(chosen, "book_id")
+    marked = matched(pages, chosen, ["book_id"])
     # A page is cut before each heading by a mark that cannot stand in a text.
     cut = reduce(
         lambda w, i: w.when(F.col("pattern") == i, F.regexp_replace("text", patterns[i], "\u0000$0")),
@@ -136,7 +137,8 @@ def chapter_spans(pages: DataFrame, patterns: list[str] = SPAN_PATTERNS) -> Data
     ahead = Window.partitionBy("book_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = marked.groupBy("book_id", "range").agg(F.sum(starts).alias("before"))
     ranges = ranges.select("book_id", "range", F.coalesce(F.sum("before").over(ahead), F.lit(0)).alias("before"))
-    counted = marked.withColumn("inside", F.coalesce(F.sum(starts).over(own), F.lit(0))).join(ranges, ["book_id", "range"])
+    counted = marked.withColumn("inside", F.coalesce(F.sum(starts).over(own), F.lit(0)))
+    counted = matched(counted, ranges, ["book_id", "range"])
     parts = counted.select("book_id", "page", "pattern", (F.col("before") + F.col("inside")).alias("before"), F.posexplode("parts").alias("pos", "text"))
     numbered = parts.withColumn("span", F.col("before") + F.col("pos")).where((F.col("text") != "") & ((F.col("span") > 0) | (F.col("pattern") < 0)))
     title = reduce(
@@ -152,7 +154,7 @@ def chapter_spans(pages: DataFrame, patterns: list[str] = SPAN_PATTERNS) -> Data
 
 def failed_pages(pages: DataFrame, points: DataFrame) -> DataFrame:
     """Selected pages without an extracted point."""
-    return pages.join(points.select("book_id", "page").distinct(), ["book_id", "page"], "left_anti")
+    return matched(pages, points.select("book_id", "page").distinct(), ["book_id", "page"], "left_anti")
 
 
 def assemble_ocr_lines(boxes: DataFrame, tolerance: float = 0.02) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..storage import replaced, stored
+from .joins import matched
 
 
 def sequence_ratio(a: str, b: str) -> float:
@@ -42,11 +43,12 @@ def similar_pairs(names: DataFrame, threshold: float, late_first: bool = False)
     have and each two of its rarest characters; book, both lengths and the two characters are the key. No pair is
     lost; overlaps are checked before ratios are computed.
     """
-    rows = names.where("name <> ''").select("book_id", "name", "seq", _tokens(F.col("name")).alias("tokens")).withColumn("n", F.size("tokens"))
-    each = rows.select("book_id", "name", "seq", "n", F.explode("tokens").alias("token"))
-    counts = each.groupBy("book_id", "token").agg(F.count("*").alias("df"))
-    ordered = each.join(counts, ["book_id", "token"]).groupBy("book_id", "name", "seq", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    tokens = stored(ordered.select("book_id", "name", "seq", "n", F.transform("t", lambda x: x["token"]).alias("tokens")))
+    # A book is a struct, so that a null one is equal to itself.
+    rows = names.where("name <> ''").select(F.struct("book_id").alias("book"), "name", "seq", _tokens(F.col("name")).alias("tokens")).withColumn("n", F.size("tokens"))
+    each = rows.select("book", "name", "seq", "n", F.explode("tokens").alias("token"))
+    counts = each.groupBy("book", "token").agg(F.count("*").alias("df"))
+    ordered = each.join(counts, ["book", "token"]).groupBy("book", "name", "seq", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    tokens = stored(ordered.select("book", "name", "seq", "n", F.transform("t", lambda x: x["token"]).alias("tokens")))
     least, slack = threshold / (2 - threshold), 1e-9
     partner = F.explode(F.sequence(F.ceil(F.col("n") * least - slack).cast("int"), F.floor(F.col("n") / least + slack).cast("int")))
     common = (F.floor((F.col("n") + F.col("m")) * (threshold / 2) - slack) + 1).cast("int")
@@ -54,18 +56,18 @@ def similar_pairs(names: DataFrame, threshold: float, late_first: bool = False)
     prefix = F.array_sort(F.slice("tokens", 1, F.col("n") - F.col("o") + F.least(F.lit(2), F.col("o"))))
     two = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.concat_ws("\u0001", x, y))))
     keyed = keyed.withColumn("p", prefix).select(
-        "book_id", "name", "seq", "n", F.least("n", "m").alias("short"), F.greatest("n", "m").alias("long"), (F.col("n") + F.col("m")).alias("both"),
+        "book", "name", "seq", "n", F.least("n", "m").alias("short"), F.greatest("n", "m").alias("long"), (F.col("n") + F.col("m")).alias("both"),
         F.explode(F.when(F.col("o") == 1, F.col("p")).otherwise(two)).alias("key"),
     )
-    on = ["book_id", "short", "long", "both", "key"]
+    on = ["book", "short", "long", "both", "key"]
     side = lambda name, seq: keyed.select(*on, F.col("name").alias(name), F.col("seq").alias(seq), F.col("n").alias(f"n{name}"))
     met = side("a", "i").join(side("b", "j"), on).where((F.col("i") < F.col("j")) & (F.col("na") + F.col("nb") == F.col("both")))
-    met = stored(met.select("book_id", "a", "i", "b", "j", "both").distinct())
-    of = lambda name: tokens.select("book_id", F.col("name").alias(name), F.col("tokens").alias(f"t{name}"))
-    full = met.join(of("a"), ["book_id", "a"]).join(of("b"), ["book_id", "b"])
+    met = stored(met.select("book", "a", "i", "b", "j", "both").distinct())
+    of = lambda name: tokens.select("book", F.col("name").alias(name), F.col("tokens").alias(f"t{name}"))
+    full = met.join(of("a"), ["book", "a"]).join(of("b"), ["book", "b"])
     enough = full.where(F.size(F.array_intersect("ta", "tb")) > F.col("both") * (threshold / 2) - slack)
     value = ratio("b", "a") if late_first else ratio("a", "b")
-    return enough.select("book_id", "a", "i", "b", "j", value.alias("ratio")).where(F.col("ratio") > threshold)
+    return enough.select("book.book_id", "a", "i", "b", "j", value.alias("ratio")).where(F.col("ratio") > threshold)
 
 
 def near_duplicate_concepts(points: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -86,21 +88,23 @@ def group_similar_concepts(points: DataFrame, threshold: float = 0.85, max_round
     """
     firsts = stored(points.groupBy("book_id", "concept").agg(F.min("seq").alias("seq")))
     pairs = similar_pairs(firsts.withColumnRenamed("concept", "name"), threshold, late_first=True)
-    edges = stored(pairs.select(F.col("j").alias("late"), F.col("i").alias("early")))
-    state = stored(firsts.select("seq", F.lit(0).alias("state")))  # 0 undecided, 1 leader, 2 member
+    book = F.struct("book_id").alias("book")  # books number their points alike, and a null one is equal to itself
+    edges = stored(pairs.select(book, F.col("j").alias("late"), F.col("i").alias("early")))
+    state = stored(firsts.select(book, "seq", F.lit(0).alias("state")))  # 0 undecided, 1 leader, 2 member
     for _ in range(max_rounds):
-        met = edges.join(state.select(F.col("seq").alias("early"), F.col("state").alias("s")), "early").groupBy(F.col("late").alias("seq"))
+        met = edges.join(state.select("book", F.col("seq").alias("early"), F.col("state").alias("s")), ["book", "early"]).groupBy("book", F.col("late").alias("seq"))
         met = met.agg(F.max((F.col("s") == 1).cast("int")).alias("led"), F.max((F.col("s") == 0).cast("int")).alias("open"))
         now = F.when(F.col("state") != 0, F.col("state")).when(F.coalesce("led", F.lit(0)) == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
-        state = replaced(state, stored(state.join(met, "seq", "left").select("seq", now.alias("state"))))
+        state = replaced(state, stored(state.join(met, ["book", "seq"], "left").select("book", "seq", now.alias("state"))))
         if state.where("state = 0").isEmpty():
             break
     else:
         raise RuntimeError(f"grouping did not settle in {max_rounds} rounds")
-    leaders = edges.join(state.where("state = 1").select(F.col("seq").alias("early")), "early").groupBy(F.col("late").alias("seq")).agg(F.min("early").alias("first"))
-    led = state.join(leaders, "seq", "left").select("seq", F.when(F.col("state") == 1, F.col("seq")).otherwise(F.col("first")).alias("leader"))
-    named = firsts.join(led, "seq").select("book_id", "concept", "leader")
-    return points.join(named, ["book_id", "concept"])
+    led_by = edges.join(state.where("state = 1").select("book", F.col("seq").alias("early")), ["book", "early"])
+    leaders = led_by.groupBy("book", F.col("late").alias("seq")).agg(F.min("early").alias("first"))
+    led = state.join(leaders, ["book", "seq"], "left").select("book.book_id", "seq", F.when(F.col("state") == 1, F.col("seq")).otherwise(F.col("first")).alias("leader"))
+    named = matched(firsts, led, ["book_id", "seq"]).select("book_id", "concept", "leader")
+    return matched(points, named, ["book_id", "concept"])
 
 
 def brute_force_groups(rows: Iterator[tuple[int, str]], threshold: float = 0.85) -> dict[int, int]:

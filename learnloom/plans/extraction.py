@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_definition, fix_concept
 from ..operators import mining, pages as pg
+from ..operators.containment import occurrences
+from ..operators.joins import matched
 from ..operators.relations import top_concepts_by_importance, validate_relation_endpoints
 
 POINT_JSON = "array<struct<concept:string,definition:string,importance:string,difficulty:string>>"
 RELATION_JSON = "array<struct<source:string,target:string,relation:string,strength:double>>"
 
 
+#: Characters of a page for one request, and for one on vocabulary terms.
+DIRECT, SHARED = 1500, 3000
+
+
 def _unfenced(response: Column) -> Column:
     return F.trim(F.regexp_replace(response, r"```(json)?", ""))
 
@@ -88,26 +94,26 @@ def extraction_requests(pages: DataFrame, points: DataFrame, vocabulary: DataFra
     """What to ask a model: book_id, page, strategy, part, prompt.
 
     One request per 1500 characters of a page (part is the chunk's number), one per ``batch`` vocabulary terms that begin
-    in each 3000 characters of a page (whose text runs on as far as the longest term), one per leading paragraph, and one
-    on relations between the 25 most important concepts of a book (page is null).
+    in each 3000 characters of a page (whose text runs on as far as the longest term; places are those of the text in lower
+    case), one per leading paragraph, and one on relations between the 25 most important concepts of a book (page is null).
+    The vocabulary is sent to the pages.
     """
     ask = lambda head, body: F.concat_ws("\n", F.lit(head), body)
-
-    def chunks(size: int, more: int = 0) -> DataFrame:
-        last = F.greatest(F.ceil(F.coalesce(F.length("text"), F.lit(0)) / size).cast("int"), F.lit(1)) - 1
-        rows = pages.select("book_id", "page", "text", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
-        return rows.withColumn("text", F.col("text").substr(F.col("chunk") * size + 1, F.lit(size + more)))
-
-    direct = chunks(1500).select("book_id", "page", F.lit("direct").alias("strategy"), F.col("chunk").alias("part"), ask("List concepts and definitions as JSON.", F.col("text")).alias("prompt"))
-    longest = vocabulary.agg(F.max(F.length("term"))).first()[0] or 1
-    parts = chunks(3000, longest - 1).withColumn("at", F.struct("page", "chunk")).drop("page", "chunk")
-    found = mining.vocabulary_hits(parts.withColumnRenamed("at", "page"), vocabulary).select("book_id", F.col("page").alias("at"), "term").distinct()
-    begins = F.expr("instr(lower(text), lower(term))") <= 3000
-    rank = F.row_number().over(Window.partitionBy("book_id", "at").orderBy("term"))
-    hits = found.join(parts, ["book_id", "at"]).where(begins).select("book_id", "at", "term", F.floor((rank - 1) / batch).cast("int").alias("n"))
-    terms = hits.groupBy("book_id", "at", "n").agg(F.array_join(F.array_sort(F.collect_list("term")), ", ").alias("terms"))
-    part = (F.row_number().over(Window.partitionBy("book_id", "at.page").orderBy("at.chunk", "n")) - 1).alias("part")
-    asked = terms.withColumn("part", part).join(parts, ["book_id", "at"]).select("book_id", F.col("at.page").alias("page"), F.lit("vocabulary").alias("strategy"), "part", F.concat_ws("\n", F.concat(F.lit("Define as JSON: "), "terms"), "text").alias("prompt"))
+    size = F.coalesce(F.length("text"), F.lit(0))
+    last = F.greatest(F.ceil(size / DIRECT).cast("int"), F.lit(1)) - 1
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.substr("text", k * DIRECT + 1, F.lit(DIRECT)))
+    direct = pages.select("book_id", "page", F.posexplode(chunks).alias("part", "chunk"))
+    direct = direct.select("book_id", "page", F.lit("direct").alias("strategy"), "part", ask("List concepts and definitions as JSON.", F.col("chunk")).alias("prompt"))
+    # Each text is read once for the chunks in which terms begin; chunks are then cut out of the texts by arithmetic.
+    terms = vocabulary.select(F.lower("term").alias("term"), F.col("term").alias("named"))
+    longest = terms.agg(F.max(F.length("term"))).first()[0] or 1
+    found = occurrences(pages.select("book_id", "page", F.lower("text").alias("text")), ["book_id", "page"], terms, size=SHARED)
+    found = found.join(terms, "term").repartition("book_id", "page")
+    named = found.groupBy("book_id", "page", "slot").agg(F.sort_array(F.collect_set("named")).alias("t"))
+    batches = F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / batch).cast("int")), lambda n: F.struct("slot", n.alias("n"), F.array_join(F.slice("t", n * batch + 1, batch), ", ").alias("terms")))
+    asked = named.select("book_id", "page", F.inline(batches)).groupBy("book_id", "page").agg(F.sort_array(F.collect_list(F.struct("slot", "n", "terms"))).alias("asked"))
+    body = F.transform("asked", lambda a: F.concat_ws("\n", F.concat(F.lit("Define as JSON: "), a["terms"]), F.substr("text", a["slot"] * SHARED + 1, F.lit(SHARED + longest - 1))))
+    asked = matched(pages.select("book_id", "page", "text"), asked, ["book_id", "page"]).select("book_id", "page", F.lit("vocabulary").alias("strategy"), F.posexplode(body).alias("part", "prompt"))
     paragraphs = pg.leading_paragraphs(pages, separator="\n").select("book_id", "page", F.lit("paragraph").alias("strategy"), F.col("pos").alias("part"), ask("List concepts and definitions as JSON.", F.col("paragraph")).alias("prompt"))
     top = top_concepts_by_importance(points).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("place", "concept"))).alias("c"))
     related = top.select("book_id", F.lit(None).cast("long").alias("page"), F.lit("relations").alias("strategy"), F.lit(0).alias("part"), ask("Relate these concepts as JSON.", F.array_join(F.transform("c", lambda x: x["concept"]), ", ")).alias("prompt"))
@@ -142,5 +148,5 @@ def strategy_cascade(
 def _left(rows: DataFrame, key: list[str], *found: DataFrame) -> DataFrame:
     """The rows of pages that have none of the points found."""
     for f in found:
-        rows = rows.join(f.select(*key).distinct(), key, "left_anti")
+        rows = matched(rows, f.select(*key).distinct(), key, "left_anti")
     return rows

@@ -12,12 +12,12 @@ from learnloom.plans import extraction
 @pytest.mark.parametrize("gram", [1, 3, 6])
 def test_contained_terms_match_brute_force(spark, monkeypatch, most, gram):
     monkeypatch.setattr(containment, "BROADCAST_TERMS", most)
-    monkeypatch.setattr(containment, "LITERAL_TERMS", most if gram == 3 else 0)
+    monkeypatch.setattr(containment, "KEPT_TERMS", 10 if gram == 3 else 1000)
     monkeypatch.setattr(containment, "PIECE", 8)
     rng = random.Random(gram)
     word = lambda n: "".join(rng.choice("abcé指") for _ in range(n))
-    texts = [(b, i, word(rng.randrange(0, 40))) for b in "xy" for i in range(30)] + [("x", 99, None), ("x", 98, "")]
-    terms = sorted({(rng.choice("xy"), word(rng.randrange(0, 9))) for _ in range(60)})
+    texts = [(b, i, word(rng.randrange(0, 40))) for b in ("x", "y", None) for i in range(30)] + [("x", 99, None), ("x", 98, "")]
+    terms = sorted({(rng.choice(["x", "y", None]), word(rng.randrange(0, 9))) for _ in range(60)}, key=str)
     rows, names = spark.createDataFrame(texts, "book string, page long, text string"), spark.createDataFrame(terms, "book string, term string")
     got = {tuple(r) for r in containment.contained_terms(rows, ["book", "page"], names, gram, ["book"]).collect()}
     assert got == {(b, i, t) for b, i, x in texts for c, t in terms if b == c and t and x and t in x} and got
@@ -56,15 +56,55 @@ def test_similar_names_match_brute_force(spark, threshold):
 def test_pairs_and_groups_of_points_match_the_sequential_definition(spark):
     rng = random.Random(2)
     pool = names(rng)
-    points = [("b", i, rng.choice(pool)) for i in range(90)] + [("c", 100 + i, n) for i, n in enumerate(pool[:40])]
+    # Books number their points alike, and one has no name.
+    points = [("b", i, rng.choice(pool)) for i in range(90)] + [("c", i, n) for i, n in enumerate(pool[:40])] + [(None, i, n) for i, n in enumerate(pool[20:60])]
     df = spark.createDataFrame(points, "book_id string, seq long, concept string")
-    got = {r["seq"]: r["leader"] for r in similarity.group_similar_concepts(df).collect()}
-    for book in "bc":
+    rows = similarity.group_similar_concepts(df).collect()
+    assert len(rows) == len(points)
+    for book in ("b", "c", None):
+        got = {r["seq"]: r["leader"] for r in rows if r["book_id"] == book}
         firsts, own = {}, [(s, n) for b, s, n in points if b == book]
         for s, n in own:
             firsts.setdefault(n, s)
         leader = similarity.brute_force_groups((s, n) for n, s in firsts.items())
-        assert {s: got[s] for s, _ in own} == {s: leader[firsts[n]] for s, n in own}
+        assert got == {s: leader[firsts[n]] for s, n in own}
+
+
+def test_groups_of_one_book_do_not_reach_another(spark):
+    points = spark.createDataFrame([("a", 0, "gamma"), ("a", 1, "gammas"), ("b", 0, "delta"), ("b", 1, "omega")], "book_id string, seq long, concept string")
+    got = similarity.group_similar_concepts(points, 0.8).collect()
+    assert sorted((r["book_id"], r["seq"], r["leader"]) for r in got) == [("a", 0, 0), ("a", 1, 0), ("b", 0, 0), ("b", 1, 1)]
+
+
+def test_a_null_book_is_a_book_of_its_own(spark):
+    from learnloom.operators import mining, pages as pg, relations as rel
+
+    schema = "book_id string, seq long, page long, concept string, definition string, importance int, difficulty int"
+    rows = [(1, 0, "stack", "a pile", 5), (2, 1, "stacks", "more than one stack", 3), (3, 2, "heap tree", "no pile of a stack", 3), (4, 3, "heap", "x", 3)]
+    books = ("x", None)
+    points = spark.createDataFrame([(b, s, p, c, d, i, 3) for b in books for s, p, c, d, i in rows], schema)
+    pages = spark.createDataFrame([(b, p, f"1 One\nof stack {p}") for b in books for p in range(5)], "book_id string, page long, text string")
+
+    def by_book(df):
+        found = {b: sorted(tuple(v for k, v in r.asDict().items() if k != "book_id") for r in df.collect() if r["book_id"] == b) for b in books}
+        assert found["x"] == found[None] and found["x"]
+        return found["x"]
+
+    assert by_book(rel.definition_references(points)) == [("heap tree", "stack", "REFERS_TO", 0.7), ("stacks", "stack", "REFERS_TO", 0.7)]
+    assert by_book(rel.name_inclusions(points)) == [("heap tree", "heap", "INCLUDES", 0.8), ("stacks", "stack", "INCLUDES", 0.8)]
+    assert len(by_book(rel.page_prerequisites(points))) == 3
+    assert by_book(rel.curated_relations(points, [("stack", "heap", "IS_A")], ["stack", "heap"])) == [(a, b, "IS_A", 0.75) for a in ("stack", "stacks") for b in ("heap", "heap tree")]
+    assert by_book(similarity.near_duplicate_concepts(points))[0][:2] == (1, 2)
+    assert by_book(pg.failed_pages(pages.select("book_id", "page"), points)) == [(4,)]
+    assert len(by_book(pg.chapter_spans(pages, [r"(\d) ([^\n ]+)"]))) == 5
+    assert len(by_book(mining.vocabulary_hits(pages, spark.createDataFrame([("d", "STACK")], "domain string, term string")))) == 5
+    chapters, sections = pg.book_chapters(pages, r"(\d) ([^\n]+)"), pg.book_sections(pages, r"(\d)() ([^\n]+)")
+    assert len(by_book(pg.chapter_includes_sections(chapters, sections))) == 1
+    none = points.where("false")
+    left = extraction.strategy_cascade(pages.where("page > 2"), points.where("page = 3"), none, none, none, none)
+    assert {p for p, *_ in by_book(left.select("book_id", "page"))} == {3}
+    asked = by_book(extraction.extraction_requests(pages, points, spark.createDataFrame([("d", "stack")], "domain string, term string")).where("page is not null"))
+    assert sum(s == "vocabulary" for _, s, *_ in asked) == 5
 
 
 def test_cascade_goes_on_where_nothing_is_found(spark):
