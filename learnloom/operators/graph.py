@@ -76,53 +76,75 @@ def merge_nodes_insert_only(nodes: DataFrame, incoming: DataFrame, subject: str
     The first row of a name by ``seq`` counts; rows of another type or without a name are left out. Defaults: difficulty
     3, importance 4.
     """
+    rows = imported_concepts(incoming, subject)
+    new = rows.join(nodes.where("label = 'Concept'").select("name"), "name", "left_anti").select(*rows.columns)
+    return nodes.select(*rows.columns).unionByName(new)
+
+
+def imported_concepts(incoming: DataFrame, subject: str = "imported") -> DataFrame:
+    """The nodes that :func:`merge_nodes_insert_only` would add to an empty graph: each name once."""
     rows = drop_invalid_nodes(incoming).where("type = 'Concept'")
     first = F.min_by(F.struct("definition", "difficulty", "importance"), "seq")
-    new = rows.groupBy("name").agg(first.alias("f")).join(nodes.where("label = 'Concept'").select("name"), "name", "left_anti")
-    shaped = new.select(
+    return rows.groupBy("name").agg(first.alias("f")).select(
         F.lit("Concept").alias("label"), "name", F.lit(subject).alias("subject"),
         F.coalesce("f.difficulty", F.lit(3)).alias("difficulty"), F.coalesce("f.importance", F.lit(4)).alias("importance"),
         F.coalesce("f.definition", F.lit("")).alias("description"),
     )
-    return nodes.select(*shaped.columns).unionByName(shaped)
 
 
 def merge_nodes_typed(nodes: DataFrame, incoming: DataFrame) -> DataFrame:
     """As above with the key (type, name); the id stands in for a missing name, and both defaults are 3."""
+    rows = imported_nodes(incoming)
+    return nodes.select(*rows.columns).unionByName(rows.join(nodes.select("label", "name"), ["label", "name"], "left_anti").select(*rows.columns))
+
+
+def imported_nodes(incoming: DataFrame) -> DataFrame:
+    """The nodes that :func:`merge_nodes_typed` would add to an empty graph: each (label, name) once."""
     named = incoming.withColumn("name", F.coalesce("name", "id")).where("name is not null")
     rows = named.withColumn("label", F.coalesce("type", F.lit("Concept")))
     first = F.min_by(F.struct("definition", "difficulty", "importance"), "seq")
-    new = rows.groupBy("label", "name").agg(first.alias("f")).join(nodes.select("label", "name"), ["label", "name"], "left_anti")
-    shaped = new.select(
+    return rows.groupBy("label", "name").agg(first.alias("f")).select(
         "label", "name", F.lit("").alias("subject"), F.coalesce("f.difficulty", F.lit(3)).alias("difficulty"),
         F.coalesce("f.importance", F.lit(3)).alias("importance"), F.coalesce("f.definition", F.lit("")).alias("description"),
     )
-    return nodes.select(*shaped.columns).unionByName(shaped)
 
 
 def merge_edges_concepts(edges: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Edges (src, dst, type, strength) and the links between concepts that are absent; the first by ``seq`` sets the strength."""
+    new = imported_edges(links, nodes)
+    old = edges.select("src", "dst", "type", "strength")
+    return old.unionByName(new.join(old, ["src", "dst", "type"], "left_anti"))
+
+
+def imported_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges that :func:`merge_edges_concepts` would add to a graph without any: each (src, dst, type) once."""
     names = nodes.where("label = 'Concept'").select("name").distinct()
     rows = drop_invalid_links(links)
     for end in ("source", "target"):
         rows = rows.join(names.withColumnRenamed("name", end), end, "left_semi")
     first = rows.groupBy(F.col("source").alias("src"), F.col("target").alias("dst"), F.col("relation").alias("type"))
-    new = first.agg(F.coalesce(F.min_by("strength", "seq"), F.lit(0.5)).alias("strength"))
-    old = edges.select("src", "dst", "type", "strength")
-    return old.unionByName(new.join(old, ["src", "dst", "type"], "left_anti"))
+    return first.agg(F.coalesce(F.min_by("strength", "seq"), F.lit(0.5)).alias("strength"))
 
 
 def merge_edges_any_label(edges: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """As above, with ends matched by name across all labels: one link can make several edges. Type default RELATED_TO."""
+    new = imported_labelled_edges(links, nodes)
+    old = edges.select(*new.columns)
+    return old.unionByName(new.join(old, LABELLED_EDGE, "left_anti"))
+
+
+LABELLED_EDGE = ["src_label", "src", "dst_label", "dst", "type"]
+
+
+def imported_labelled_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges that :func:`merge_edges_any_label` would add to a graph without any, each once."""
     names = nodes.select("label", "name").distinct()
     rows = links.where("source is not null and target is not null").withColumn("type", F.coalesce("relation", F.lit("RELATED_TO")))
     both = rows.join(names.select(F.col("label").alias("src_label"), F.col("name").alias("source")), "source").join(
         names.select(F.col("label").alias("dst_label"), F.col("name").alias("target")), "target"
     )
-    key = ["src_label", "src", "dst_label", "dst", "type"]
-    new = both.withColumnsRenamed({"source": "src", "target": "dst"}).groupBy(*key).agg(F.coalesce(F.min_by("strength", "seq"), F.lit(0.5)).alias("strength"))
-    old = edges.select(*key, "strength")
-    return old.unionByName(new.join(old, key, "left_anti"))
+    named = both.withColumnsRenamed({"source": "src", "target": "dst"}).groupBy(*LABELLED_EDGE)
+    return named.agg(F.coalesce(F.min_by("strength", "seq"), F.lit(0.5)).alias("strength"))
 
 
 def import_counts(nodes: DataFrame, links: DataFrame, merged_nodes: DataFrame, merged_edges: DataFrame, old_nodes: DataFrame, old_edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("corpus", "relations", "graph", "recommend", "emotions", "messages", "streams", "plans")
+MODULES = ("corpus", "relations", "graph", "recommend", "emotions", "messages", "streams", "plans", "files")
 for _name in MODULES:
     import_module(f"{__name__}.{_name}")
 
