@@ -118,6 +118,38 @@ def signal_energy_zcr(samples: DataFrame, key: list[str], order: list[str], wind
     return framed.groupBy(*key, "start").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("energy"), F.avg("crossed").alias("zcr"), F.count("*").alias("samples"))
 
 
+def frame_energy_zcr(samples: DataFrame, key: list[str], frame: int = 2048, hop: int = 512) -> DataFrame:
+    """Mean energy and zero-crossing rate of a signal over overlapping frames: key, energy, zcr, frames.
+
+    ``samples`` has the key, position (from 0, one sample each) and value. A frame has ``frame`` samples and begins at a
+    multiple of ``hop``, which divides it; its energy is the root of the mean square, its rate the share of samples whose
+    sign differs from that of the sample before it in the frame (0 counts as positive). Samples are summed once, in panes
+    of ``hop``, and frames are sums of panes, so the work does not grow with the overlap and no task sorts a whole signal.
+    A frame that lacks a sample, or has a null one, does not count; a signal without a frame has no row.
+    """
+    if frame % hop:
+        raise ValueError("hop must divide frame")
+    panes = frame // hop
+    own = [*key, "pane"]
+    placed = samples.where("value is not null").withColumn("pane", F.floor(F.col("position") / hop))
+    inside = Window.partitionBy(*own).orderBy("position")
+    turned = (F.lag("value").over(inside) >= 0) != (F.col("value") >= 0)
+    ends = [F.min_by("value", "position").alias("first"), F.max_by("value", "position").alias("last")]
+    sums = [F.sum(F.col("value") * F.col("value")).alias("square"), F.sum(F.coalesce(F.col("turned").cast("int"), F.lit(0))).alias("turns"), F.count("*").alias("size")]
+    pane = placed.withColumn("turned", turned).groupBy(*own).agg(*ends, *sums)
+    ordered = Window.partitionBy(*key).orderBy("pane")
+    # Where the sign changes between two panes counts in every frame that has both.
+    pane = pane.withColumn("edge", F.coalesce(((F.lag("last").over(ordered) >= 0) != (F.col("first") >= 0)).cast("int"), F.lit(0)))
+    ahead = ordered.rowsBetween(0, panes - 1)
+    total = lambda c: F.sum(c).over(ahead)
+    framed = pane.select(
+        *key, (total("square") / frame).alias("power"), ((total("turns") + total("edge") - F.col("edge")) / frame).alias("rate"),
+        total("size").alias("samples"), (F.max("pane").over(ahead) - F.col("pane")).alias("span"),
+    )
+    whole = framed.where((F.col("samples") == frame) & (F.col("span") == panes - 1))
+    return whole.groupBy(*key).agg(F.avg(F.sqrt("power")).alias("energy"), F.avg("rate").alias("zcr"), F.count("*").alias("frames"))
+
+
 def mean_pool_embeddings(tokens: DataFrame, key: str, vector: str) -> DataFrame:
     """Mean of the vectors of each key by position; null vectors are masked. Partial sums by position keep tasks small."""
     parts = tokens.where(F.col(vector).isNotNull()).select(key, F.posexplode(vector).alias("pos", "x"))

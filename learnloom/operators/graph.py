@@ -183,21 +183,73 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int, wanted: DataF
     return seen
 
 
+def _level(frontier: DataFrame, seen: DataFrame, step: DataFrame, root: str, here: str, there: str, depth: int) -> DataFrame:
+    """The names first met at ``depth`` from each root, along the steps from ``here`` to ``there``; stored."""
+    met = frontier.select(root, F.col("name").alias(here)).join(step, here).select(root, F.col(there).alias("name")).distinct()
+    return stored(met.join(seen, [root, "name"], "left_anti").withColumn("depth", F.lit(depth)))
+
+
+def meeting_levels(step: DataFrame, pairs: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Breadth-first from both ends of each pair (start, target) until its sides meet, always on the side with fewer names.
+
+    Returns the pairs that meet (start, target, f, b: the levels at which they do, whose sum is the distance), the names
+    met from starts (start, name, depth) and those met from targets (target, name, depth). Starts and targets that only
+    pairs that have met ask for are not followed on. With branching k a side meets some k**(distance / 2) names.
+    """
+    sides = {"start": ("src", "dst"), "target": ("dst", "src")}
+    first = lambda root: stored(pairs.select(root).distinct().select(root, F.col(root).alias("name"), F.lit(0).alias("depth")))
+    frontier = {root: first(root) for root in sides}
+    seen, size, depth = dict(frontier), {root: f.count() for root, f in frontier.items()}, dict.fromkeys(sides, 0)
+    left, met = pairs, None
+    for _ in range(max_depth):
+        root = min(sides, key=lambda r: size[r])
+        asked = frontier[root].join(left.select(root).distinct(), root, "left_semi")
+        depth[root] += 1
+        frontier[root] = _level(asked, seen[root], step, root, *sides[root], depth[root])
+        size[root] = frontier[root].count()
+        seen[root] = seen[root].unionByName(frontier[root])
+        both = left.join(frontier["start"].select("start", "name"), "start").join(frontier["target"].select("target", "name"), ["target", "name"], "left_semi")
+        found = both.select("start", "target", F.lit(True).alias("met")).distinct()
+        marked = stored(left.join(found, ["start", "target"], "left"))
+        now = marked.where("met").select("start", "target", F.lit(depth["start"]).alias("f"), F.lit(depth["target"]).alias("b"))
+        met = now if met is None else met.unionByName(now)
+        left = marked.where("met is null").select("start", "target")
+        if left.isEmpty() or not size[root]:
+            break
+    return met, seen["start"], seen["target"]
+
+
 def shortest_learning_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 5) -> DataFrame:
     """Edges of a shortest path for each pair (start, target): start, target, step (from 1), src, dst, type, strength.
 
     Of several paths that with the smallest parent at each level, from the target back; of several edges of a step the
     first type by name. A pair of equal ends, or without a path of at most ``max_depth`` edges, has no rows. All pairs
-    are walked together.
+    are walked together, from both ends (:func:`meeting_levels`).
     """
-    pairs = pairs.select("start", "target").distinct().where("start <> target")
-    levels = reachable(edges, pairs, max_depth, pairs.select("start", F.col("target").alias("name")))
-    at = pairs.join(levels.withColumnRenamed("name", "target"), ["start", "target"]).select("start", "target", F.col("target").alias("name"), "depth", "parent")
-    steps = []
+    pair = ["start", "target"]
+    pairs = stored(pairs.select(*pair).where("start <> target").distinct())
+    step = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    met, ahead, back = meeting_levels(step, pairs, max_depth)
+    # The names on shortest paths behind the meeting level, where only distances to the target are known.
+    on = stored(met.join(ahead.where("depth > 0 or name = start").withColumnRenamed("depth", "f"), ["start", "f"]).join(back.withColumnRenamed("depth", "b"), ["target", "name", "b"]).select(*pair, "b", "name", F.col("f").alias("k")))
+    middle = last = on
+    for _ in range(max_depth):
+        further = last.where("b > 0").withColumnRenamed("name", "src").join(step, "src").select(*pair, (F.col("b") - 1).alias("b"), F.col("dst").alias("name"), (F.col("k") + 1).alias("k"))
+        last = stored(further.distinct().join(back.withColumnRenamed("depth", "b"), ["target", "name", "b"], "left_semi"))
+        if last.isEmpty():
+            break
+        middle = middle.unionByName(last)
+    # From the target back: the smallest parent, among those names while they reach, then among the names met from the start.
+    middle = middle.select(*pair, F.col("name").alias("src"), F.col("k").alias("before"))
+    early = ahead.select("start", F.col("name").alias("src"), F.col("depth").alias("before"))
+    at, steps = met.select(*pair, "f", (F.col("f") + F.col("b")).alias("step"), F.col("target").alias("dst")), []
     for _ in range(max_depth):
-        at = stored(at)
-        steps.append(at.select("start", "target", F.col("depth").alias("step"), F.col("parent").alias("src"), F.col("name").alias("dst")))
-        at = at.where("depth > 1").select("start", "target", F.col("parent").alias("name")).join(levels, ["start", "name"]).select("start", "target", "name", "depth", "parent")
+        rows = at.join(step, "dst").withColumn("before", F.col("step") - 1)
+        behind = rows.where("before >= f").join(middle, [*pair, "src", "before"], "left_semi")
+        front = rows.where("before < f").join(early, ["start", "src", "before"], "left_semi")
+        now = stored(behind.unionByName(front).groupBy(*pair, "f", "step", "dst").agg(F.min("src").alias("src")))
+        steps.append(now.select(*pair, "step", "src", "dst"))
+        at = now.where("step > 1").select(*pair, "f", (F.col("step") - 1).alias("step"), F.col("src").alias("dst"))
     every = steps[0]
     for s in steps[1:]:
         every = every.unionByName(s)

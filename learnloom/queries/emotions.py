@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import emotion as em
 from ..operators import emotions as ops
@@ -155,6 +155,18 @@ def signal_energy_zcr(spark, sf_dir):
     return rows.select("device_id", F.col("start").cast("timestamp_ntz").alias("start"), F.round("energy", 6).alias("energy"), F.round("zcr", 6).alias("zcr"), "samples")
 
 
+@query("""WITH s AS (SELECT user_id % 4 AS device_id, value - 50 AS value, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) - 1 AS n FROM events),
+ f AS (SELECT device_id, n AS begins FROM s WHERE n % 64 = 0),
+ x AS (SELECT s.device_id, begins, n, value, lag(value) OVER (PARTITION BY s.device_id, begins ORDER BY n) AS before FROM f JOIN s ON s.device_id = f.device_id AND n >= begins AND n < begins + 256),
+ g AS (SELECT device_id, begins, sqrt(sum(value * value) / 256) AS energy, sum(CASE WHEN (before >= 0) <> (value >= 0) THEN 1 ELSE 0 END) / 256 AS zcr FROM x GROUP BY ALL HAVING count(*) = 256)
+SELECT device_id, round(avg(energy), 6) AS energy, round(avg(zcr), 6) AS zcr, count(*) AS frames FROM g GROUP BY device_id""")
+def frame_energy_zcr(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("device_id").orderBy(*ORDER)) - 1
+    samples = b.metrics(spark, sf_dir).select("device_id", place.alias("position"), (F.col("value") - 50).alias("value"))
+    rows = ops.frame_energy_zcr(samples, ["device_id"], 256, 64)
+    return rows.select("device_id", F.round("energy", 6).alias("energy"), F.round("zcr", 6).alias("zcr"), "frames")
+
+
 @query("""WITH t AS (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS pos FROM embeddings), m AS (SELECT label, pos, round(avg(CAST(x AS DOUBLE)), 6) + 0 AS x FROM t GROUP BY ALL)
 SELECT label, list(x ORDER BY pos) AS pooled FROM m GROUP BY label""")
 def mean_pool_embeddings(spark, sf_dir):

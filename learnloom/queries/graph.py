@@ -164,5 +164,6 @@ def learn_q_values(spark, sf_dir):
 
 @query()
 def greedy_rollout(spark, sf_dir):
-    goals = _goals(spark, sf_dir)
-    return planning.greedy_rollout(goals, planning.state_values(goals, *_graph(spark, sf_dir)))
+    """Paths of up to ten best moves, with what is known of each concept."""
+    rows = planning.planned_paths(_goals(spark, sf_dir), *_graph(spark, sf_dir)).drop("student_id")
+    return rows.withColumn("mastery", F.round("mastery", 6))

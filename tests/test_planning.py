@@ -11,7 +11,7 @@ def cyclic(spark):
     names = "abcdefg"
     pairs = [(names[i], names[(i + 1) % 7]) for i in range(7)] + [("b", "a"), ("d", "b"), ("f", "c")]
     edges = spark.createDataFrame(pairs, "src string, dst string")
-    nodes = spark.createDataFrame([("Concept", n, 1 + i % 5, 1 + (2 * i) % 5) for i, n in enumerate(names[:-1])], "label string, name string, difficulty int, importance int")
+    nodes = spark.createDataFrame([("Concept", n, 1 + i % 5, 1 + (2 * i) % 5) for i, n in enumerate(names[:-1])], "label string, name string, difficulty int, importance int").withColumn("description", F.lit("d"))
     goals = spark.createDataFrame([(1, 1, "a", "e"), (2, 2, "a", "zz"), (3, 1, "nowhere", "a")], "goal_id long, student_id long, start string, target string")
     mastery = spark.createDataFrame([(1, "a", 0.9), (1, "c", 0.4)], "student_id long, concept string, mastery double")
     return pairs, goals, edges, nodes, mastery
@@ -68,5 +68,29 @@ def test_registered_queries_use_the_whole_depth(monkeypatch, spark, cyclic):
     got = {(r["goal_id"], r["dst"]): r["q"] for r in graph.learn_q_values(spark, "").collect()}
     want = plain_values(pairs, {"a": 0.9, "c": 0.4}, {r["name"]: r for r in tables[1].collect()}, "abcd")
     assert set(got) == {(1, "b"), (2, "b")} and abs(got[1, "b"] - want["a", "b"]) < 1e-3
-    steps = graph.greedy_rollout(spark, "").groupBy("goal_id").agg(F.max("step").alias("most")).collect()
-    assert {r["goal_id"]: r["most"] for r in steps} == {1: 9, 2: 9, 3: 0} or {r["goal_id"]: r["most"] for r in steps}[1] <= 4
+    paths = {}
+    for r in sorted(graph.greedy_rollout(spark, "").collect(), key=lambda r: (r["goal_id"], r["step"])):
+        paths.setdefault(r["goal_id"], []).append(r)
+    of = {r["name"]: r for r in tables[1].collect()}
+    for goal, known, target, states in ((1, {"a": 0.9, "c": 0.4}, "e", "abcd"), (2, {}, "zz", "abcdefg")):
+        values, path = plain_values(pairs, known, of, states), ["a"]
+        while path[-1] != target and len(path) < 11:
+            path.append(max((q, -ord(d)) for (s, d), q in values.items() if s == path[-1])[1])
+            path[-1] = chr(-path[-1])
+        assert [r["name"] for r in paths[goal]] == (path if path[-1] == target else path[:10])
+        for r in paths[goal]:
+            n = of.get(r["name"])
+            assert (r["difficulty"], r["importance"], r["mastery"]) == ((n["difficulty"], n["importance"], known.get(r["name"], 0.0)) if n else (None,) * 3)
+    assert [r["name"] for r in paths[3]] == ["nowhere"]
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_equal_moves_go_to_the_first_name(spark, most):
+    """Two ways of the same worth, whose sums are rounded in different orders."""
+    edges = spark.createDataFrame([("s", "b"), ("s", "a"), ("a", "x"), ("b", "y"), ("x", "s"), ("y", "s")], "src string, dst string")
+    nodes = spark.createDataFrame([("Concept", n, 3, 3, "text") for n in "sabxy"], "label string, name string, difficulty int, importance int, description string")
+    goals = spark.createDataFrame([(1, 1, "s", "none")], "goal_id long, student_id long, start string, target string")
+    mastery = spark.createDataFrame([(1, "a", 0.1), (1, "b", 0.1)], "student_id long, concept string, mastery double")
+    got = planning.planned_paths(goals, edges, nodes, mastery, 0.5, 4, graph_edges=most).orderBy("step").collect()
+    assert [r["name"] for r in got] == ["s", "a", "x", "s"]
+    assert [(r["mastery"], r["description"]) for r in got] == [(0.0, "text"), (0.1, "text"), (0.0, "text"), (0.0, "text")]
