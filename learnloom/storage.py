@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths that each open scope wrote, innermost last.
-_scopes: list[list[str]] = []
+#: Paths that each open scope of a thread wrote, innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_path(spark: SparkSession, kind: str = "learnloom") -> str:
@@ -35,8 +36,8 @@ def stored(df: DataFrame, scoped: bool = True) -> DataFrame:
     """
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    if scoped and _scopes:
-        _scopes[-1].append(path)
+    if scoped and _scopes.get():
+        _scopes.get()[-1].append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
@@ -58,11 +59,13 @@ def replaced(old: DataFrame | None, new: DataFrame) -> DataFrame:
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Removes at its end what :func:`stored` wrote within it. What is lazy must have been written or collected by then."""
-    _scopes.append([])
+    paths: list[str] = []
+    before = _scopes.set((*_scopes.get(), paths))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(before)
+        for path in paths:
             remove(spark, path)
 
 
