@@ -393,7 +393,8 @@ def _tables(entries: DataFrame) -> DataFrame:
 def similar_sets(left: list[np.ndarray], right: list[np.ndarray], slab: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of a left and a right set whose Jaccard similarity is ``SIMILARITY`` or more.
 
-    Common shingles are counted for a slab of left sets at a time, by way of the right sets that hold each shingle.
+    Common shingles are counted for a slab of left sets at a time, by way of the right sets that hold each shingle. A slab
+    has at most ``slab`` of them, and of pairs, unless one left set has more.
     """
     part, whole = SIMILARITY
     a, b = (np.array([len(s) for s in sets]) for sets in (left, right))
@@ -406,7 +407,8 @@ def similar_sets(left: list[np.ndarray], right: list[np.ndarray], slab: int = 2_
     meets = np.cumsum([0] + [int(c.sum()) for c in counts])
     at = 0
     while at < len(left):
-        end = max(at + 1, int(np.searchsorted(meets, meets[at] + slab, "right")) - 1)
+        end = min(int(np.searchsorted(meets, meets[at] + slab, "right")) - 1, at + slab // len(right))
+        end = max(at + 1, end)
         n, first = np.concatenate(counts[at:end]), np.concatenate(begins[at:end])
         row = np.repeat(np.repeat(np.arange(end - at), a[at:end]), n)
         place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
