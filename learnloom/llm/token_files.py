@@ -35,8 +35,8 @@ def _place(uri: str):
 
 
 def _write(system, path: str, attempt: str, parts: Iterable[bytes]) -> None:
-    """Writes under a name of the attempt, then renames; a file of an earlier attempt is removed first, since some file
-    systems do not rename onto a file. All attempts write the same bytes."""
+    """Writes under a name of the attempt, then renames. All attempts write the same bytes, so where one has finished, a
+    later one, a speculative one say, drops its own file: readers always find a whole file."""
     from pyarrow import fs
 
     own = f"{path}.{attempt}"
@@ -44,15 +44,22 @@ def _write(system, path: str, attempt: str, parts: Iterable[bytes]) -> None:
         with system.open_output_stream(own) as out:
             for x in parts:
                 out.write(x)
-        if system.get_file_info(path).type != fs.FileType.NotFound:
-            system.delete_file(path)
-        system.move(own, path)
+        if system.get_file_info(path).type == fs.FileType.NotFound:
+            system.move(own, path)
+        else:
+            system.delete_file(own)
     except BaseException:
         if system.get_file_info(own).type != fs.FileType.NotFound:
             system.delete_file(own)
         raise
 
 
+def _listed(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(folder, allow_not_found=True)
+
+
 def _mapped(system, path: str, dtype: str) -> np.ndarray:
     """The file as an array: memory-mapped where the file system is local to the worker, else read."""
     from pyarrow import fs
@@ -69,8 +76,9 @@ def write_token_files(
 ) -> list[dict]:
     """Writes the files below ``uri`` and returns the entries of parts.json, one for each part.
 
-    A null text is encoded as the empty text, so its document has the end id only. A null id sorts first. Repeated ids
-    follow each other in order of their texts. An empty table writes parts without documents.
+    A null text is encoded as the empty text, so its document has the end id only. A null id sorts first. Rows that repeat
+    an id follow each other in order of their texts' hashes, so that they may lie in several parts. An empty table writes
+    parts without documents. Other columns are ignored. What the folder held before is removed.
     """
     spark = docs.sparkSession
     parts = parts or shuffle_partitions(spark)
@@ -100,11 +108,14 @@ def write_token_files(
         yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(ids)], "tokens": [int(offsets[-1])], "width": [int(width[-1])]})
 
     system, folder = _place(uri)
+    if system.get_file_info(folder).is_file or any(f.is_file for f in system.get_file_info(_listed(folder))):
+        system.delete_dir(folder)
     system.create_dir(folder)
     ordered = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange(parts, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("row"))
+        .repartitionByRange(parts, "doc_id", "hash", "row")
+        .sortWithinPartitions("doc_id", "hash", "row")
+        .select("doc_id", "text")
     )
     # One row for each part comes back, so this is bounded by the number of partitions.
     found = sorted(ordered.mapInArrow(write, "part long, docs long, tokens long, width long").collect())
