@@ -133,7 +133,7 @@ def token_pieces(
 def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``.
 
-    Rows of equal length take their places in order of (hash of doc_id and piece, doc_id, piece, start, ids_crc32); rows
+    Rows of equal length take their places in order of (hash of doc_id, piece and ids_crc32, doc_id, piece, start, ids_crc32); rows
     that agree in all of these are interchangeable. Other columns stay, whatever their names; one called sequence_id or
     offset is replaced. An empty table stays empty.
     """
@@ -143,7 +143,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     where = {k: np.array(v, np.int64).T for k, v in places(best_two_fit(counts, capacity)).items()}
     most = max(counts.values(), default=1)
     ranked = running_total(
-        pieces.withColumn(bucket, bucket_of(F.lit(most), "doc_id", "piece")),
+        pieces.withColumn(bucket, bucket_of(F.lit(most), "doc_id", "piece", "ids_crc32")),
         ["length"], bucket, ["doc_id", "piece", "start", "ids_crc32"], F.lit(1).cast("long"), position,
     ).drop(bucket)
 
