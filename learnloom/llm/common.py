@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import remove, replaced, scope, shared_path, shuffle_partitions, stored
 
 __all__ = [
-    "SPACES", "WORDS", "bucket_of", "connected_components", "first_by_hash", "free_name", "remove", "replaced", "running_total", "scope", "shared_path", "shuffle_partitions", "stored", "table",
+    "SPACES", "WORDS", "bucket_of", "connected_components", "first_by_hash", "free_name", "remove", "replaced", "running_total", "scope", "shared_path", "shuffle_partitions", "stored", "table", "usable_parts",
 ]
 
 #: White space of the text contracts: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -29,6 +32,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def usable_parts(column: pa.ListArray, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of vectors: the rows that are not null and have no null or non-finite part, their lengths, and the
+    parts, ``scale`` times each, one after another in double precision."""
+    rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    lengths = pc.list_value_length(column).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    with np.errstate(over="ignore"):
+        parts = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) * scale  # null parts become NaN
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    wrong = np.concatenate([[0], np.cumsum(~np.isfinite(parts))])
+    good = wrong[ends[1:]] == wrong[ends[:-1]]
+    return rows[good], lengths[good], parts[np.repeat(good, lengths)]
+
+
 def bucket_of(n: Column, *keys: Column | str) -> Column:
     """A number from 0 below sqrt(n) by the hash of ``keys``: a group of n rows gets about sqrt(n) buckets of sqrt(n) rows."""
     return F.pmod(F.xxhash64(*keys), F.ceil(F.sqrt(n)).cast("long"))

@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import connected_components, stored, usable_parts
 from .simhash import forest
 
 THRESHOLD = 0.95
-#: Vectors that the centroids are fitted on at most (the first by the hash of their id): so many, or so many for each
-#: cell if that is more. The sample then grows with the square root of the number of vectors.
+#: Vectors that the centroids are fitted on, a share by the hash of their id: so many, or so many for each cell if that is
+#: more (and a tenth and a thousand besides). The sample then grows with the square root of the number of vectors.
 FIT_VECTORS, FIT_PER_CELL = 10_000, 8
+#: Vectors of a sample that the driver takes whole.
+LOCAL_VECTORS = 20_000
 #: Cells: this times the square root of the number of entries, so that finding the cell of a vector and comparing it
 #: within cells cost alike at every size.
 CELLS = 1.0
@@ -35,36 +37,74 @@ BLOCK = 512
 COSINES = 4_000_000
 
 
-def units(vectors: list, ids: list) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit vectors (double precision) of those that are usable: finite, not null, not zero, without null parts."""
-    keep, rows = [], []
-    for i, v in zip(ids, vectors):
-        if v is None or not len(v) or any(x is None for x in v):
-            continue
-        x = np.asarray(v, np.float64)
-        if not np.isfinite(x).all():
-            continue
-        top = np.abs(x).max()
-        if top > 0:
-            x = x / top  # so that squares neither vanish nor overflow
-            keep.append(i)
-            rows.append(x / math.sqrt(float(x @ x)))
-    return np.array(keep, np.int64), np.stack(rows) if rows else np.zeros((0, 0))
-
-
-def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
-    """Spherical k-means: unit centroids by cosine; a cell without members keeps its centroid."""
-    rng = np.random.default_rng(seed)
-    centroids = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
+def units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are not zero, and their unit vectors."""
+    top = np.abs(x).max(1, initial=0)
+    some = np.flatnonzero(top > 0)
+    x = x[some] / top[some, None]  # so that squares neither vanish nor overflow
+    return some, x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def cell_sums(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The sum of the rows nearest to each centroid, with a bounded number of cosines at a time."""
+    sums, rows = np.zeros_like(centroids), max(1, COSINES // len(centroids))
+    for at in range(0, len(x), rows):
+        part = x[at : at + rows]
+        np.add.at(sums, np.argmax(part @ centroids.T, 1), part)
+    return sums
+
+
+def moved(centroids: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The unit sums; a cell without members keeps its centroid."""
+    norms = np.linalg.norm(sums, axis=1)
+    return np.where(norms[:, None] > 0, sums / np.where(norms > 0, norms, 1)[:, None], centroids)
+
+
+def fit_centroids(sample: DataFrame, dim: int, cells: int, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means on a sample (unit, order): unit centroids by cosine, beginning with its first rows.
+
+    A sample of few vectors comes to the driver whole. Of a larger one only the centroids do: each round broadcasts them,
+    and tasks send the sums of the vectors nearest to each, which are added up by cell.
+    """
+    spark = sample.sparkSession
+    centroids = _vectors(sample.orderBy("order").limit(cells).select("unit").collect(), dim)
+    if sample.count() <= LOCAL_VECTORS:
+        x = _vectors(sample.orderBy("order").select("unit").collect(), dim)
+        for _ in range(rounds):
+            centroids = moved(centroids, cell_sums(x, centroids))
+        return centroids
     for _ in range(rounds):
-        own = np.argmax(sample @ centroids.T, 1)
+        sent = spark.sparkContext.broadcast(centroids)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = np.zeros_like(sent.value)
+            for batch in batches:
+                own += cell_sums(_parts(batch.column(0), dim), sent.value)
+            some = np.flatnonzero(own.any(1))
+            for at in range(0, len(some), 1024):
+                part = some[at : at + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([own[c].tobytes() for c in part], pa.binary())], ["cell", "total"])
+
+        def added(group: pa.Table) -> pa.Table:
+            total = _parts(group.column("total").combine_chunks(), dim).sum(0)
+            return pa.table({"cell": group.column("cell")[:1], "total": pa.array([total.tobytes()], pa.binary())})
+
+        found = sample.select("unit").mapInArrow(partial, "cell long, total binary").groupBy("cell").applyInArrow(added, "cell long, total binary")
         sums = np.zeros_like(centroids)
-        np.add.at(sums, own, sample)
-        norms = np.linalg.norm(sums, axis=1)
-        centroids = np.where(norms[:, None] > 0, sums / np.where(norms > 0, norms, 1)[:, None], centroids)
+        for r in found.collect():  # one row for each cell
+            sums[r["cell"]] = np.frombuffer(bytes(r["total"]))
+        centroids = moved(centroids, sums)
     return centroids
 
 
+def _parts(column: pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+
+
+def _vectors(rows: list, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.float64).reshape(-1, dim)
+
+
 def visits(x: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """The cell of each vector, and for each the other cells it visits (boolean matrix)."""
     cos = x @ centroids.T
@@ -81,13 +121,14 @@ def _entries(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_dim: dict[int, list] = {}
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_dim.setdefault(0 if v is None else len(v), []).append((i, v))
-            for dim, rows in by_dim.items():
-                ids, x = units([r[1] for r in rows], [r[0] for r in rows])
+            rows, dims, parts = usable_parts(batch.column(1))
+            ends = np.concatenate([[0], np.cumsum(dims)])
+            for dim in np.unique(dims[dims > 0]).tolist():
+                at = np.flatnonzero(dims == dim)
+                some, x = units(parts[ends[at][:, None] + np.arange(dim)])
                 x = x + 0.0  # no negative zero, so that equal vectors have equal bytes
-                columns = [pa.array(ids), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([dim] * len(ids), pa.int32())]
+                ids = batch.column(0).take(pa.array(rows[at[some]]))
+                columns = [ids, pa.array([r.tobytes() for r in x], pa.binary()), pa.array([dim] * len(ids), pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["vec_id", "unit", "dim"])
 
     own = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
@@ -187,9 +228,10 @@ def near_duplicate_vectors(
     fitted = {}
     for dim, n in entries.groupBy("dim").count().collect():  # one row for each length of vector
         k = math.ceil(CELLS * math.sqrt(n))
-        sample = entries.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").select("unit").limit(max(fit_vectors, FIT_PER_CELL * k)).collect()
-        x = np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.float64).reshape(-1, dim)
-        fitted[dim] = fit_centroids(x, k)
+        share = min(1.0, 1.1 * max(fit_vectors, FIT_PER_CELL * k) / n + 1000 / n)  # by hashes, which are even
+        order = F.pmod(F.xxhash64("vec_id"), F.lit(2**40)).alias("order")
+        sample = entries.where(F.col("dim") == dim).select("unit", order).where(F.col("order") < share * 2**40)
+        fitted[dim] = fit_centroids(stored(sample), dim, k)
     cells = stored(_cells(entries, fitted, threshold))
     home = F.col("own") == F.col("cell")
     sizes = cells.groupBy("dim", "cell").agg(F.ceil(F.count_if(home) / BLOCK).alias("lefts"), F.ceil(F.count("*") / (4 * BLOCK)).alias("rights"))

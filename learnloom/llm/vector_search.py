@@ -17,11 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, usable_parts
 
 K = 5
 SCALE = 256
@@ -32,18 +31,6 @@ LOWEST, HIGHEST = -(2**63), 2**63 - 1
 MARGIN = 1e-9
 
 
-def quantised(column: pa.ListArray, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows that are usable, their lengths, and ``floor(scale * x)`` of their parts one after another."""
-    rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-    lengths = pc.list_value_length(column).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-    with np.errstate(over="ignore"):
-        parts = np.floor(column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) * float(scale))  # null parts become NaN
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    wrong = np.concatenate([[0], np.cumsum(~np.isfinite(parts))])
-    good = wrong[ends[1:]] == wrong[ends[:-1]]
-    return rows[good], lengths[good], parts[np.repeat(good, lengths)] + 0.0
-
-
 def packed(x: np.ndarray) -> tuple[bytes, str]:
     """Integers held in doubles, in the smallest type that holds them."""
     top = np.abs(x).max(initial=0)
@@ -145,7 +132,8 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, dims, parts = quantised(batch.column(2))
+            rows, dims, parts = usable_parts(batch.column(2), float(SCALE))
+            parts = np.floor(parts) + 0.0
             ends = np.concatenate([[0], np.cumsum(dims)])
             cut = [parts[a:b].tobytes() for a, b in zip(ends, ends[1:])]
             some = batch.take(pa.array(rows))

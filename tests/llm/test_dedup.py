@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+
+import numpy as np
 import pytest
 
 from learnloom.llm import embedding_dedup, exact_dedup, simhash, substring_dedup
@@ -221,3 +223,26 @@ def test_embedding_links_match_brute_force(spark, monkeypatch):
     for i in (1, 2, 3, 4, 5):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert embedding_dedup.near_duplicate_vectors(df.where("false")).count() == 0
+
+
+def test_centroids_are_the_same_on_the_driver_and_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 5))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    sample = spark.createDataFrame([(r.tobytes(), i) for i, r in enumerate(x)], "unit binary, order long").repartition(3).cache()
+    one = embedding_dedup.fit_centroids(sample, 5, 12)
+    monkeypatch.setattr(embedding_dedup, "LOCAL_VECTORS", 0)
+    monkeypatch.setattr(embedding_dedup, "COSINES", 100)
+    two = embedding_dedup.fit_centroids(sample, 5, 12)
+    assert one.shape == (12, 5) and np.allclose(one, two, atol=1e-9)
+
+
+def test_similar_sets_hold_few_pairs_at_a_time():
+    import tracemalloc
+
+    sets = [np.arange(5, dtype=np.uint64) + np.uint64(10 * i) for i in range(6000)]
+    tracemalloc.start()
+    i, j = simhash.similar_sets(sets, sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (i == j).all() and len(i) == 6000 and peak < 150e6
