@@ -16,7 +16,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,20 +55,98 @@ _STRICT = {
     "secret": re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/-]{20,512}"),
     "national_id": re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),
 }
-#: Fixed values of the gazetteer: known parts of values, for (first) and against (second) a kind.
-_KNOWN = {
-    "email_text": (re.compile(r"(?:com|org|net|edu|gov|info|io|de|fr|es|uk|it)\Z"), re.compile(r"(?:example|invalid|localhost|test)\Z")),
-    "phone_local": (re.compile(r"\A\(?(?:212|213|312|305|415|617|702|800|888)\b"), re.compile(r"\A\(?(?:000|111|123|999)")),
-    "secret": (re.compile(r"\A(?:AKIA|ghp_|gho_|sk-|sk_|pk_|xox|eyJ|glpat-)"), re.compile(r"(?i)example|placeholder|changeme|your_|xxxx|lorem|0000000")),
-    "national_id": (re.compile(r"(?!)"), re.compile(r"\A(?:078-05-1120|219-09-9999|123-45-6789|987-65-432[0-9])\Z")),
+#: Fixed values of the gazetteer: known values, and where they stand in a span, that speak for a kind.
+_FOR = {
+    "email_text": ("ends", """com org net edu gov mil int info biz io dev app ai co me tv us uk ca au nz ie de at ch fr be nl lu es pt it gr pl cz sk hu ro bg
+        hr si rs ua ru tr se no dk fi is ee lv lt br mx ar cl pe in cn jp kr hk sg za ng ke eg il""".split()),
+    "phone_local": ("starts", """201 202 203 206 207 208 210 212 213 214 215 216 224 240 248 253 262 267 281 301 302 303 304 305 310 312 313 314 315 317 319 323
+        330 334 336 347 402 404 405 406 408 410 412 414 415 417 419 425 469 480 502 503 504 505 508 510 512 513 515 516 518 520 530 540 541 551 559 602
+        603 605 606 607 608 609 610 612 614 615 616 617 618 619 626 630 631 646 650 651 661 678 701 702 703 704 706 707 708 713 714 716 717 718 719 720 732
+        740 757 760 763 770 773 775 800 801 802 803 804 805 808 810 812 813 814 816 817 818 828 831 832 833 843 845 847 850 856 858 860 864 866 877 888
+        901 903 904 907 908 909 910 912 913 914 915 916 917 918 919 925 941 949 951 952 954 956 970 971 972 973 978 979""".split()),
+    "secret": ("starts", """AKIA ASIA AIza ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk- sk_ pk_ rk_ xoxb- xoxp- xoxa- xoxs- xox eyJ ya29 npm_ pypi- dop_v1_ hf_
+        shpat_""".split()),
+    # By rule: the areas that were issued until 2011.
+    "national_id": ("starts", [f"{n:03d}-" for n in range(1, 773) if n != 666 and not 734 <= n <= 749]),
+}
+#: Fixed values of the gazetteer that speak against a kind.
+_AGAINST = {
+    "email_text": ("ends", "example invalid localhost test".split()),
+    "phone_local": ("starts", "000 111 123 999".split()),
+    "secret": ("holds", "example placeholder changeme your_ xxxx lorem 0000000".split()),
+    "national_id": ("whole", ["078-05-1120", "219-09-9999", "123-45-6789", *(f"987-65-432{d}" for d in range(10))]),
 }
 #: Fixed values of the context: words before a span that speak for and against a kind.
 _CUES = {
-    "email_text": (frozenset("mail email e-mail contact write reach address".split()), frozenset("meet meeting room noon clock".split())),
-    "phone_local": (frozenset("phone tel telephone mobile cell call fax dial ring".split()), frozenset("order invoice part ratio score version isbn".split())),
-    "secret": (frozenset("token secret password passwd pwd key apikey api_key access_key auth credential bearer private_key".split()), frozenset("sha md5 checksum digest commit hash ratio path file url".split())),
-    "national_id": (frozenset("ssn social security insurance tax passport identity".split()), frozenset("order invoice part serial version isbn model".split())),
+    "email_text": ("mail email e-mail contact write reach address".split(), "meet meeting room noon clock".split()),
+    "phone_local": ("phone tel telephone mobile cell call fax dial ring".split(), "order invoice part ratio score version isbn".split()),
+    "secret": ("token secret password passwd pwd key apikey api_key access_key auth credential bearer private_key".split(), "sha md5 checksum digest commit hash ratio path file url".split()),
+    "national_id": ("ssn social security insurance tax passport identity".split(), "order invoice part serial version isbn model".split()),
 }
+#: Entries of a caller's tables at most; they come to the driver and are sent to the tasks.
+MOST_ENTRIES = 1_000_000
+
+
+class Resources:
+    """What the gazetteer and the context labeler know: values by (kind, for or against, place), words by (kind, for or against).
+
+    A value of place ``starts``, ``ends`` or ``whole`` is compared as it is, ``holds`` in lower case, anywhere in a span; a
+    local phone number without its first bracket. Lookups go by the lengths of the values, so their number does not matter.
+    """
+
+    def __init__(self, values: Iterable[tuple[str, bool, str, str]], words: Iterable[tuple[str, bool, str]]):
+        self.values: dict[tuple[str, bool], dict[tuple[str, int], set[str]]] = {}
+        self.words: dict[tuple[str, bool], set[str]] = {}
+        for kind, good, place, value in values:
+            if kind not in ADDED_KINDS or place not in ("starts", "ends", "whole", "holds") or not value:
+                raise ValueError(f"not an entry of a gazetteer: {(kind, good, place, value)}")
+            self.values.setdefault((kind, good), {}).setdefault((place, len(value)), set()).add(value)
+        for kind, good, word in words:
+            self.words.setdefault((kind, good), set()).add(word.lower())
+
+    def knows(self, kind: str, good: bool, span: str) -> bool:
+        span = span.removeprefix("(") if kind == "phone_local" else span
+        for (place, n), known in self.values.get((kind, good), {}).items():
+            if n > len(span):
+                continue
+            if place == "starts":
+                met = span[:n] in known
+            elif place == "ends":
+                met = span[-n:] in known
+            elif place == "whole":
+                met = n == len(span) and span in known
+            else:
+                low = span.lower()
+                met = any(low[i : i + n] in known for i in range(len(low) - n + 1))
+            if met:
+                return True
+        return False
+
+    def cued(self, kind: str, good: bool, before: set[str]) -> bool:
+        return not before.isdisjoint(self.words.get((kind, good), ()))
+
+
+def default_entries() -> tuple[list[tuple[str, bool, str, str]], list[tuple[str, bool, str]]]:
+    """The built-in rows of the gazetteer (kind, good, place, value) and of the cues (kind, good, word)."""
+    values = [(kind, good, place, v) for good, table in ((True, _FOR), (False, _AGAINST)) for kind, (place, listed) in table.items() for v in listed]
+    return values, [(kind, good, w) for kind, both in _CUES.items() for good, listed in zip((True, False), both) for w in listed]
+
+
+DEFAULT = Resources(*default_entries())
+
+
+def resources(gazetteer: DataFrame | None = None, cues: DataFrame | None = None, defaults: bool = True) -> Resources:
+    """Resources from tables (kind, good, place, value) and (kind, good, word), besides the built-in ones unless told otherwise."""
+    values, words = default_entries() if defaults else ([], [])
+    for table, columns, listed in ((gazetteer, ("kind", "good", "place", "value"), values), (cues, ("kind", "good", "word"), words)):
+        if table is not None:
+            rows = table.select(*columns).dropna().distinct().limit(MOST_ENTRIES + 1).collect()
+            if len(rows) > MOST_ENTRIES:
+                raise ValueError(f"more than {MOST_ENTRIES} entries")
+            listed += [tuple(r) for r in rows]
+    return Resources(values, words)
+
+
 _WORD = re.compile(r"[A-Za-z][A-Za-z_-]*")
 #: Places of the classifier's inputs: bias, kinds, words before and after, shape, first characters, length, digits.
 _FIELDS = {"bias": 1, "kind": 4, "before": 256, "after": 256, "shape": 128, "first": 64, "length": 8, "digits": 6}
@@ -119,15 +197,13 @@ def _entropy(span: str) -> float:
     return -sum(n / len(span) * math.log2(n / len(span)) for n in Counter(span).values())
 
 
-def votes(kind: str, text: str, begin: int, end: int) -> tuple[int, int, int, int]:
+def votes(kind: str, text: str, begin: int, end: int, known: Resources = DEFAULT) -> tuple[int, int, int, int]:
     """The labelers' votes on a candidate, in their order."""
     span = text[begin:end]
     pattern = 1 if _STRICT[kind].fullmatch(span) else 2
-    good, bad = _KNOWN[kind]
-    gazetteer = 2 if bad.search(span) else 1 if good.search(span) else 0
+    gazetteer = 2 if known.knows(kind, False, span) else 1 if known.knows(kind, True, span) else 0
     before = {w.lower().strip("_-") for w in _WORD.findall(text[max(0, begin - 40) : begin])}
-    good, bad = _CUES[kind]
-    context = 1 if before & good else 2 if before & bad else 0
+    context = 1 if known.cued(kind, True, before) else 2 if known.cued(kind, False, before) else 0
     if kind in ("secret", "email_text"):
         bits = _entropy(span)
         characters = 1 if bits >= 3.2 else 2 if bits < 2.5 else 0
@@ -159,7 +235,7 @@ def features(kind: str, text: str, begin: int, end: int) -> list[int]:
     ]
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int, list[int]]]:
+def candidates(text: str, base: list[tuple[str, int, int]], known: Resources = DEFAULT) -> list[tuple[str, int, int, int, list[int]]]:
     """Added candidates that overlap no base span: (kind, start, end, votes as a base-3 number, inputs)."""
     out = []
     taken = sorted((b, e) for _, b, e in base)
@@ -170,14 +246,15 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             b, e = m.span(group)
             if any(b < y and x < e for x, y in taken):
                 continue
-            v = votes(kind, text, b, e)
+            v = votes(kind, text, b, e, known)
             out.append((kind, b, e, v[0] * 27 + v[1] * 9 + v[2] * 3 + v[3], features(kind, text, b, e)))
             taken.append((b, e))
     return out
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: Resources = DEFAULT) -> DataFrame:
     """One row per document: doc_id, base (array of kind, start, end), found (array of candidates)."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)  # at most MOST_ENTRIES of either kind besides the built-in ones
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
     more = pa.struct([*span, ("votes", pa.int32()), ("inputs", pa.list_(pa.int32()))])
 
@@ -188,7 +265,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 text = t.as_py() or ""
                 own = base_spans(text)
                 base.append([dict(zip(("kind", "start", "end"), s)) for s in own])
-                found.append([dict(zip(("kind", "start", "end", "votes", "inputs"), c)) for c in candidates(text, own)])
+                found.append([dict(zip(("kind", "start", "end", "votes", "inputs"), c)) for c in candidates(text, own, sent.value)])
             columns = [batch.column(0), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(more))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "base", "found"])
 
@@ -251,13 +328,14 @@ def classifier(scan: DataFrame, fit_spans: int = FIT_SPANS) -> tuple[np.ndarray,
     return span_classifier(x, y, np.array([rows[r] for r in sorted(rows)], np.float64)), probability
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, known: Resources = DEFAULT) -> DataFrame:
     """One row per document: doc_id, base and spans (arrays of kind, start, end; spans include base).
 
-    A null text is empty and has no spans. Spans are by kind (base kinds, then added kinds), then start. Repeated rows
-    are scanned each; an empty table stays empty.
+    A null text is empty and has no spans; a null id stays null. Spans are by kind (base kinds, then added kinds), then
+    start. Repeated rows are scanned each, long texts whole; an empty table stays empty; other columns are ignored.
+    ``known`` is what the gazetteer and the context labeler know, see :func:`resources`.
     """
-    scan = stored(scanned(docs, id_col, text_col))
+    scan = stored(scanned(docs, id_col, text_col, known))
     model = classifier(scan)
     weights = F.array(*[F.lit(float(w)) for w in (model[0] if model else np.zeros(INPUTS))])
     score = lambda c: F.aggregate(c["inputs"], F.lit(0.0), lambda total, i: total + F.element_at(weights, i + 1))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from learnloom.llm import language_id, mixing, pii, quality
 
@@ -195,3 +196,22 @@ def test_schedule_orders_sources(docs):
     rows = [(i, "w", None, "abc"[i % 3]) for i in range(300)]
     first = [r["source"] for r in mixing.mixed_documents(docs(rows), weights=(1, 1, 1), slopes=(-0.9, 0.0, 0.9)).collect()]
     assert first[:100].count("a") > first[:100].count("b") > first[:100].count("c")
+
+
+def test_resources_come_from_tables(spark, docs):
+    gazetteer = spark.createDataFrame(
+        [("secret", True, "starts", f"corp{i:05d}_") for i in range(5000)] + [("secret", False, "whole", "corp00001_deadbeefdeadbeef"), ("national_id", False, "starts", "555-"), ("secret", None, "whole", "x")],
+        "kind string, good boolean, place string, value string",
+    )
+    cues = spark.createDataFrame([("secret", True, "Zugang")], "kind string, good boolean, word string")
+    known = pii.resources(gazetteer, cues)
+    vote = lambda kind, span, before="": pii.votes(kind, before + span, len(before), len(before) + len(span), known)
+    assert vote("secret", "corp04999_aaaaaaaaaaaaaaaa")[1] == 1 and vote("secret", "corp05000_aaaaaaaaaaaaaaaa")[1] == 0
+    assert vote("secret", "corp00001_deadbeefdeadbeef")[1] == 2 and vote("secret", "my_ExAmPlE_aaaaaaaaaaaaaa")[1] == 2
+    assert vote("secret", "a" * 20, "zugang ")[2] == 1 and vote("national_id", "555-12-3456")[1] == 2 and vote("phone_local", "(212) 555-0100")[1] == 1
+    assert pii.resources(gazetteer, cues, defaults=False).knows("email_text", True, "a at b dot com") is False
+    rows = [(i, f"zugang: corp{i:05d}_{'0123456789abcdef'[i % 16 :]}0a1b2c3d4e5f") for i in range(30)]
+    got = pii.personal_data(docs(rows), known=known).collect()
+    assert all([s["kind"] for s in r["spans"]] == ["secret"] for r in got)
+    with pytest.raises(ValueError, match="not an entry"):
+        pii.Resources([("secret", True, "somewhere", "x")], [])

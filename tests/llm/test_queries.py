@@ -99,6 +99,71 @@ def test_language_learns_from_the_other_rows_only(spark, tables):
         assert pred == ("und" if i in (900, 901, 902) else truth[i]) and (i not in (900, 901, 902) or rejected)
 
 
+def test_scores_are_those_of_all_labelings_of_the_lines(spark, tables):
+    """Every way to label a document's lines is weighed; a line's share of good ones is averaged by length."""
+    from itertools import product
+
+    from learnloom.llm import quality
+
+    rows, labels = make_corpus(90)
+    rows = [(i, t) for i, t in rows if t.count("\n") < 7] + [(1000, None), (1001, "one\n\ntwo words\n")]
+    df, known = spark.createDataFrame(*documents(rows)), spark.createDataFrame(labels, "doc_id long, quality int")
+    field = quality.fit(df, known.where("pmod(crc32(cast(doc_id as string)), 5) <> 0"))
+    got = {r["doc_id"]: r["score"] for r in queries.op3_line_quality(spark, tables(documents=documents(rows), labels=([(i, y, 0) for i, y in labels], "doc_id long, quality int, toxic int"))).collect()}
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        x, _ = quality.line_features(text)
+        assert len(x) == len(lines)
+        weight = np.array([len(line.encode()) for line in lines]) + 1e-6
+        total = share = 0.0
+        for y in product((0, 1), repeat=len(lines)):
+            w = np.exp(sum(s * v for s, v in zip(x @ field.weights, y)) + sum(field.table[a, b] for a, b in zip(y, y[1:])))
+            total, share = total + w, share + w * float(np.dot(y, weight))
+        assert abs(got[i] - share / total / weight.sum()) < 1e-6
+
+
+def test_languages_are_those_of_the_nearest_row(spark, tables):
+    """With four learned rows or fewer of a language each is a centroid, so the largest cosine with one of them decides."""
+    import math
+    from collections import Counter
+
+    from learnloom.llm import language_id
+
+    rows = language_rows(120)
+    learned, kept = Counter(), []
+    for i, t, k, s in rows:
+        own = remainder(i, 4) != 2
+        if not own or learned[k] < 4:
+            kept.append((i, t, k, s))
+            learned[k] += own
+    train = [(t, k) for i, t, k, _ in kept if remainder(i, 4) != 2]
+    slots = lambda t: Counter(language_id.grams(t).tolist())
+    df = Counter(s for t, _ in train for s in slots(t))
+
+    def unit(text):
+        v = {s: (1 + math.log(n)) * (math.log((1 + len(train)) / (1 + df[s])) + 1) for s, n in slots(text).items()}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {s: w / norm for s, w in v.items()}
+
+    centroids = [(k, unit(t)) for t, k in train]
+    got = {r["doc_id"]: r for r in queries.op10_language_id(spark, tables(documents=documents(kept))).collect()}
+    for i, text, *_ in kept:
+        v, best = unit(text), {}
+        for k, c in centroids:
+            best[k] = max(best.get(k, 0.0), sum(w * c.get(s, 0.0) for s, w in v.items()))
+        want = max(sorted(best), key=best.get)
+        assert got[i]["lang_pred"] == want and abs(got[i]["score"] - min(1.0, best[want])) < 1e-9
+
+
+def test_other_languages_and_junk_are_rejected(spark, tables):
+    """Scripts that no learned row has are far from every centroid; a language of the same script and a mixture are not."""
+    rows = language_rows(160)
+    far = [(900, "ლამაზი დღეა დღეს"), (901, "これは日本語の文章です"), (902, "שלום עולם טוב"), (903, "the and tion ing the und これ")]
+    got = {r["doc_id"]: r for r in queries.op10_language_id(spark, tables(documents=documents(rows + far))).collect()}
+    assert [got[i]["rejected"] for i, _ in far] == [True, True, True, False]
+    assert not any(got[i]["rejected"] for i, *_ in rows)
+
+
 def test_a_language_of_repeated_rows_is_not_lost(spark, tables):
     learned = [i for i in range(1000, 1010) if remainder(i, 4) != 2][:4]
     for own in learned:
