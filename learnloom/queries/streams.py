@@ -182,3 +182,15 @@ def cached_requests(spark, sf_dir):
 @query(_CACHED)
 def stream_cached_requests(spark, sf_dir):
     return _drained(st.stream_cached_requests(_asked(_Streamed(spark), sf_dir)), spark)
+
+
+@query(ORACLES["mine_definitions"])
+def stream_point_batches(spark, sf_dir):
+    """Points of pages as they come: each batch of pages writes the points it brings, once, and none of those before."""
+    from ..operators import mining
+
+    path = shared_path(spark, "points")
+    mined = lambda pages: mining.mine_definitions(pages, [b.DEFINITION]).withColumn("importance", (1 + F.col("page") % 5).cast("int")).withColumn("difficulty", (1 + F.length("definition") % 5).cast("int"))
+    sink = BatchSink(spark, path, lambda pages: {"points": mined(pages)})
+    sink.drain(b.pages(_Streamed(spark), sf_dir), f"{path}/_checkpoint")
+    return sink.read("points").drop("_writer", "_batch")
