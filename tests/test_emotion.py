@@ -61,3 +61,29 @@ def test_payloads(spark):
     rows = [(base64.b64encode(b"12345").decode(),), ("***",)]
     got = m.decode_payloads(spark.createDataFrame(rows, "payload string"), most=4).collect()
     assert [(r["size"], r["error"]) for r in got] == [(5, "too large"), (None, "not base64")]
+
+
+def test_frames_of_signals_match_brute_force(spark):
+    import math
+    import random
+
+    from learnloom.operators import emotions as ops
+
+    rng = random.Random(3)
+    signals = {"a": [rng.gauss(0, 1) for _ in range(70)], None: [rng.choice([-1.0, 0.0, 1.0]) for _ in range(40)], "short": [1.0] * 7, "gap": [rng.gauss(0, 1) for _ in range(48)], "nulls": [rng.gauss(0, 1) for _ in range(32)]}
+    rows = [(k, i, v) for k, s in signals.items() for i, v in enumerate(s) if not (k == "gap" and i == 21)]
+    rows = [(k, i, None if k == "nulls" and i % 8 == 5 else v) for k, i, v in rows]
+    have = {(k, i): v for k, i, v in rows if v is not None}
+    want = {}
+    for key in signals:
+        found = []
+        for begin in range(0, 80, 4):
+            frame = [have.get((key, begin + i)) for i in range(8)]
+            if None not in frame:
+                turns = sum((x >= 0) != (y >= 0) for x, y in zip(frame, frame[1:]))
+                found.append((math.sqrt(sum(x * x for x in frame) / 8), turns / 8))
+        if found:
+            want[key] = (sum(e for e, _ in found) / len(found), sum(z for _, z in found) / len(found), len(found))
+    got = {r["device"]: (r["energy"], r["zcr"], r["frames"]) for r in ops.frame_energy_zcr(spark.createDataFrame(rows, "device string, position long, value double"), ["device"], 8, 4).collect()}
+    assert got.keys() == want.keys() == {"a", None, "gap"}
+    assert all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k]))

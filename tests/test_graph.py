@@ -140,3 +140,32 @@ def test_files(spark, tmp_path):
     assert nodes.first()["name"] == "a" and nodes.first()["difficulty"] == 3 and links.first()["strength"] == 0.5
     (tmp_path / "math_concepts.txt").write_text("set\n\n map \n")
     assert {tuple(x) for x in src.read_vocabularies(spark, str(tmp_path / "math_concepts.txt")).collect()} == {("math", "set"), ("math", "map")}
+
+
+def slow_path(steps, start, target, most):
+    """The shortest path with the smallest parent at each level, from the target back."""
+    depth, frontier = {start: 0}, [start]
+    for d in range(1, most + 1):
+        frontier = sorted({b for a, b in steps if a in frontier and b not in depth})
+        depth |= dict.fromkeys(frontier, d)
+    if target not in depth or start == target:
+        return None
+    path = [target]
+    while path[-1] != start:
+        path.append(min(a for a, b in steps if b == path[-1] and depth.get(a) == depth[path[-1]] - 1))
+    return path[::-1]
+
+
+@pytest.mark.parametrize("n,edges_of,most", [(12, 1.3, 5), (30, 1.6, 5), (20, 3, 2), (25, 1.1, 9)])
+def test_shortest_paths_match_brute_force(spark, n, edges_of, most):
+    rng = random.Random(n)
+    steps = sorted({(f"n{rng.randrange(n):02d}", f"n{rng.randrange(n):02d}") for _ in range(int(n * edges_of))})
+    edges = spark.createDataFrame([(a, b, t, 0.5) for a, b in steps for t in ("T", "A")], "src string, dst string, type string, strength double")
+    pairs = sorted({(f"n{rng.randrange(n):02d}", f"n{rng.randrange(n):02d}") for _ in range(40)} | {("n00", "none"), ("none", "n01"), ("n02", "n02")})
+    got = {}
+    for r in sorted(g.shortest_learning_path(edges, spark.createDataFrame(pairs + [(None, "n01")], "start string, target string"), most).collect(), key=lambda r: r["step"]):
+        got.setdefault((r["start"], r["target"]), []).append(r)
+    want = {p: w for p in pairs if (w := slow_path(steps, *p, most))}
+    assert got.keys() == want.keys() and want
+    for pair, path in want.items():
+        assert [(r["src"], r["dst"]) for r in got[pair]] == list(zip(path, path[1:])) and {r["type"] for r in got[pair]} == {"A"}
