@@ -171,6 +171,6 @@ def pack_documents(
     """Packs all documents: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset.
 
     A null or empty text is packed as its end id alone. A document longer than ``capacity`` is cut into full pieces and
-    a last one. Repeated rows are packed each.
+    a last one. Repeated rows are packed each; a null id stays null. An empty table stays empty; other columns are ignored.
     """
     return pack_pieces(token_pieces(docs, tokenizer_path or default_path(), end_id, capacity, with_ids), capacity)

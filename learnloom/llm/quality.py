@@ -180,8 +180,8 @@ def document_scores(docs: DataFrame, field: LineField | None, id_col: str = "doc
     """One row per document: doc_id, score, n_lines, bad_lines.
 
     The score is the length-weighted mean of its lines' probabilities of being good, from 0 to 1. A null text is the
-    empty text, which is one empty line. Without a field every score is 0.5. Repeated rows are scored each. An
-    empty table stays empty.
+    empty text, which is one empty line; a null id stays null. Without a field every score is 0.5. Repeated rows are
+    scored each, long texts whole. An empty table stays empty; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
