@@ -39,6 +39,17 @@ def test_similar_groups_match_the_sequential_definition(spark):
     assert pairs == {(i, j) for i, a in distinct for j, b in distinct if i < j and sim.sequence_ratio(a, b) > 0.8}
 
 
+def test_rows_of_similar_names_are_not_broadcast(spark, monkeypatch):
+    """However small the stored names are: their rows are many times as many, and their pairs too."""
+    plans, keep = [], sim.stored
+    monkeypatch.setattr(sim, "stored", lambda df: plans.append(df) or keep(df))
+    points = spark.createDataFrame([("b", i, n) for i, n in enumerate(["recursion", "recursive", "integral", "integrals"])], "book_id string, seq long, concept string")
+    pairs = sim.near_duplicate_concepts(points)
+    for df in (plans[-1], pairs):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r["i"], r["j"]) for r in pairs.collect()] == [(2, 3)]
+
+
 CONCEPTS = [("function", 3, 5), ("derivative", 4, 5), ("integral", 4, 5), ("limit", 4, 4), ("variable", 2, 4), ("loop", 2, 4), ("recursion", 4, 4)]
 EDGES = [
     ("function", "derivative", "IS_PREREQUISITE_OF", 1.0), ("function", "integral", "IS_PREREQUISITE_OF", 1.0), ("limit", "derivative", "IS_PREREQUISITE_OF", 0.9),
