@@ -46,3 +46,22 @@ def test_starts_and_paths_match_brute_force_up_to_five_moves(spark, monkeypatch)
         if long[s]:
             walk = [start[s], *(paths[s][k] for k in range(1, long[s] + 1))]
             assert walk[-1] == target and all(b in step[a] for a, b in zip(walk, walk[1:]))
+
+
+def test_no_table_of_a_search_has_a_row_for_each_name_that_it_meets(spark, monkeypatch):
+    """Forty students on a ring with chords: a search from each target meets some thirty names in five moves."""
+    from learnloom.operators import graph, recommend as r
+
+    names, rows, keep = [f"n{i:02}" for i in range(40)], [], graph.stored
+
+    def counted(df):
+        rows.append((out := keep(df)).count())
+        return out
+
+    for module in (graph, r):
+        monkeypatch.setattr(module, "stored", counted)
+    edges = spark.createDataFrame([(names[i], names[(i + k) % 40], "INCLUDES", 0.5) for i in range(40) for k in (1, 7)], "src string, dst string, type string, strength double")
+    requests = spark.createDataFrame([(i, names[i]) for i in range(40)], "student_id long, target string")
+    mastery = spark.createDataFrame([(i, names[(i + 32) % 40], 0.9) for i in range(40)], "student_id long, concept string, mastery double")
+    assert {x["student_id"]: x["start"] for x in r.choose_start_concept(requests, edges, mastery).collect()} == {i: names[(i + 32) % 40] for i in range(40)}
+    assert max(rows) <= 80
