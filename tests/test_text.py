@@ -98,3 +98,11 @@ def test_best_point(spark):
     points = spark.createDataFrame(rows, "book_id string, seq long, page int, concept string, definition string, importance int, difficulty int")
     assert abs(points.select(mining.point_score()).first()[0] - 13.25) < 1e-9
     assert mining.best_point_per_group(points, ["concept"]).first()["seq"] == 1
+
+
+def test_line_cleaners_split_and_match_once(spark):
+    """An expression inside an array function is evaluated for each line, so texts of many lines took a time of their square."""
+    df = spark.createDataFrame([("a\nint x;\n\nb",)], "text string")
+    for cleaner in (tx.fence_code_lines, tx.format_code_blocks):
+        plan = df.select(cleaner(F.col("text"), "x").alias("text"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1 and plan.count("RLIKE") + plan.count("rlike") == 1
