@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import sources as src
-from ..storage import shared_path
+from ..storage import shared_path, stored
 from ..operators import mining
 from ..plans import extraction as ex
 from . import bindings as b
@@ -62,7 +62,7 @@ UNION ALL SELECT book_id, page, concept, definition, 3 FROM t WHERE page NOT IN
 UNION ALL SELECT book_id, page, concept, definition, 4 FROM points WHERE page NOT IN (SELECT page FROM m UNION SELECT page FROM t)
 UNION ALL SELECT book_id, page, trim(c), trim(e), 5 FROM z_ WHERE length(trim(c)) >= 2 AND length(trim(e)) >= 5 AND page NOT IN (SELECT page FROM points)""")
 def strategy_cascade(spark, sf_dir):
-    points, pages = b.points(spark, sf_dir), b.pages(spark, sf_dir)
+    points, pages = stored(b.points(spark, sf_dir)), b.pages(spark, sf_dir)  # stored, or each strategy would mine the texts
     strong, easy = F.col("importance") >= 4, F.col("difficulty")
     pieces = mining.mine_definitions(pages, [PIECE]).select(*points.columns)
     out = ex.strategy_cascade(

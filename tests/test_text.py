@@ -106,3 +106,13 @@ def test_line_cleaners_split_and_match_once(spark):
     for cleaner in (tx.fence_code_lines, tx.format_code_blocks):
         plan = df.select(cleaner(F.col("text"), "x").alias("text"))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("split(") == 1 and plan.count("RLIKE") + plan.count("rlike") == 1
+
+
+def test_texts_are_searched_once_for_both_groups(spark):
+    """Unless the pattern looks around its match, where the match alone would not do."""
+    pages = spark.createDataFrame([("b", 1, "Red is a warm colour. So is the one of fire. Blue is cold.")], "book_id string, page long, text string")
+    for pattern, searches in ((r"([A-Za-z]{2,20}) is ([^.\n]{5,}?)\.", 1), (r"(?<=^|\. )(\w+) is ([^.]+)\.", 2)):
+        found = mining.mine_definitions(pages, [pattern], 2, 3)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == searches
+        want = [("Red", "a warm colour"), ("So", "the one of fire")] + ([("Blue", "cold")] if searches == 2 else [])
+        assert [(r["concept"], r["definition"]) for r in found.orderBy("seq").collect()] == want
