@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,39 @@ def test_equal_moves_go_to_the_first_name(spark, most):
     got = planning.planned_paths(goals, edges, nodes, mastery, 0.5, 4, graph_edges=most).orderBy("step").collect()
     assert [r["name"] for r in got] == ["s", "a", "x", "s"]
     assert [(r["mastery"], r["description"]) for r in got] == [(0.0, "text"), (0.1, "text"), (0.0, "text"), (0.0, "text")]
+
+
+def test_values_from_the_shared_base_are_those_of_a_full_solve():
+    """Random graphs, goals that do and don't meet in time all they can ever meet."""
+    rng, both = np.random.default_rng(5), set()
+    for n, out, steps in ((60, 3, 10), (60, 1, 4), (200, 4, 3), (300, 6, 10)):
+        pairs = np.unique(rng.integers(0, n, (n * out, 2)), axis=0)
+        some = np.flatnonzero(rng.random(n) < 0.9)
+        moves = pa.table({"src": pairs[:, 0].astype(np.int32), "dst": pairs[:, 1].astype(np.int32)})
+        concepts = pa.table({"id": some.astype(np.int32), "difficulty": rng.integers(1, 6, len(some)) * 1.0, "importance": rng.integers(1, 6, len(some)) * 1.0})
+        limits = {"gamma": 0.9, "max_steps": steps, "rounds": 400, "delta": planning.TIE / 100}
+        fast, full = planning._Graph(n, moves, concepts).with_base(0.9, 400, limits["delta"]), planning._Graph(n, moves, concepts)
+        starts, targets = rng.integers(0, n, 64), rng.integers(-1, n, 64)
+        closed = fast.closed(starts, targets, steps)
+        both |= set(closed.tolist())
+        for start, target, ends in zip(starts.tolist(), targets.tolist(), closed.tolist()):
+            own = rng.choice(n, 5, replace=False)
+            levels = rng.random(5)
+            with fast.goal(start, target, own, levels, ends, **limits), full.goal(start, target, own, levels, False, **limits):
+                states = full.met(start, target, steps)
+                assert np.abs(fast.value[states] - full.value[states]).max(initial=0) < 1e-7
+                assert fast.followed(start, target, 0.9, steps) == full.followed(start, target, 0.9, steps)
+                if ends:  # one move more would meet nothing
+                    assert np.array_equal(states, full.met(start, target, steps + 1))
+            assert np.array_equal(fast.value, fast.base) and not fast.level.any()
+    assert both == {True, False}
+
+
+def test_values_of_the_starts_do_not_store_those_of_all_states(monkeypatch, cyclic):
+    def refused(*_, **__):
+        raise AssertionError("the values of all states of all goals were asked for")
+
+    every = {(r["goal_id"], r["src"], r["dst"]): r["q"] for r in planning.learn_q_values(*cyclic[1:], 0.4).collect()}
+    monkeypatch.setattr(planning, "state_values", refused)
+    got = {(r["goal_id"], r["src"], r["dst"]): r["q"] for r in planning.learn_q_values(*cyclic[1:], 0.4, starts_only=True).collect()}
+    assert got.keys() == {k for k in every if k[1] == "a"} and all(abs(got[k] - every[k]) < 1e-7 for k in got)
