@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import sources as src
 from ..operators import messages as m
 from ..sources.tables import Tables
-from ..storage import shared_path
+from ..storage import shared_path, stored
 from . import bindings as b
 from .registry import ORACLES, QUERIES, query
 
@@ -85,12 +85,13 @@ def _stored(spark, sf_dir, typed):
     from .graph import _incoming
 
     tables = Tables(spark, shared_path(spark, "graph"))
-    edges = b.edges(spark, sf_dir).where("type = 'INCLUDES'")
+    links = stored(b.raw_relations(spark, sf_dir))  # read four times
+    edges = b.edges(spark, sf_dir, links).where("type = 'INCLUDES'")
     nodes, key = b.nodes(spark, sf_dir), ["src_label", "src", "dst_label", "dst", "type"] if typed else ["src", "dst", "type"]
     if typed:
         nodes = nodes.unionByName(nodes.where("importance = 1").withColumn("label", F.lit("Example")))
     tables.replace_all({"nodes": nodes, "edges": edges.select(*key, "strength")}, {"nodes": (["label", "name"], 16), "edges": (key, 16)})
-    incoming, links = _incoming(spark, sf_dir), b.raw_relations(spark, sf_dir)
+    incoming = _incoming(spark, sf_dir)
     last = links.agg(F.max("seq")).first()[0] or 0
     for part in (F.col("seq") <= last // 2, F.col("seq") > last // 2):  # in order, since the first wins
         src.import_graph(tables, incoming.where("false"), links.where(part), typed)

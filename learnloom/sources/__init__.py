@@ -196,8 +196,8 @@ def import_graph(tables: Tables, nodes: DataFrame, links: DataFrame, typed: bool
     if typed:
         known, make = tables.read("nodes").select("label", "name"), g.imported_labelled_edges
     else:
-        ends = links.select(F.explode(F.array("source", "target")).alias("name")).where("name is not null").distinct()
-        known, make = tables.lookup("nodes", ends.select(F.lit("Concept").alias("label"), "name")), g.imported_edges
+        ends = links.select(F.lit("Concept").alias("label"), F.explode(F.array("source", "target")).alias("name")).where("name is not null")
+        known, make = tables.read("nodes", buckets=tables.touched("nodes", ends)), g.imported_edges
     return added | {"edges": tables.insert_absent("edges", make(links, known))}
 
 

@@ -135,29 +135,36 @@ class Tables:
         dealt = stored(rows.select(*columns).withColumn("_bucket", self._bucket(key, n)))
         touched = [r[0] for r in dealt.select("_bucket").distinct().collect()]  # at most ``n``
         old = self.read(name, version if version >= 0 else None, touched).select(_of_key(key).alias("_key"))
-        new = stored(dealt.withColumn("_key", _of_key(key)).join(old, "_key", "left_anti").dropDuplicates(["_key"]).drop("_key", "_bucket"))
-        counts = {r[0]: r[1] for r in new.groupBy(self._bucket(key, n)).count().collect()}
-        if not counts:
+        new = dealt.withColumn("_key", _of_key(key)).join(old, "_key", "left_anti").dropDuplicates(["_key"]).drop("_key", "_bucket")
+        schema = _schema(table["schema"])
+        folder, found = self._write(name, new, key, n)
+        paths = lambda buckets: [f"{self.path}/{folder}/_bucket={b}" for b in buckets]
+        added = self.spark.read.schema(schema).parquet(*paths(found)).count() if found else 0
+        remove(self.spark, dealt.stored_path)
+        if not added:
             return 0
         parts = {b: list(folders) for b, folders in table["parts"].items()}
-        full = [b for b in counts if len(parts.get(str(b), [])) >= MOST_PARTS]
-        written = new.unionByName(self.read(name, version, full)) if full else new
-        folder, found = self._write(name, written, key, n)
+        full = [b for b in found if len(parts.get(str(b), [])) >= MOST_PARTS]
         for b in found:
-            parts[str(b)] = [folder] if b in full else [*parts.get(str(b), []), folder]
+            parts[str(b)] = [*parts.get(str(b), []), folder]
+        if full:
+            both = self.read(name, version, full).unionByName(self.spark.read.schema(schema).parquet(*paths(full)))
+            whole = self._write(name, both, key, n)[0]
+            parts |= {str(b): [whole] for b in full}
         tables = state["tables"] | {name: table | {"parts": parts}}
         self.log.commit(version + 1, state | {"tables": tables})
-        for df in (dealt, new):
-            remove(self.spark, df.stored_path)
-        return sum(counts.values())
+        return added
+
+    def touched(self, name: str, keys: DataFrame) -> list[int]:
+        """The buckets that the keys asked for fall in."""
+        table = self.log.last()[1]["tables"][name]
+        return [r[0] for r in keys.select(self._bucket(table["key"], table["buckets"])).distinct().collect()]  # at most their number
 
     def lookup(self, name: str, keys: DataFrame) -> DataFrame:
         """The rows of the keys asked for (the key's columns); only the buckets that they fall in are read."""
-        table = self.log.last()[1]["tables"][name]
-        key, n = table["key"], table["buckets"]
+        key = self.log.last()[1]["tables"][name]["key"]
         asked = keys.select(*key).distinct()
-        wanted = [r[0] for r in asked.select(self._bucket(key, n)).distinct().collect()]  # at most ``n``
-        rows = self.read(name, buckets=wanted)
+        rows = self.read(name, buckets=self.touched(name, asked))
         return rows.join(asked, [rows[c].eqNullSafe(asked[c]) for c in key], "left_semi")
 
     def vacuum(self, keep: int = 2) -> None:
@@ -179,11 +186,12 @@ class Tables:
         return (F.pmod(F.xxhash64(*key), F.lit(n)) if key else F.lit(0)).cast("int")
 
     def _write(self, name: str, df: DataFrame, key: list[str], n: int) -> tuple[str, list[int]]:
-        """Writes a new folder, a folder below it for each bucket, sorted by key, with Bloom filters of the key's columns."""
+        """Writes a new folder, a folder below it for each bucket, with Bloom filters of the key's columns. Files are
+        sorted by key; a large bucket is written by several tasks."""
         folder = f"{name}/{uuid.uuid4().hex}"
         rows = df.withColumn("_bucket", self._bucket(key, n))
         if key:
-            rows = rows.repartition("_bucket").sortWithinPartitions("_bucket", *key)
+            rows = rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *key)
         writer = rows.write.partitionBy("_bucket")
         for c in key:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
