@@ -20,13 +20,13 @@ def route_messages(spark, sf_dir):
     return m.route_messages(b.messages(spark, sf_dir)).select("session_id", "seq", "type", "id", "error", "route")
 
 
-def _commands(spark, sf_dir):
+def _commands(spark, sf_dir, known=None):
     """A command of each kind, and one that is unknown, by the student's number; some concepts are unknown too."""
     s, kinds = F.col("student_id"), F.array(*map(F.lit, [*m.COMMANDS, "dance"]))
     concept = F.when(s % 10 == 7, F.concat(F.lit("no "), "concept")).otherwise(F.col("concept"))
     params = F.struct(F.concat(F.lit("s"), s).alias("session_id"), s.alias("student_id"), concept.alias("concept"))
     data = F.to_json(F.struct(F.get(kinds, (s % 5).cast("int")).alias("command"), params.alias("params")))
-    return b.requests(spark, sf_dir).select(F.concat(F.lit("m"), s).alias("id"), data.alias("data"))
+    return b.requests(spark, sf_dir, known).select(F.concat(F.lit("m"), s).alias("id"), data.alias("data"))
 
 
 @query(f"""WITH {_SCORED.format('0')}, q AS (SELECT student_id, CASE WHEN student_id % 10 = 7 THEN 'no ' || concept ELSE concept END AS concept, student_id % 5 AS kind FROM requests),

@@ -134,7 +134,7 @@ def stream_process_commands(spark, sf_dir):
     tables, path = Tables(spark, shared_path(spark, "graph")), shared_path(spark, "answers")
     graph = {"nodes": b.nodes(spark, sf_dir), "edges": b.edges(spark, sf_dir).drop("src_label", "dst_label"), "mastery": b.mastery(spark, sf_dir)}
     tables.replace_all(graph, {"nodes": (["label", "name"], 8), "edges": (["src", "dst", "type"], 8)})
-    landed = stored(_commands(spark, sf_dir))
+    landed = stored(_commands(spark, sf_dir, tables.read("mastery")))
     sink = BatchSink(spark, path, st.command_answers(tables))
     sink.drain(spark.readStream.schema(landed.schema).parquet(landed.stored_path), f"{path}/_checkpoint")
     return sink.read("answers").drop("_writer", "_batch")
