@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -39,3 +40,32 @@ def test_single_and_zero_probabilities_are_as_in_the_batch_form(spark, tmp_path)
     rows = [(1, "audio", [0.0] * 7, None, None, 0, 1), (1, "face", [0.0] * 7, 0.5, None, 5, 2), (9, "face", EVEN, None, None, 90_000, 3)]
     last = given(spark, tmp_path, [rows])[-1]
     assert (last[1, 2]["emotion"], last[1, 2]["confidence"]) == ("anger", 0.0)
+
+
+def slow_events(rows, wait, watermark):
+    """(session, event) of all that a stream gives, a session at a time."""
+    out = set()
+    for session in {r[0] for r in rows}:
+        own = sorted((at, n, kind) for s, kind, _, _, _, at, n in rows if s == session)
+        parts = [[own[0]]]
+        for r in own[1:]:
+            parts.append([r]) if r[0] - parts[-1][-1][0] > wait else parts[-1].append(r)
+        for part in parts:
+            sides = [[(at, n) for at, n, k in part if k == kind] for kind in ("audio", "face")]
+            pairs = min(map(len, sides))
+            out |= {(session, max(a, f)[1]) for a, f in zip(*sides)}
+            if part is not parts[-1] or part[-1][0] + wait < watermark:
+                out |= {(session, n) for side in sides for _, n in side[pairs:]}
+    return out
+
+
+@pytest.mark.parametrize("buckets", [1, 4096])
+def test_sessions_of_a_bucket_keep_apart(spark, tmp_path, buckets):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 2, 3, 4, 5, None]), rng.choice(["audio", "face", "audio"]), EVEN, None, None, 37 * n + n % 3, n) for n in range(150)]
+    rows = [r for r in rows if not (r[0] in (1, None) and 1000 < r[5] < 3000) and not (r[0] == 4 and r[5] > 1500)]
+    rows.append((6, "face", EVEN, None, None, 5600, 1000))
+    parts = [[r for r in rows if a <= r[5] < b] for a, b in ((0, 1800), (1800, 4200), (4200, 9999))]
+    last = given(spark, tmp_path, parts, wait=900.0, late="10 seconds", buckets=buckets)[-1]
+    assert set(last) == slow_events(rows, 900, 5590) and len(last) > 40
+    assert {s for s, _ in last} == {1, 2, 3, 4, 5, None}
