@@ -6,6 +6,9 @@ of their ends where they are not all concepts).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,35 +186,61 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int, wanted: DataF
     return seen
 
 
+#: Numbers that a slice of a step of a search shuffles, and slices at most, as each shuffles the graph again.
+SLICE_NUMBERS, MOST_SLICES = 100_000_000, 8
+
+
 class NumberedGraph:
-    """The distinct moves of ``edges`` with numbers for names, in the order of the names: ``names`` (name, id), and for each
-    number the array ``near`` of those that its moves lead to (``ahead``) and come from (``behind``). All are stored."""
+    """The moves of ``edges`` with numbers for names, in the order of the names: ``names`` (name, id), and for each number the
+    array ``near`` of those that its moves lead to (``ahead``) and come from (``behind``). All are stored. Numbers are
+    ints from 0 without gaps, half as large as what Spark numbers rows by. ``edges`` is read several times."""
 
     def __init__(self, edges: DataFrame):
-        step = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-        every = step.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
-        # Ranges are sorted and their partitions numbered in order, so that numbers ascend with names.
-        self.names = stored(every.orderBy("name").withColumn("id", F.monotonically_increasing_id()))
-        ids = self.numbered(self.numbered(step, "src"), "dst")
-        near = lambda here, there: stored(ids.groupBy(F.col(here).alias("id")).agg(F.collect_list(there).alias("near")))
-        self.ahead, self.behind = near("src", "dst"), near("dst", "src")
-
-    def numbered(self, rows: DataFrame, column: str) -> DataFrame:
-        """``rows`` with numbers in the place of names; those whose name has no move are left out."""
-        return rows.join(self.names.select(F.col("name").alias(column), F.col("id").alias("_id")), column).withColumn(column, F.col("_id")).drop("_id")
+        step = edges.select("src", "dst").where("src is not null and dst is not null")
+        ends = step.select(F.col("src").alias("name")).distinct().unionByName(step.select(F.col("dst").alias("name")).distinct())
+        self.names = numbered_names(ends.distinct())
+        ids = self.numbered(self.numbered(step, "src", "_src"), "dst", "_dst")
+        # Rows of a target are together then, by its name, and its sources need no shuffle of their own.
+        both = ids.groupBy("dst", F.col("_dst").alias("id")).agg(F.array_sort(F.collect_set("_src")).alias("near"))
+        self.behind = stored(both.select("id", "near"))
+        each = self.behind.select(F.col("id").alias("dst"), F.explode("near").alias("id"))
+        self.ahead = stored(each.groupBy("id").agg(F.array_sort(F.collect_list("dst")).alias("near")))
+        self.mean = self.ahead.agg(F.avg(F.size("near"))).first()[0] or 0.0
+
+    def numbered(self, rows: DataFrame, column: str, out: str | None = None) -> DataFrame:
+        """``rows`` with numbers in the place of names, or beside them as ``out``; those whose name has no move are left out."""
+        both = rows.join(self.names.select(F.col("name").alias(column), F.col("id").alias("_id")), column)
+        return both.withColumn(out or column, F.col("_id")).drop("_id")
 
     def named(self, rows: DataFrame, column: str) -> DataFrame:
         return rows.join(self.names.select(F.col("id").alias(column), F.col("name").alias("_name")), column).withColumn(column, F.col("_name")).drop("_name")
 
 
-def _level(levels: list[DataFrame], left: DataFrame, near: DataFrame, root: str) -> DataFrame:
-    """The names first met one move beyond the last level, by root (root, names: an array); roots of ``left`` only. Stored."""
-    asked = levels[-1].join(left.select(root).distinct(), root, "left_semi")
-    each = asked.select(root, F.explode("names").alias("id")).hint("merge").join(near, "id")
-    new = each.groupBy(root).agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("names"))
-    for k, before in enumerate(levels):
-        new = new.join(before.withColumnRenamed("names", f"_{k}"), root).withColumn("names", F.array_except("names", f"_{k}")).drop(f"_{k}")
-    return stored(new.where(F.size("names") > 0))
+def numbered_names(names: DataFrame) -> DataFrame:
+    """Distinct names, numbered from 0 in their order without gaps: name, id (int). Stored."""
+    # Ranges are sorted and their partitions numbered in order, so that numbers ascend with names.
+    ordered = stored(names.orderBy("name").withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    counts = sorted((r[0], r[1]) for r in ordered.groupBy(part).count().collect())
+    before, bases = 0, [F.lit(0), F.lit(0)] if not counts else []
+    for p, n in counts:
+        bases += [F.lit(int(p)), F.lit(before)]
+        before += n
+    if before >= 1 << 31:
+        raise ValueError(f"{before} names are more than an int numbers")
+    return stored(ordered.select("name", (F.create_map(*bases)[part.cast("int")] + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int").alias("id")))
+
+
+def _moves_of(level: DataFrame, near: DataFrame, root: str) -> DataFrame:
+    """The moves of the names of a level, by root: root, and ``moves``, an array of (id, near)."""
+    each = level.select(root, F.explode("names").alias("id")).hint("merge").join(near, "id")
+    return each.groupBy(root).agg(F.collect_list(F.struct("id", "near")).alias("moves"))
+
+
+def _ahead_of(level: DataFrame, near: DataFrame, root: str) -> DataFrame:
+    """The names one move beyond a level, by root (root, names: an array)."""
+    each = level.select(root, F.explode("names").alias("id")).hint("merge").join(near, "id")
+    return each.groupBy(root).agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("names"))
 
 
 def meeting_levels(graph: NumberedGraph, pairs: DataFrame, max_depth: int) -> tuple[DataFrame, dict[str, list[DataFrame]]]:
@@ -220,62 +249,96 @@ def meeting_levels(graph: NumberedGraph, pairs: DataFrame, max_depth: int) -> tu
 
     Returns the pairs that meet (start, target, f, b: the levels at which they do, whose sum is the distance, and middle: the
     names met) and the levels of starts and of targets: tables with a row for each root, whose names are one array, so that
-    rows number as many as pairs and roots, not as names met. Roots that only pairs that have met ask for are not followed on.
+    rows number as many as pairs and roots, not as names met. A level holds all that so many moves lead to, also what
+    was met before: a pair that hasn't met is further apart than its levels say, so what its sides share next is new to both.
+    The last level met is never written for roots whose pairs have all met, and large steps are taken in slices of the roots,
+    so that the disk holds the shuffle files of one slice.
     """
-    sides = {"start": graph.ahead, "target": graph.behind}
+    sides, other = {"start": graph.ahead, "target": graph.behind}, {"start": "target", "target": "start"}
     levels = {root: [stored(pairs.select(root).distinct().withColumn("names", F.array(root)))] for root in sides}
     size = {root: levels[root][0].count() for root in sides}
-    left, met = pairs, None
-    for _ in range(max_depth):
+    roots, left, count, found = dict(size), pairs, pairs.count(), []
+    for depth in range(1, max_depth + 1):
         root = min(sides, key=lambda r: size[r])
-        levels[root].append(_level(levels[root], left, sides[root], root))
-        size[root] = levels[root][-1].agg(F.sum(F.size("names"))).first()[0] or 0
-        ends = [levels[r][-1].select(r, F.col("names").alias(f"_{r}")) for r in sides]
-        both = left.join(ends[0], "start").join(ends[1], "target").select("start", "target", F.array_intersect("_start", "_target").alias("middle"))
-        now = stored(both.where(F.size("middle") > 0).select("start", "target", F.lit(len(levels["start"]) - 1).alias("f"), F.lit(len(levels["target"]) - 1).alias("b"), "middle"))
-        met = now if met is None else met.unionByName(now)
-        left = stored(left.join(now, ["start", "target"], "left_anti"))
-        if not size[root] or left.isEmpty():
+        far = other[root]
+        asked = levels[root][-1].join(left.select(root).distinct(), root, "left_semi")
+        k = {root: len(levels[root]), far: len(levels[far]) - 1}
+        # What is shuffled at a time: the new level, by some moves a name, and the other side's names for each pair.
+        numbers = size[root] * graph.mean + count * size[far] / max(roots[far], 1)
+        slices = max(1, min(MOST_SLICES, round(numbers / SLICE_NUMBERS)))
+        for i in range(slices):
+            of = lambda df: df.where(F.pmod(F.xxhash64(root), F.lit(slices)) == i) if slices > 1 else df  # noqa: B023, E731
+            new = _ahead_of(of(asked), sides[root], root)
+            # The pairs take the other side's names along to where the new level is made.
+            held = of(left).join(levels[far][-1].withColumnRenamed("names", "_far"), far).hint("merge")
+            both = held.join(new.hint("merge"), root).select("start", "target", F.array_intersect("_far", "names").alias("middle"))
+            now = both.where(F.size("middle") > 0).select("start", "target", F.lit(k["start"]).alias("f"), F.lit(k["target"]).alias("b"), "middle")
+            found.append(stored(now))
+        met = reduce(lambda a, b: a.unionByName(b), found)
+        if depth == max_depth:
+            break
+        left = stored(left.join(met.select("start", "target"), ["start", "target"], "left_anti"))
+        if not (count := left.count()):
+            break
+        wanted = asked.join(left.select(root).distinct(), root, "left_semi")
+        levels[root].append(stored(_ahead_of(wanted, sides[root], root)))
+        roots[root], size[root] = levels[root][-1].agg(F.count("*"), F.coalesce(F.sum(F.size("names")), F.lit(0))).first()
+        if not size[root]:
             break
     return met, levels
 
 
-def shortest_learning_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 5, graph: NumberedGraph | None = None) -> DataFrame:
+def _paths(graph: NumberedGraph, met: DataFrame, levels: dict[str, list[DataFrame]]) -> list[DataFrame]:
+    """The path of each pair that meets, as numbers (start, target, path): that with the smallest parent at each level, from
+    the target back. A table for each two levels at which pairs meet."""
+    pair, paths = ["start", "target"], []
+    for f, b in sorted({(r["f"], r["b"]) for r in met.select("f", "b").distinct().collect()}):
+        # What lies on shortest paths at each depth from the meeting level on, each with its smallest way back to that level.
+        rows = met.where((F.col("f") == f) & (F.col("b") == b)).select(*pair, F.transform("middle", lambda x: F.struct(x.alias("id"), F.array(x).alias("path"))).alias("on"))
+        for k in range(1, b + 1):
+            wanted = levels["target"][b - k].join(rows.select("target").distinct(), "target", "left_semi")
+            at = rows.join(_moves_of(wanted, graph.behind, "target"), "target")
+            # A parent is the smallest of the names before that leads here; structs compare by their ids, which differ.
+            first = lambda x: F.array_min(F.filter("on", lambda y: F.array_contains(x["near"], y["id"])))
+            tied = F.filter(F.transform("moves", lambda x: F.struct(x["id"].alias("id"), first(x).alias("from"))), lambda x: x["from"].isNotNull())
+            rows = at.select(*pair, F.transform(tied, lambda x: F.struct(x["id"].alias("id"), F.concat(x["from"]["path"], F.array(x["id"])).alias("path"))).alias("on"))
+        # From the meeting level back: the smallest parent among the names met from the start.
+        rows = rows.select(*pair, F.col("on")[0]["path"].alias("path"))
+        for depth in range(f - 1, 0, -1):
+            at = rows.withColumn("id", F.element_at("path", 1)).join(graph.behind, "id").join(levels["start"][depth], "start")
+            rows = at.select(*pair, F.concat(F.array(F.array_min(F.array_intersect("near", "names"))), "path").alias("path"))
+        paths.append(rows.select(*pair, F.concat(F.array("start"), "path").alias("path") if f else F.col("path")))
+    return paths
+
+
+def shortest_learning_path(
+    edges: DataFrame, pairs: DataFrame, max_depth: int = 5, graph: NumberedGraph | None = None, searched: Sequence[tuple[DataFrame, dict[str, list[DataFrame]]]] = ()
+) -> DataFrame:
     """Edges of a shortest path for each pair (start, target): start, target, step (from 1), src, dst, type, strength.
 
     Of several paths that with the smallest parent at each level, from the target back; of several edges of a step the
     first type by name. A pair of equal ends, or without a path of at most ``max_depth`` edges, has no rows. All pairs
-    are walked together, from both ends (:func:`meeting_levels`), and each is one row throughout.
+    are walked together, from both ends (:func:`meeting_levels`), and each is one row throughout. Pairs that met in a
+    search before (``searched``, of the same graph and depth) are not searched again.
     """
     graph, pair = graph or NumberedGraph(edges), ["start", "target"]
     asked = pairs.select(*pair).where("start <> target").distinct()
-    met, levels = meeting_levels(graph, stored(graph.numbered(graph.numbered(asked, "start"), "target")), max_depth)
-    level = lambda root, k: levels[root][k].select(root, F.col("names").alias("level"))
-    none = F.array().cast("array<long>")
-    paths = None
-    for f, b in sorted({(r["f"], r["b"]) for r in met.select("f", "b").distinct().collect()}):
-        # What lies on shortest paths at each depth from the meeting level on: m0, m1, ...
-        rows = met.where((F.col("f") == f) & (F.col("b") == b)).select(*pair, F.col("middle").alias("m0"))
-        for k in range(1, b):
-            each = rows.select(*pair, F.explode(f"m{k - 1}").alias("id")).hint("merge").join(graph.ahead, "id")
-            near = each.groupBy(*pair).agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-            rows = stored(rows.join(near, pair).join(level("target", b - k), "target").withColumn(f"m{k}", F.array_intersect("near", "level")).drop("near", "level"))
-        # From the target back: the smallest parent, among those names while they reach, then among the names met from the start.
-        rows = rows.withColumn("path", F.array("target"))
-        for depth in range(f + b - 1, 0, -1):
-            at = rows.withColumn("id", F.element_at("path", 1)).join(graph.behind, "id")
-            at = at.withColumn("level", F.col(f"m{depth - f}")) if depth >= f else at.join(level("start", depth), "start")
-            rows = at.withColumn("path", F.concat(F.array(F.array_min(F.array_intersect("near", "level"))), "path")).drop("id", "near", "level")
-        found = rows.select(*pair, F.concat(F.array("start"), "path").alias("path"))
-        paths = found if paths is None else paths.unionByName(found)
-    if paths is None:
-        paths = met.select(*pair, none.alias("path"))
+    known = stored(graph.numbered(graph.numbered(asked, "start", "_start"), "target", "_target"))
+    left, paths = known.select(F.col("_start").alias("start"), F.col("_target").alias("target")), []
+    for met, levels in searched:
+        paths += _paths(graph, met.join(left, pair, "left_semi"), levels)
+        left = stored(left.join(met.select(*pair), pair, "left_anti"))
+    if not left.isEmpty():
+        paths += _paths(graph, *meeting_levels(graph, left, max_depth))
+    none = known.select(F.col("_start").alias("start"), F.col("_target").alias("target"), F.array().cast("array<int>").alias("path"))
+    every = reduce(lambda a, b: a.unionByName(b), paths) if paths else none
     moves = F.transform(F.slice("path", 2, F.size("path")), lambda x, i: F.struct((i + 1).alias("step"), F.get("path", i).alias("src"), x.alias("dst")))
-    every = stored(paths.select(*pair, F.inline(moves)))
-    for column in (*pair, "src", "dst"):
-        every = graph.named(every, column)
-    first = edges.groupBy("src", "dst").agg(F.min_by(F.struct("type", "strength"), "type").alias("e"))
-    return every.join(first, ["src", "dst"]).select("start", "target", "step", "src", "dst", "e.type", "e.strength")
+    own = every.withColumnsRenamed({"start": "_start", "target": "_target"}).join(known, ["_start", "_target"])
+    steps = stored(graph.named(graph.named(own.select(*pair, F.inline(moves)), "src"), "dst"))
+    # Only the edges of some path are put together.
+    some = edges.join(steps.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+    first = some.groupBy("src", "dst").agg(F.min_by(F.struct("type", "strength"), "type").alias("e"))
+    return steps.join(first, ["src", "dst"]).select("start", "target", "step", "src", "dst", "e.type", "e.strength")
 
 
 def names_of(column: Column | str, df: DataFrame) -> DataFrame:
