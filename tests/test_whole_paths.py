@@ -65,3 +65,51 @@ def test_no_table_of_a_search_has_a_row_for_each_name_that_it_meets(spark, monke
     mastery = spark.createDataFrame([(i, names[(i + 32) % 40], 0.9) for i in range(40)], "student_id long, concept string, mastery double")
     assert {x["student_id"]: x["start"] for x in r.choose_start_concept(requests, edges, mastery).collect()} == {i: names[(i + 32) % 40] for i in range(40)}
     assert max(rows) <= 80
+
+
+def test_paths_are_not_searched_again_and_edges_and_mastery_are_made_once(spark, monkeypatch):
+    from learnloom.operators import graph, recommend as r
+
+    made, asked, own = [], [], graph.meeting_levels
+    for name in ("edges", "mastery"):
+        monkeypatch.setattr(bindings, name, lambda *a, name=name, f=getattr(bindings, name): made.append(name) or f(*a))
+
+    def seen(g, pairs, depth):
+        asked.extend((x["start"], x["target"]) for x in pairs.collect())
+        return own(g, pairs, depth)
+
+    for module in (graph, r):
+        monkeypatch.setattr(module, "meeting_levels", seen)
+    assert recommend.learning_sequence(spark, "/root/testdata/sf0.001").count()
+    assert sorted(made) == ["edges", "mastery"] and len(asked) == len(set(asked))
+
+
+def test_levels_of_pairs_that_have_met_are_not_stored(spark, monkeypatch):
+    """Forty pairs three moves apart on a ring with chords: the last level, which joins them, is never written."""
+    from learnloom.operators import graph as g
+
+    names, arrays, keep = [f"n{i:02}" for i in range(40)], [], g.stored
+
+    def noted(df):
+        out = keep(df)
+        if out.columns[1:] == ["names"]:
+            arrays.append(max((len(x["names"]) for x in out.collect()), default=0))
+        return out
+
+    edges = spark.createDataFrame([(names[i], names[(i + k) % 40], "INCLUDES", 0.5) for i in range(40) for k in (1, 7, 11)], "src string, dst string, type string, strength double")
+    pairs = spark.createDataFrame([(names[i], names[(i + 9) % 40]) for i in range(40)], "start string, target string")
+    monkeypatch.setattr(g, "stored", noted)
+    rows = g.shortest_learning_path(edges, pairs).collect()
+    assert len(rows) == 120 and max(arrays) == 3
+
+
+def test_searches_in_slices_find_the_same(spark, monkeypatch):
+    from learnloom.operators import graph as g
+
+    rng = random.Random(11)
+    names = [f"n{i:02}" for i in range(30)]
+    edges = spark.createDataFrame(sorted({(*rng.sample(names, 2), "INCLUDES", 0.5) for _ in range(60)}), "src string, dst string, type string, strength double")
+    pairs = spark.createDataFrame([tuple(rng.sample(names, 2)) for _ in range(40)], "start string, target string")
+    whole = sorted(map(tuple, g.shortest_learning_path(edges, pairs).collect()))
+    monkeypatch.setattr(g, "SLICE_NUMBERS", 20)
+    assert sorted(map(tuple, g.shortest_learning_path(edges, pairs).collect())) == whole and whole
