@@ -132,3 +132,30 @@ def test_values_of_the_starts_do_not_store_those_of_all_states(monkeypatch, cycl
     monkeypatch.setattr(planning, "state_values", refused)
     got = {(r["goal_id"], r["src"], r["dst"]): r["q"] for r in planning.learn_q_values(*cyclic[1:], 0.4, starts_only=True).collect()}
     assert got.keys() == {k for k in every if k[1] == "a"} and all(abs(got[k] - every[k]) < 1e-7 for k in got)
+
+
+def test_bounds_settle_to_the_values_that_are_asked_for():
+    """Moves from the start and the path of best moves, where only what they rest on is settled, on random graphs."""
+    rng, limits, fewer, rose = np.random.default_rng(8), {"gamma": 0.9, "max_steps": 10, "rounds": 400, "delta": planning.TIE / 100}, 0, 0
+    for n, out in ((60, 3), (40, 2), (300, 6), (400, 5)):
+        pairs = np.unique(rng.integers(0, n, (n * out, 2)), axis=0)
+        pairs = pairs[pairs[:, 0] > n // 20]  # some states have no move
+        some = np.flatnonzero(rng.random(n) < 0.9)
+        moves = pa.table({"src": pairs[:, 0].astype(np.int32), "dst": pairs[:, 1].astype(np.int32)})
+        concepts = pa.table({"id": some.astype(np.int32), "difficulty": rng.integers(1, 6, len(some)) * 1.0, "importance": rng.integers(1, 6, len(some)) * 1.0})
+        lazy, full = (planning._Graph(n, moves, concepts).with_base(0.9, 400, limits["delta"]) for _ in range(2))
+        busiest = np.argsort(np.bincount(lazy.to, minlength=n))[-5:]
+        for k in range(64):
+            start, target = int(rng.choice(pairs[:, 0])), int(rng.integers(-1, n))
+            own = rng.choice(n, 5, replace=False) if k % 2 else np.unique(np.append(rng.choice(n, 3, replace=False), busiest))
+            levels = rng.random(len(own))
+            with lazy.goal(start, target, own, levels, True, **limits, whole=False), full.goal(start, target, own, levels, True, **limits):
+                assert lazy.followed(start, target, 0.9, 10) == full.followed(start, target, 0.9, 10)
+                (to, q), (_, want) = lazy.from_state(start, 0.9), full.from_state(start, 0.9)
+                assert np.abs(q - want).max(initial=0) < 1e-7 and (lazy.value >= full.value - 1e-7).all()
+                fewer += (lazy.value != lazy.base).sum() < (full.value != full.base).sum()
+                rose += (full.value > full.base + 1e-6).any()
+            for column in ("value", "worth", "asked", "low", "mine"):
+                assert np.array_equal(getattr(lazy, column), getattr(full, column))
+            assert np.array_equal(lazy.value, lazy.base) and not lazy.low.any() and not len(lazy.settled)
+    assert fewer > 50 and rose > 5
