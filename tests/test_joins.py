@@ -124,3 +124,35 @@ def test_scopes_remove_what_they_stored(spark):
         assert not os.path.isdir(inner.stored_path) and again.count() == 5
     assert not os.path.isdir(again.stored_path) and kept.count() == 5
     storage.remove(spark, kept.stored_path)
+
+
+def test_names_that_share_their_rarest_characters_alone_do_not_meet(spark, monkeypatch):
+    """Names of six letters, all with q and z, their rarest: only those that are near by edit distance get a ratio."""
+    import itertools
+
+    names = ["qz" + "".join(c) for c in itertools.product("abc", repeat=4)] + [2 * c + "".join(x) for c in "de" for x in itertools.product("abc", repeat=4)]
+    df = spark.createDataFrame([("b", n, i) for i, n in enumerate(names)], "book_id string, name string, seq long")
+    met, keep = [], similarity.stored
+
+    def counted(rows):
+        out = keep(rows)
+        if "j" in out.columns:
+            met.extend((r["a"], r["b"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(similarity, "stored", counted)
+    got = {(r["a"], r["b"]) for r in similarity.similar_pairs(df, 0.8).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(names, 2) if similarity.sequence_ratio(a, b) > 0.8}
+    assert len(met) == len(set(met)) <= 2 * len(got)
+
+
+def test_long_names_and_low_thresholds_keep_every_similar_pair(spark):
+    import random
+
+    rng = random.Random(4)
+    first = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice((2, 5, 9, 17, 40)))) for _ in range(40)]
+    names = sorted({*first, *("".join(c for c in n if rng.random() < 0.85) or "x" for n in first)})
+    df = spark.createDataFrame([("b", n, i) for i, n in enumerate(names)], "book_id string, name string, seq long")
+    for threshold in (0.5, 0.7, 0.85):
+        got = {(r["a"], r["b"]) for r in similarity.similar_pairs(df, threshold).collect()}
+        assert got == {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if similarity.sequence_ratio(a, b) > threshold} and got
